@@ -13,6 +13,7 @@ import zlib
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -81,7 +82,7 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.Record
 
 def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows holding about ``max_bytes`` of ``column``, so peak memory is bounded."""
-    lengths = pa.compute.binary_length(batch.column(column)).to_pylist()
+    lengths = pc.binary_length(batch.column(column)).to_pylist()
     start = total = 0
     for i, n in enumerate(lengths):
         total += n or 0
