@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat
+from . import chat, packing
 
 QUERIES = {
+    "op3_bestfit_packing": packing.op3_bestfit_packing,
     "op6_chat_formatting": chat.op6_chat_formatting,
 }
 
