@@ -207,29 +207,39 @@ class Plan:
                 self._open(free - per * length, first, k)
 
 
-def plan_packing(histogram: np.ndarray, capacity: int = CAPACITY, grid: int = 256, short: int = 16) -> Plan:
+def plan_packing(histogram: np.ndarray, capacity: int = CAPACITY, grid: int = 128, short: int = 16) -> Plan:
     """Fit patterns of two or three pieces from ``grid`` length bins, then best-fit the residual.
 
-    Pieces of fewer than ``short`` grid steps stay out of the patterns: they fill the space that rounding
-    leaves.  The plain best fit is a plan too; whichever needs fewer sequences is returned.
+    Pieces of fewer than ``short`` grid steps stay out of the patterns, and each pattern leaves a hole of the
+    size those pieces have to share out among all sequences: exact best fit closes the holes, and with them
+    what the coarse grid wastes.  The plain best fit is a plan too; whichever needs fewer sequences is returned,
+    the fitted one at a tie.
     """
     histogram = np.asarray(histogram, np.int64)
     plain = Plan(histogram, capacity)
     plain.best_fit()
+    fitted = _fit_patterns(histogram, capacity, grid, short)
+    return fitted if fitted is not None and fitted.sequences <= plain.sequences else plain
+
+
+def _fit_patterns(histogram: np.ndarray, capacity: int, grid: int, short: int) -> Plan | None:
     step = max(1, capacity // grid)
     grid = capacity // step
     lengths = np.arange(capacity + 1)
-    bin_of = np.where(lengths > 0, -(-lengths // step), 0)
+    tokens = histogram * lengths
+    bin_of = -(-lengths // step)
+    sequences = max(1, int(tokens[:capacity].sum()) // capacity)
+    hole = int(tokens[bin_of < short].sum() // sequences // step)
+    full = grid - hole
     target = np.bincount(bin_of[:capacity], weights=histogram[:capacity], minlength=grid + 1)[:grid + 1]
     target[:short] = 0
     used = np.flatnonzero(target)
-    if not len(used):
-        return plain
     present = set(used.tolist())
-    patterns = [(a, grid - a) for a in used if a >= grid - a and grid - a in present]
-    patterns += [(a, b, grid - a - b) for a in used for b in used if a >= b >= grid - a - b and grid - a - b in present]
+    patterns = [(full,)] if full in present else []
+    patterns += [(a, full - a) for a in used if a >= full - a and full - a in present]
+    patterns += [(a, b, full - a - b) for a in used for b in used if a >= b >= full - a - b and full - a - b in present]
     if not patterns:
-        return plain
+        return None
     row = {int(b): i for i, b in enumerate(used)}
     a = np.zeros((len(used), len(patterns)))
     for j, p in enumerate(patterns):
@@ -246,7 +256,7 @@ def plan_packing(histogram: np.ndarray, capacity: int = CAPACITY, grid: int = 25
         if times > 0:
             fitted.repeat(tuple(p), times, [in_bin[b] for b in p])
     fitted.best_fit()
-    return fitted if fitted.sequences <= plain.sequences else plain
+    return fitted
 
 
 def ranked(cut: DataFrame, rows_per_bucket: int = 50_000) -> tuple[DataFrame, np.ndarray]:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat, packing
+from . import chat, html_text, packing
 
 QUERIES = {
     "op3_bestfit_packing": packing.op3_bestfit_packing,
+    "op4_html_extraction": html_text.op4_html_extraction,
     "op6_chat_formatting": chat.op6_chat_formatting,
 }
 
