@@ -13,12 +13,14 @@ null ids stay null; no other column of the input is read.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,8 +29,10 @@ from .common import map_batches, materialise, slices, table
 CAPACITY = 4096
 END_ID = 1
 #: Beyond these characters, or where a special token may be spelt, the whole text goes through the tokenizer.
-_UNUSUAL = re.compile(r"[^\t\n\r\x20-\x7e\xa1-ɏ]|<\|")
-_MEMO_WORDS = 300_000
+_UNUSUAL = re.compile(r"[^\t\n\r\x20-\x7e\xa1-\u024f]|[\xb2\xb3\xb9\xbc-\xbe\u0130]|<\|")
+#: The vocabulary's own pre-token pattern, for the characters that are left.
+_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|[\W_]+")
+_MEMO_WORDS = 400_000
 
 
 def default_tokenizer() -> str:
@@ -37,36 +41,92 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-@lru_cache(maxsize=2)
-def _tokenizer(path: str):
-    from tokenizers import Tokenizer
+class _Encoder:
+    """Exact ids by looking words up in a memo of two bounded generations; only unseen pieces are encoded.
 
-    return Tokenizer.from_file(path), {}
+    The vocabulary never joins symbols across white space, and the last token of each pre-token is marked as a
+    word end, so many pieces are encoded as one text and told apart by those marks.
+    """
 
+    def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
+        self.tok = Tokenizer.from_file(path)
+        vocab = self.tok.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
+        self.words: dict[str, bytes] = {}
+        self.old_words: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        self.old_parts: dict[str, bytes] = {}
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _learn_parts(self, parts: set[str]) -> None:
+        if len(self.parts) > _MEMO_WORDS:
+            self.old_parts, self.parts = self.parts, {}
+        new = []
+        for p in parts:
+            known = self.old_parts.get(p)
+            if known is None:
+                new.append(p)
+            else:
+                self.parts[p] = known
+        for at in range(0, len(new), 4096):
+            some = new[at:at + 4096]
+            ids = np.array(self.tok.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            if len(stops) == len(some):
+                raw, lo = ids.tobytes(), 0
+                for p, hi in zip(some, stops):
+                    self.parts[p] = raw[4 * lo:4 * hi]
+                    lo = hi
+            else:
+                self.parts.update((p, self.whole(p)) for p in some)
+
+    def _learn_words(self, distinct: list[str]) -> list[bytes]:
+        if len(self.words) > _MEMO_WORDS:
+            self.old_words, self.words = self.words, {}
+        words, out = self.words, []
+        cut = {}
+        for i, w in enumerate(distinct):
+            known = words.get(w)
+            if known is None:
+                known = self.old_words.get(w)
+                if known is None:
+                    cut[i] = _PIECES.findall(w.lower())
+                else:
+                    words[w] = known
+            out.append(known)
+        parts = self.parts
+        self._learn_parts({p for ps in cut.values() for p in ps if p not in parts})
+        parts, old = self.parts, self.old_parts
+        for i, ps in cut.items():
+            out[i] = words[distinct[i]] = b"".join([parts[p] if p in parts else old[p] for p in ps])
+        return out
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """Each text's ids as little-endian unsigned 32-bit integers, without the end token."""
+        plain = pa.array(["" if _UNUSUAL.search(t) else t for t in texts], pa.string())
+        split = pc.utf8_split_whitespace(plain)
+        encoded = split.flatten().dictionary_encode()
+        ids = pa.array(self._learn_words(encoded.dictionary.to_pylist()), pa.large_binary()).take(encoded.indices)
+        _, offsets, data = ids.buffers()
+        at = np.frombuffer(offsets, np.int64)[ids.offset:][np.asarray(split.offsets)].tolist() if data is not None and len(ids) else [0] * (len(texts) + 1)
+        data = memoryview(data) if data is not None else b""
+        return [bytes(data[lo:hi]) if p or not t else self.whole(t)
+                for t, p, lo, hi in zip(texts, plain.to_pylist(), at, at[1:])]
 
-def token_bytes(texts: list[str], path: str) -> list[bytes]:
-    """Each text's ids as little-endian unsigned 32-bit integers, without the end token.
 
-    The vocabulary never joins symbols across white space, so plain texts are looked up word by word in a memo
-    of bounded size; only unseen words reach the tokenizer.
-    """
-    tok, memo = _tokenizer(path)
-    out: list[bytes] = []
-    for text in texts:
-        if _UNUSUAL.search(text):
-            out.append(np.array(tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
-            continue
-        words = text.split()
-        try:
-            out.append(b"".join([memo[w] for w in words]))
-        except KeyError:
-            if len(memo) > _MEMO_WORDS:
-                memo.clear()
-            new = list({w for w in words if w not in memo})
-            for w, e in zip(new, tok.encode_batch_fast(new, add_special_tokens=False)):
-                memo[w] = np.array(e.ids, "<u4").tobytes()
-            out.append(b"".join([memo[w] for w in words]))
-    return out
+@lru_cache(maxsize=2)
+def _encoder(path: str) -> _Encoder:
+    return _Encoder(path)
+
+
+def token_bytes(texts: list[str], path: str) -> list[bytes]:
+    return _encoder(path)(texts)
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = False) -> DataFrame:
@@ -75,7 +135,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids binary" if keep_ids else "")
 
     def cut(batch: pa.RecordBatch):
-        for part in slices(batch, "text"):
+        for part in slices(batch, "text", 16 << 20):
             cols: list[list] = [[], [], [], [], [], []]
             for doc, ids in zip(part.column("doc_id").to_pylist(), token_bytes(part.column("text").to_pylist(), tokenizer)):
                 ids += end
