@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, html_text, packing
+from . import chat, html_text, packing, pii
 
 QUERIES = {
     "op3_bestfit_packing": packing.op3_bestfit_packing,
     "op4_html_extraction": html_text.op4_html_extraction,
     "op6_chat_formatting": chat.op6_chat_formatting,
+    "op9_pii_extraction": pii.op9_pii_extraction,
 }
 
 ORACLES: dict[str, str] = {}
