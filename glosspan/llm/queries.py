@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, html_text, packing, pii, toxicity
+from . import chat, html_text, packing, pii, quality, toxicity
 
 QUERIES = {
     "op3_bestfit_packing": packing.op3_bestfit_packing,
     "op4_html_extraction": html_text.op4_html_extraction,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_chat_formatting": chat.op6_chat_formatting,
+    "op8_quality": quality.op8_quality,
     "op9_pii_extraction": pii.op9_pii_extraction,
 }
 
