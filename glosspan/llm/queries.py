@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, html_text, packing, pii, quality, toxicity
+from . import chat, decontaminate, html_text, neardup, packing, pii, quality, toxicity
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
+    "op2_simhash_neardup": neardup.op2_simhash_neardup,
     "op3_bestfit_packing": packing.op3_bestfit_packing,
     "op4_html_extraction": html_text.op4_html_extraction,
     "op5_toxicity": toxicity.op5_toxicity,
