@@ -90,20 +90,23 @@ def fingerprints(texts: pa.Array) -> np.ndarray:
 
 def fingerprint_rows(docs: DataFrame) -> DataFrame:
     """(doc_id, h1, h2, f0..f3) for every row; h1 and h2 are 128 bits of the text's own hash."""
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    source = with_text_hash(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_h1").alias("h1"), F.col("_h2").alias("h2"),
+                                         F.coalesce("text", F.lit("")).alias("text"))
 
     def run(batch: pa.RecordBatch):
         for part in slices(batch, "text", 6 << 20):
-            texts = part.column("text")
-            hashes = [hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).digest() for t in texts.to_pylist()]
-            pair = np.frombuffer(b"".join(hashes), np.int64).reshape(-1, 2)
-            fp = fingerprints(texts) if len(texts) else np.zeros((0, 32), np.uint8)
-            yield pa.table([part.column("doc_id"), pa.array(pair[:, 0]), pa.array(pair[:, 1]), *_columns(fp)],
-                           names=["doc_id", "h1", "h2", *_PARTS])
+            fp = fingerprints(part.column("text")) if part.num_rows else np.zeros((0, 32), np.uint8)
+            yield pa.table([part.column("doc_id"), part.column("h1"), part.column("h2"), *_columns(fp)], names=["doc_id", "h1", "h2", *_PARTS])
 
     return map_batches(source, run, "doc_id long, h1 long, h2 long, f0 long, f1 long, f2 long, f3 long")
 
 
+def with_text_hash(docs: DataFrame) -> DataFrame:
+    """The documents with 128 bits of hash of their texts, _h1 and _h2, computed where they are read."""
+    text = F.coalesce("text", F.lit(""))
+    return docs.withColumn("_h1", F.xxhash64(text)).withColumn("_h2", F.xxhash64(F.lit(0x5DEECE66D), text))
+
+
 @lru_cache(maxsize=8)
 def _recursion(repeats: int, strip: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """Coordinates (repeats, 2, strip) and the chosen centre of each strip value (repeats, 2, 2**strip)."""
@@ -355,3 +358,27 @@ def classify(docs: DataFrame, **options) -> DataFrame:
 def op2_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's near-duplicate class and number of links to different texts."""
     return classify(table(spark, sf_dir, "documents")).drop("h1", "h2")
+
+
+#: Rows to drop up to this many are broadcast, which spares the texts a shuffle; beyond, they are shuffled.
+BROADCAST_ROWS = 1_000_000
+
+
+def keep_representatives(docs: DataFrame, **options) -> DataFrame:
+    """The documents without all but one row of each class, with their own columns.
+
+    The row that stays is the one with the smallest doc_id; of several equal rows with that id one stays.
+    """
+    classes = materialise(classify(docs, **options), "neardup-classes")
+    own = [F.col("doc_id").alias("_d"), F.col("h1").alias("_x"), F.col("h2").alias("_y")]
+    drop = classes.where("NOT is_representative").select(*own).distinct()
+    twice = classes.where("is_representative").groupBy("doc_id", "h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select(*own)
+    keyed = with_text_hash(docs.withColumn("_doc", F.col("doc_id").cast("long")))
+    same = lambda t: keyed["_doc"].eqNullSafe(t["_d"]) & (keyed["_h1"] == t["_x"]) & (keyed["_h2"] == t["_y"])
+    sized = lambda t: F.broadcast(t) if t.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else t
+    kept = keyed.join(sized(drop), same(drop), "left_anti")
+    if twice.head(1):
+        keyed = kept
+        kept = (keyed.join(sized(twice), same(twice), "left_anti")
+                .unionByName(keyed.join(sized(twice), same(twice), "left_semi").dropDuplicates(["_doc", "_h1", "_h2"])))
+    return kept.select(*docs.columns)
