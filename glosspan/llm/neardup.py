@@ -302,12 +302,11 @@ def find_links(items: DataFrame, threshold: int = THRESHOLD, repeats: int = REPE
     ship(items.sparkSession)
 
     def keys(batch: pa.RecordBatch):
-        for at in range(0, batch.num_rows, 2048):
-            part = batch.slice(at, 2048)
-            if part.num_rows:
-                own = list_keys(_fp_matrix(part), repeats, strip, seed)
-                index = pa.array(np.repeat(np.arange(part.num_rows), repeats))
-                yield pa.table([pa.array(own.reshape(-1)), *(part.column(c).take(index) for c in ("id", *_PARTS))], names=["key", "id", *_PARTS])
+        for at in range(0, batch.num_rows, 8192):
+            part = batch.slice(at, 8192)
+            own = np.asfortranarray(list_keys(_fp_matrix(part), repeats, strip, seed))
+            for r in range(repeats if part.num_rows else 0):
+                yield pa.table([pa.array(own[:, r]), *(part.column(c) for c in ("id", *_PARTS))], names=["key", "id", *_PARTS])
 
     listed = map_batches(items.select("id", *_PARTS), keys, "key long, id long, f0 long, f1 long, f2 long, f3 long")
     sorted_lists = listed.repartition("key").sortWithinPartitions("key")
