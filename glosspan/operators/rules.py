@@ -104,7 +104,7 @@ def phrase_hits(s: DataFrame, phrases: DataFrame, longest: int, leads: list[str]
     words = F.transform(prose(F.col("words")), lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"), plain(w["lower"]).alias("lower")))
     grams = s.withColumn("pw", words).withColumn("g", F.explode(F.flatten(F.transform("pw", lambda w, i: F.when(
         w["lower"].isin(leads), F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.size("pw") - i)), lambda n: F.struct(
-            w["start"].alias("start"), F.element_at("pw", i + n)["end"].alias("end"), n.alias("n"),
+            w["start"].alias("start"), F.get("pw", i + n - 1)["end"].alias("end"), n.alias("n"),
             F.array_join(F.transform(F.slice("pw", i + 1, n), lambda x: x["lower"]), " ").alias("phrase")))).otherwise(
                 F.array().cast("array<struct<start:int,end:int,n:int,phrase:string>>"))))))
     hits = (grams.drop("pw", "start", "end").select("*", "g.start", "g.end", "g.phrase").drop("g").join(F.broadcast(phrases), "phrase"))
@@ -136,7 +136,7 @@ def _dictionary(a: Analysed, entries: dict, allow=()) -> tuple[DataFrame, int, l
 
 
 def _term_findings(hits: DataFrame, rule: str, message: Column) -> DataFrame:
-    use = F.element_at("use", 1)
+    use = F.get("use", F.lit(0))
     capital = spans.match_capitals(F.col("match"), F.coalesce(use, F.lit("")))
     usable = F.size("use") > 0
     return finding(hits, rule, message, evidence=spans.excerpt(F.col("raw")),
@@ -161,7 +161,7 @@ def preferred_terminology(a: Analysed, config: RuleConfig) -> DataFrame:
     entries = {**config.dictionary("preferred"), **{t: {"use": u, "safe": False} for t, u in config.get(rule, "additional", {}).items()}}
     table, longest, leads = _dictionary(a, entries, config.get(rule, "allow", ()))
     hits = claims(phrase_hits(_sentences(a), table, longest, leads))
-    return _term_findings(hits, rule, F.concat(F.lit('Write "'), F.element_at("use", 1), F.lit('", not "'), F.col("match"), F.lit('".')))
+    return _term_findings(hits, rule, F.concat(F.lit('Write "'), F.get("use", F.lit(0)), F.lit('", not "'), F.col("match"), F.lit('".')))
 
 
 def no_contractions(a: Analysed, config: RuleConfig) -> DataFrame:
@@ -196,7 +196,7 @@ def punctuation_constraints(a: Analysed, config: RuleConfig) -> DataFrame:
     most = int(config.get(rule, "maxCommas", 3))
     if most:
         rows = s.withColumn("commas", spans.find_spans(masked, ",")).where(F.size("commas") > most)
-        last = F.element_at("commas", -1)
+        last = F.get("commas", F.size("commas") - 1)
         f = finding(rows, rule, F.format_string(f"This sentence has %d commas; the limit is {most}.", F.size("commas")), F.col("s_start") + last["start"], F.col("s_start") + last["end"],
                     evidence=spans.excerpt(F.col("raw")), meta=F.create_map(F.lit("check"), F.lit("commas"), F.lit("count"), F.size("commas").cast("string")))
         out = f if out is None else out.unionByName(f)
@@ -298,13 +298,13 @@ def one_instruction_per_sentence(a: Analysed, config: RuleConfig) -> tuple[DataF
     verb_at = lambda k: F.when(F.get("pw", k)["lower"] == "then", F.get("pw", k + 1)).otherwise(F.get("pw", k))
     joined = F.filter(F.transform("pw", lambda w, i: F.struct(w["lower"].alias("c"), i.alias("i"), verb_at(i + 1).alias("v"))),
                       lambda x: (x["i"] > 0) & x["c"].isin(joins) & F.coalesce(x["v"]["lower"].isin(verbs), F.lit(False)))
-    s = s.withColumn("second", F.get(joined, 0)["v"])
-    found = finding(s.where("second IS NOT NULL"), rule, F.concat(F.lit('This instruction has two actions ("'), F.col("pw")[0]["text"], F.lit('" and "'), F.col("second.text"), F.lit('").')),
-                    evidence=spans.excerpt(F.col("raw")), meta=F.create_map(F.lit("firstVerb"), F.col("pw")[0]["lower"], F.lit("secondVerb"), F.col("second.lower")))
+    s = s.withColumn("second", F.get(joined, F.lit(0))["v"])
+    found = finding(s.where("second IS NOT NULL"), rule, F.concat(F.lit('This instruction has two actions ("'), F.get("pw", F.lit(0))["text"], F.lit('" and "'), F.col("second.text"), F.lit('").')),
+                    evidence=spans.excerpt(F.col("raw")), meta=F.create_map(F.lit("firstVerb"), F.get("pw", F.lit(0))["lower"], F.lit("secondVerb"), F.col("second.lower")))
     comma = F.instr("masked", ",")
     rest = s.where(F.col("second").isNull() & (comma > 0)).withColumn(
         "later", F.get(F.filter("pw", lambda w: (w["start"] > F.col("s_start") + comma - 1) & w["lower"].isin(verbs)), 0)).where("later IS NOT NULL")
-    return found, candidate(rest, rule, "one-instruction-per-sentence", F.struct(F.array(F.col("pw")[0]["text"], F.col("later.text")).alias("candidateVerbs")),
+    return found, candidate(rest, rule, "one-instruction-per-sentence", F.struct(F.array(F.get("pw", F.lit(0))["text"], F.col("later.text")).alias("candidateVerbs")),
                             "A clause after a comma holds a second possible instruction.")
 
 
@@ -355,7 +355,7 @@ def ambiguous_pronouns(a: Analysed, config: RuleConfig) -> DataFrame:
     order = Window.partitionBy("doc_id").orderBy("pos")
     s = _sentences(a).withColumn("own", nouns(F.col("words"))).withColumn("before", F.coalesce(F.lag("own").over(order), F.array().cast("array<string>")))
     s = s.withColumn("antecedents", F.slice(F.array_distinct(F.concat("before", "own")), 1, 12)).withColumn("pw", prose(F.col("words"))).where(F.size("pw") > 0)
-    first, second = F.col("pw")[0], F.get("pw", 1)
+    first, second = F.get("pw", F.lit(0)), F.get("pw", F.lit(1))
     bare = first["lower"].isin(["this", "these", "those"]) & F.coalesce(second["lower"].isin(followers), F.lit(False))
     loose = F.filter("pw", lambda w: w["lower"].isin(["it", "they", "them"]))
     hit = F.when(bare, F.array(first)).otherwise(F.when(F.size("antecedents") >= least, loose).otherwise(F.slice(loose, 1, 0)))
