@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import hashlib
 import os
 import shutil
@@ -27,9 +28,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of a batch between the JVM and a Python worker, where the session keeps Spark's default of 64 MB.
+BATCH_BYTES = 8 << 20
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors once per application, wherever the driver imported it from."""
     sc = spark.sparkContext
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "67108864b":
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     if sc.applicationId in _shipped:
         return
     folder = tempfile.mkdtemp(prefix="glosspan-code-")
@@ -76,10 +83,20 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.Record
                     yield from out.to_batches()
                 else:
                     yield out
+            pa.default_memory_pool().release_unused()
+        _trim()
 
     return df.mapInArrow(run, schema)
 
 
+def _trim() -> None:
+    """Give freed memory back at a task's end: workers live on and share an executor with the JVM."""
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows holding about ``max_bytes`` of ``column``, so peak memory is bounded."""
     lengths = pc.binary_length(batch.column(column)).to_pylist()

@@ -196,7 +196,7 @@ def search_texts(index: Index, texts: pa.Array) -> list[list[tuple[int, float, f
     known = np.flatnonzero(terms >= 0)
     hits = index.e_start[terms[known] + 1] - index.e_start[terms[known]]
     known, hits = known[hits > 0], hits[hits > 0]
-    step = max(2, (1 << 23) // max(n, 1))  # rows whose table of bounds is made at once
+    step = max(2, (1 << 20) // max(n, 1))  # rows whose table of bounds is made at once
     bounds = np.searchsorted(row[known], np.arange(0, row_at[-1] + step, step))
     doc_of_row = np.repeat(np.arange(len(sizes)), rows)
     live: set[int] = set()
@@ -262,7 +262,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         def run(batch: pa.RecordBatch, shared=shared):
             own = shared.value
-            for part in slices(batch, "text", 8 << 20):
+            for part in slices(batch, "text", 4 << 20):
                 cols: list[list] = [[], [], [], [], [], []]
                 for doc, hits in zip(part.column("doc_id").to_pylist(), search_texts(own, part.column("text"))):
                     best: dict[int, tuple] = {}
@@ -292,7 +292,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         shared = spark.sparkContext.broadcast(index)
 
         def run(batch: pa.RecordBatch, shared=shared):
-            for part in slices(batch, "text", 8 << 20):
+            for part in slices(batch, "text", 4 << 20):
                 texts = pc.fill_null(part.column("text"), "")
                 keep = pa.array([not h for h in search_texts(shared.value, texts)], pa.bool_())
                 yield part.filter(keep)
