@@ -58,8 +58,11 @@ def infer_format(path):
     return F.when(F.lower(path).rlike(r"\.(txt|text)$"), "text").otherwise("markdown")
 
 
-def analyse_documents(docs: DataFrame, options: dict | None = None, fmt: str = "markdown") -> Analysed:
-    """``docs`` has doc_id and text, and may have a format column; null text is empty."""
+def analyse_documents(docs: DataFrame, options: dict | None = None, fmt: str = "markdown", partition: bool = False) -> Analysed:
+    """``docs`` has doc_id and text, and may have a format column; null text is empty.
+
+    ``partition`` shuffles the result on doc_id once, for callers that cache it and join on doc_id again and again.
+    """
     ship_package(docs.sparkSession)
     options = dict(options or {})
     has_format = "format" in docs.columns
@@ -78,4 +81,5 @@ def analyse_documents(docs: DataFrame, options: dict | None = None, fmt: str = "
                 columns = [*part.columns, *(pa.array([x[n] for x in found], arrow.field(n).type) for n in ("masked", "regions", "blocks", "sentences"))]
                 yield pa.RecordBatch.from_arrays(columns, names=arrow.names)
 
-    return Analysed(source.mapInArrow(run, schema))
+    found = source.mapInArrow(run, schema)
+    return Analysed(found.repartition("doc_id") if partition else found)
