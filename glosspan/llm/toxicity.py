@@ -210,7 +210,7 @@ def _centre(margin: np.ndarray, y: np.ndarray) -> float:
     return -float((lo + hi) / 2 if hi > lo else lo)
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = 2000, max_chars: int = 14_000_000, **options) -> Model:
+def train(docs: DataFrame, labels: DataFrame, per_class: int = 2000, max_chars: int = 8_000_000, **options) -> Model:
     counts = {r.toxic: r.n for r in labels.groupBy("toxic").agg(F.count("*").alias("n")).collect() if r.toxic in (0, 1)}
     prior = (counts.get(1, 0) + 1) / (sum(counts.values()) + 2)
     return fit(labelled_sample(docs, labels, "toxic", per_class, max_chars), prior, **options)
