@@ -33,8 +33,6 @@ WINDOW = 400
 GRAM = 64
 SPAN = WINDOW - GRAM  # an anchor lies at most this far behind the start of its windows
 ROWS = 8192
-#: Owners and runs up to this many rows are broadcast, which spares the texts a shuffle; beyond, they are shuffled.
-BROADCAST_ROWS = 1_000_000
 _POSITION = 23
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -134,7 +132,7 @@ def anchor_rows(docs: DataFrame) -> DataFrame:
     source = owners(docs).where(F.octet_length("text") >= WINDOW).select("o1", "o2", "_bytes")
 
     def run(batch: pa.RecordBatch):
-        for part in slices(batch, "_bytes", 2 << 20):
+        for part in slices(batch, "_bytes", 1 << 20):
             raw = part.column("_bytes").to_pylist()
             groups, size = [[]], 0
             for k, r in enumerate(raw):  # positions must fit their bits; a longer text is alone and told apart by blocks
@@ -145,24 +143,24 @@ def anchor_rows(docs: DataFrame) -> DataFrame:
                 size += len(r)
             o1, o2 = np.asarray(part.column("o1")), np.asarray(part.column("o2"))
             for g in groups:
-                for base, own, texts, skip in _cuts(g, raw):
-                    yield _anchor_table(base, texts, o1[own], o2[own], skip)
+                for base, own, texts in _cuts(g, raw):
+                    yield _anchor_table(base, texts, o1[own], o2[own])
 
     return map_batches(source, run, _ANCHORS)
 
 
-def _cuts(group: list[int], raw: list[bytes]):
+def _cuts(group: list[int], raw: list[bytes]) -> Iterator[tuple[int, list[int], list[bytes]]]:
     """Texts to process together; a text too long for the position bits in pieces that overlap by a window less one."""
     limit = (1 << _POSITION) - 1
     if len(group) == 1 and len(raw[group[0]]) > limit:
         text = raw[group[0]]
         for at in range(0, len(text) - WINDOW + 1, limit - WINDOW + 1):
-            yield at, group, [text[at:at + limit]], False
+            yield at, group, [text[at:at + limit]]
     elif group:
-        yield 0, group, [raw[k] for k in group], False
+        yield 0, group, [raw[k] for k in group]
 
 
-def _anchor_table(base: int, texts: list[bytes], o1: np.ndarray, o2: np.ndarray, skip: bool) -> pa.Table:
+def _anchor_table(base: int, texts: list[bytes], o1: np.ndarray, o2: np.ndarray) -> pa.Table:
     starts = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
     doc, a, first, last, h, c1, c2 = anchors(np.frombuffer(b"".join(texts), np.uint8), starts)
     same = _mix(_mix(h.view(np.uint64) ^ _mix(c1.view(np.uint64))) + c2.view(np.uint64) + doc.astype(np.uint64) * _A)
@@ -325,10 +323,6 @@ def _by_window(deferred: DataFrame) -> DataFrame:
     return windows.where("n = 1").join(many, ["w1", "w2"]).select("o1", "o2", "first", F.col("first").alias("last"))
 
 
-def _sized(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
-
-
 def repeated_runs(docs: DataFrame, rows: int = ROWS) -> DataFrame:
     """(o1, o2, first, last): runs of window starts whose strings start elsewhere too, by owner, distinct."""
     ship(docs.sparkSession)
@@ -358,7 +352,7 @@ def repeated_runs(docs: DataFrame, rows: int = ROWS) -> DataFrame:
             kinds = [*[pa.int64()] * 4, pa.int32(), pa.int32(), pa.int64(), pa.binary()]
             yield pa.table([pa.array(c, t) for c, t in zip(cols, kinds)], names=[f.split()[0] for f in _CONTEXTS.split(", ")])
 
-    strings = map_batches(texts.join(_sized(wanted), ["o1", "o2"]), cut, _CONTEXTS)
+    strings = map_batches(texts.join(wanted, ["o1", "o2"]), cut, _CONTEXTS)
     fine = strings.repartition("h").sortWithinPartitions("h", "o1", "o2", "at").mapInArrow(_settle(rows), _FINE)
     fine = materialise(fine, "substr-fine")
     runs = local.unionByName(settled).unionByName(fine.where("first IS NOT NULL").select("o1", "o2", "first", "last"))
@@ -390,7 +384,7 @@ RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 s
 def deduplicate(docs: DataFrame, keep_text: bool = False, rows: int = ROWS) -> DataFrame:
     """One row per document: sizes, removed bytes and spans, the digest of what is left and, if asked, its bytes."""
     runs = materialise(repeated_runs(docs, rows).groupBy("o1", "o2").agg(F.collect_list(F.struct("first", "last")).alias("runs")), "substr-runs")
-    source = owners(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "_bytes", "o1", "o2").join(_sized(runs), ["o1", "o2"], "left")
+    source = owners(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "_bytes", "o1", "o2").join(runs, ["o1", "o2"], "left")
     schema = RESULT + (", kept binary" if keep_text else "")
 
     def run(batch: pa.RecordBatch):
