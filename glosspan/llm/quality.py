@@ -4,7 +4,8 @@ The UTF-8 bytes of a whole text are cut into overlapping chunks.  Learned filter
 and largest responses describe it, a small layer turns them into chunk features, the features are max-pooled over
 all chunks and combined into one probability.
 
-Defined cases: null and empty texts are one empty chunk; repeated rows score alike; texts of any length are read
+Defined cases: null and empty texts are one empty chunk; repeated rows score alike (to the five places that
+scores are rounded to, single precision products depending on their batch); texts of any length are read
 whole in slices of bounded memory; a label table without both classes gives the constant prior; the held-out fold
 never teaches; fitting uses at most ``per_class`` rows of each class and ``max_chars`` characters, both parameters.
 """
@@ -95,7 +96,7 @@ class Network:
         return np.maximum.reduceat(u, at[:-1]) @ self.out + self.bias
 
     def scores(self, raw: list[bytes]) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.logits(raw).astype(np.float64), -40, 40)))
+        return np.round(1 / (1 + np.exp(-np.clip(self.logits(raw).astype(np.float64), -40, 40))), 5)
 
 
 def _gradients(net: Network, raw: list[bytes], y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
@@ -153,6 +154,7 @@ def fit(sample: list[tuple[str, int]], prior: float, epochs: int = 10, batch_byt
     g = np.random.default_rng(seed)
     names = ("embed", "filters", "shift", "mix", "mix_shift", "out", "bias")
     first, second, t = {n: 0.0 for n in names}, {n: 0.0 for n in names}, 0
+    batch_bytes = min(batch_bytes, max(4096, sum(map(len, raw)) // 24))  # a small sample still makes steps enough
     steps = max(1, epochs * (1 + sum(map(len, raw)) // batch_bytes))
     for _ in range(epochs):
         order, at = g.permutation(len(raw)), 0
