@@ -151,7 +151,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")), cut, schema)
 
 
-# --- the plan, from a histogram -------------------------------------------------------------------------------
+# == the plan, from a histogram
 
 
 def nnls(a: np.ndarray, b: np.ndarray, tol: float = 1e-8) -> np.ndarray:

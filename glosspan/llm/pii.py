@@ -94,7 +94,7 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
-# --- candidate instances and their lexical contexts ------------------------------------------------------------
+# == candidate instances and their lexical contexts
 
 _TOKEN_TAIL = re.compile(r"[A-Za-z0-9_%+@./:-]+")
 _LEFT = re.compile(r"(?:([^\W\d_]+)[^\S\n]*)?([=:#\"'(<\[ \t]*)\Z")

@@ -15,7 +15,7 @@ from glosspan.llm.common import table
 
 from .conftest import DOC, words
 
-# --- 1 decontamination -----------------------------------------------------------------------------------------
+# == 1 decontamination
 
 
 def test_wand_equals_scoring_everything():
@@ -57,7 +57,7 @@ def test_leaks_on_odd_rows(spark, odd_docs, no_docs):
     assert kept.columns == [*odd_docs.columns, "score"] and kept.count() == 10
 
 
-# --- 2 near-duplicates -----------------------------------------------------------------------------------------
+# == 2 near-duplicates
 
 
 def test_links_and_classes_equal_brute_force(spark, sf):
@@ -93,7 +93,7 @@ def test_neardup_on_odd_rows(spark, odd_docs, no_docs):
     assert neardup.classify(no_docs).count() == 0
 
 
-# --- 3 packing -------------------------------------------------------------------------------------------------
+# == 3 packing
 
 
 def test_plan_places_every_piece_once():
@@ -153,7 +153,7 @@ def test_packing_on_odd_rows(spark, odd_docs, no_docs):
     assert packing.pack_documents(no_docs).count() == 0
 
 
-# --- 4 pages ---------------------------------------------------------------------------------------------------
+# == 4 pages
 
 ARTICLE = "alpha beta gamma delta epsilon zeta eta theta " * 12
 PAGES = [
@@ -187,7 +187,7 @@ def test_query_extracts_every_article(spark, sf):
         assert r.text == "\n".join(filter(None, (" ".join(html.unescape(p).split()) for p in parts)))
 
 
-# --- 5 and 8 classifiers ---------------------------------------------------------------------------------------
+# == 5 and 8 classifiers
 
 
 def _labelled(spark, good, bad, name):
@@ -251,7 +251,7 @@ def test_network_scores_do_not_depend_on_the_batch():
     assert np.allclose(net.scores(raw), np.concatenate([net.scores([r]) for r in raw]), atol=1e-5)
 
 
-# --- 6 chat ----------------------------------------------------------------------------------------------------
+# == 6 chat
 
 
 def test_escaping_is_reversible():
@@ -278,7 +278,7 @@ def test_conversations_on_odd_rows(spark):
     assert chat.digest(chat.format_turns(df.limit(0))).count() == 0
 
 
-# --- 7 nearest neighbours --------------------------------------------------------------------------------------
+# == 7 nearest neighbours
 
 
 def test_recall_scores_and_ties(spark):
@@ -310,11 +310,11 @@ def test_few_or_no_vectors(spark):
     assert ann.search(celled, celled, index, share).count() == 0
 
 
-# --- 9 personal data -------------------------------------------------------------------------------------------
+# == 9 personal data
 
 
 def _base(text):
-    out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    out = [("email", *m.span()) for m in re.finditer("[A-Za-z0-9._%+-]+" + "@[A-Za-z0-9-]+" + r"(\.[A-Za-z0-9-]+)+", text)]
     out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m[0].split("."))]
     for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
         d = re.sub("[ -]", "", m[0])
@@ -362,7 +362,7 @@ def test_pattern_tables_too_large_for_the_driver(spark, monkeypatch):
     assert sorted(map(tuple, pii.find(docs, learned, ["doc_id"], pii._digest).collect())) == want and "context" in str(want)
 
 
-# --- 10 substrings ---------------------------------------------------------------------------------------------
+# == 10 substrings
 
 
 def _removed(texts):
