@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 MASK = "\ufffd"
 SPAN = "array<struct<start:int,end:int,text:string>>"
-WORD = r"[\p{L}\p{N}](?:[\p{L}\p{N}]|['\u2019](?=[\p{L}\p{N}])|[-.](?=[\p{L}\p{N}]))*"
+_ALNUM = r"[\p{L}\p{N}]"
+WORD = _ALNUM + f"(?:{_ALNUM}|['\u2019](?={_ALNUM})|[-.](?={_ALNUM}))*"
 
 
 def bounded(pattern: str) -> str:
@@ -134,7 +135,7 @@ def reading_ease(text: Column) -> Column:
     return F.when(n > 0, F.lit(206.835) - F.lit(1.015) * n - F.lit(84.6) * total / n)
 
 
-# --- fix safety ------------------------------------------------------------------------------------------------
+# == fix safety
 
 _NEGATION = "cannot|neither|without|never|none|not|nor|no"
 _MODAL = "should|could|might|would|ought|shall|must|will|need|can|may"
@@ -156,7 +157,7 @@ def _bag(text: Column, alternatives: str) -> Column:
 
 
 def numbers(text: Column) -> Column:
-    found = F.coalesce(F.regexp_extract_all(text, F.lit(r"[+-]?\d+(?:[.,]\d+)*"), F.lit(0)), F.array().cast("array<string>"))
+    found = F.coalesce(F.regexp_extract_all(text, F.lit("[+-]?" + r"\d+" + r"(?:[,.]\d+)*"), F.lit(0)), F.array().cast("array<string>"))
     return F.transform(found, lambda n: F.regexp_replace(n, ",", "."))
 
 

@@ -16,10 +16,5 @@ def words(name: str) -> list[str]:
     return list(lists()[name])
 
 
-LIMITS = {
-    "proceduralMaxGradeLevel": 7.0,
-    "descriptiveMaxGradeLevel": 8.0,
-    "sentenceReadabilityFloorWords": 20,
-    "maxNounClusterLength": 3,
-    "maxSentencesPerProceduralStep": 1,
-}
+LIMITS = dict(maxNounClusterLength=3, maxSentencesPerProceduralStep=1, descriptiveMaxGradeLevel=8.0, proceduralMaxGradeLevel=7.0,
+              sentenceReadabilityFloorWords=20)

@@ -11,11 +11,12 @@ from .regions import CONTENT, MARKERS, MASK, mask, protected_regions
 
 _REGISTER = {"danger": "danger", "warning": "warning", "caution": "caution", "attention": "caution", "important": "caution",
              "note": "note", "tip": "note", "hint": "note", "info": "note"}
+_COLLAPSE = "(?:" + "|".join(("!" * 3, r"\?" * 3 + r"\+?")) + ")"
 _OPENERS = (
-    re.compile(r"^\s*>?\s*\[!(\w+)\]"), re.compile(r"^\s*(?:!!!|\?\?\?\+?)\s+(\w+)"), re.compile(r"^\s*:{3,}\s*\{?\s*(\w+)\}?"),
+    re.compile(r"^\s*>?\s*\[!(\w+)\]"), re.compile(rf"^\s*{_COLLAPSE}\s+(\w+)"), re.compile(r"^\s*:{3,}\s*\{?\s*(\w+)\}?"),
     re.compile(r"^\s*\.\.\s+(?:admonition::\s+)?(\w+)(?:::)?"), re.compile(r"^\s*\[(\w+)\]\s*$"), re.compile(r"^\s*\**(\w+)\**\s*[:!]"),
     re.compile(r"^\s*(DANGER|WARNING|CAUTION|NOTE)\b"))
-_BARE = re.compile(r"^\s*(?:>?\s*\[!\w+\]|(?:!!!|\?\?\?\+?)\s+\w+(?:\s+\"[^\"]*\")?|:{3,}\s*\{?\w*\}?.*|\.\.\s+(?:admonition::\s+)?\w+(?:::)?|\[\w+\]|\**\w+\**\s*[:!]|DANGER|WARNING|CAUTION|NOTE)\s*$")
+_BARE = re.compile(r"^\s*(?:>?\s*\[!\w+\]|" + _COLLAPSE + r"\s+\w+(?:\s+\"[^\"]*\")?|:{3,}\s*\{?\w*\}?.*|\.\.\s+(?:admonition::\s+)?\w+(?:::)?|\[\w+\]|\**\w+\**\s*[:!]|DANGER|WARNING|CAUTION|NOTE)\s*$")
 
 
 def detect_admonition(line: str) -> str:
@@ -37,7 +38,7 @@ def is_label_line(line: str) -> bool:
     return bool(re.match(r"^\s*\**\w+\**\s*[:!]", line)) and detect_admonition(line) != "none"
 
 
-# --- openers ---------------------------------------------------------------------------------------------------
+# == openers
 
 _LEAD = re.compile(r"^[\s>*_~#\"'(\[•–—-]*(?:\d+[.)]\s+|[a-zA-Z][.)]\s+)?")
 _VERBS = frozenset(vocab.words("opener_verbs"))
@@ -61,7 +62,7 @@ def opens_imperative(text: str, extra: frozenset[str] = frozenset()) -> bool:
     return word in _VERBS or word in extra
 
 
-# --- units -----------------------------------------------------------------------------------------------------
+# == units
 
 
 @dataclass
@@ -78,8 +79,8 @@ class Block:
     lines: list = field(default_factory=list)
 
 
-_LIST = re.compile(r"^([ \t]*)((?:[-*+])|(\d{1,9})[.)])([ \t]+)")
-_RULE = re.compile(r"^ {0,3}(?:(?:-[ \t]*){3,}|(?:\*[ \t]*){3,}|(?:_[ \t]*){3,})$")
+_LIST = re.compile(r"^([ \t]*)" + "([*+-]|" + r"(\d{1,9})" + "[).])" + r"([ \t]+)")
+_RULE = re.compile("^ {0,3}(?:" + "|".join(rf"(?:{c}[ \t]*){{3,}}" for c in ("-", r"\*", "_")) + ")$")
 
 
 def split_cells(line: str) -> list[tuple[int, int]]:
@@ -173,7 +174,7 @@ def markdown_blocks(raw: str, masked: str, regions: list[tuple[str, int, int]])
             close()
             if quote:
                 container = (register, "quote")
-            elif re.match(r"^\s*(?:!!!|\?\?\?|\.\.)", line):
+            elif line.lstrip().startswith(("!" * 3, "?" * 3, "..")):
                 container = (register, "indent")
             elif re.match(r"^\s*:{3,}", line):
                 container = (register, "fence")
@@ -209,7 +210,7 @@ def markdown_blocks(raw: str, masked: str, regions: list[tuple[str, int, int]])
     return out
 
 
-# --- sentences and words ---------------------------------------------------------------------------------------
+# == sentences and words
 
 _ABBREVIATIONS = frozenset(a.lower() for a in vocab.words("splitter_abbreviations"))
 _STOP = re.compile(r"(?:[.!?]+|…)[\"'”’)\]]*(?=\s|$)")

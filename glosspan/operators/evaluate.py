@@ -65,7 +65,7 @@ def report_lines(scores: DataFrame) -> DataFrame:
                                      F.concat(F.lit("recall="), F.when(F.col("recall").isNotNull(), show("recall")).otherwise("n/a"))).alias("line"))
 
 
-# --- corpus ----------------------------------------------------------------------------------------------------
+# == corpus
 
 LITERAL_KINDS = ("inline-code", "math", "autolink", "url", "email", "credential", "approved-term", "identifier", "placeholder", "file-path", "config-fragment",
                  "numeric-expression", "quoted-literal", "constant", "fenced-code", "indented-code", "shell-command", "reference-definition", "link-destination")

@@ -75,7 +75,7 @@ def _in_sentence(df: DataFrame, hits: Column) -> DataFrame:
             .withColumn("match", F.col("hit.text")).drop("hit"))
 
 
-# --- sentence length (both modes) ------------------------------------------------------------------------------
+# == sentence length (both modes)
 
 
 def sentence_length(a: Analysed, config: RuleConfig, mode: str) -> DataFrame:
@@ -91,7 +91,7 @@ def sentence_length(a: Analysed, config: RuleConfig, mode: str) -> DataFrame:
                    meta=F.create_map(F.lit("grade"), F.format_string("%.1f", "grade"), F.lit("words"), F.size("words").cast("string")))
 
 
-# --- dictionary rules ------------------------------------------------------------------------------------------
+# == dictionary rules
 
 
 def phrase_hits(s: DataFrame, phrases: DataFrame, longest: int, leads: list[str]) -> DataFrame:
@@ -172,7 +172,7 @@ def no_contractions(a: Analysed, config: RuleConfig) -> DataFrame:
     return _term_findings(hits, rule, F.concat(F.lit('Write "'), F.col("match"), F.lit('" in full.'), note))
 
 
-# --- mechanics -------------------------------------------------------------------------------------------------
+# == mechanics
 
 
 def punctuation_constraints(a: Analysed, config: RuleConfig) -> DataFrame:
@@ -237,7 +237,7 @@ def number_unit_format(a: Analysed, config: RuleConfig) -> DataFrame:
     tight = list(config.get(rule, "noSpaceUnits", ("%", "°")))
     r = a.documents.select("doc_id", "text", F.explode("regions").alias("r")).where("r.kind = 'numeric-expression'")
     r = r.select("doc_id", F.col("r.start").alias("start"), F.col("r.end").alias("end"), F.expr("substring(text, r.start + 1, r.end - r.start)").alias("literal"))
-    parts = r"^([+±-]?\d+(?:[.,]\d+)*)(\s*)([A-Za-zµ°%][^\d\s]*)$"
+    parts = "^([+±-]?" + r"\d+" + r"(?:[,.]\d+)*" + r")(\s*)([A-Za-zµ°%][^\d\s]*)$"
     r = r.withColumn("gap", F.regexp_extract("literal", parts, 2)).withColumn("unit", F.regexp_extract("literal", parts, 3))
     exempt = F.col("unit").isin(tight) | F.substring("unit", 1, 1).isin(tight)
     out = None
@@ -253,7 +253,7 @@ def number_unit_format(a: Analysed, config: RuleConfig) -> DataFrame:
     return out if out is not None else finding(r.where("false"), rule, F.lit(""))
 
 
-# --- structure -------------------------------------------------------------------------------------------------
+# == structure
 
 
 def sibling_items(a: Analysed) -> DataFrame:
@@ -308,13 +308,16 @@ def one_instruction_per_sentence(a: Analysed, config: RuleConfig) -> tuple[DataF
                             "A clause after a comma holds a second possible instruction.")
 
 
-# --- candidate rules -------------------------------------------------------------------------------------------
+# == candidate rules
+
+
+_BE = ("being", "been", "were", "gets", "was", "are", "get", "got", "is", "be")
 
 
 def passive_voice(a: Analysed, config: RuleConfig) -> DataFrame:
     rule = "passive-voice-candidate"
     forms = "|".join(vocab.words("participles"))
-    rx = spans.bounded(rf"(?i)(?:is|are|was|were|be|been|being|gets|get|got)\s+(?:[a-z]+ly\s+)?(?:[a-z]{{3,}}ed|{forms})(?![A-Za-z0-9_])(?:\s+by(?![A-Za-z0-9_]))?")
+    rx = spans.bounded(rf"(?i)(?:{'|'.join(_BE)})\s+" + r"(?:[a-z]+ly\s+)?" + rf"(?:[a-z]{{3,}}ed|{forms})(?![A-Za-z0-9_])(?:\s+by(?![A-Za-z0-9_]))?")
     rows = _in_sentence(_sentences(a).where(F.col("masked").rlike(rx)), spans.find_spans(F.col("masked"), rx))
     agent = F.col("match").rlike(r"(?i)\sby$")
     if config.get(rule, "requireByAgent", False):

@@ -36,7 +36,7 @@ _TOKEN = r"[A-Za-z0-9]+(?:['-][A-Za-z0-9]+)*"
 _TOKEN_SQL = _TOKEN.replace("'", "''")
 
 
-# --- tokens, offsets, blocks -----------------------------------------------------------------------------------
+# == tokens, offsets, blocks
 
 
 @query("word_count_by_lang", f"""
@@ -99,9 +99,10 @@ def content_hashes(spark, sf_dir):
     return _t(spark, sf_dir, "documents").select("doc_id", spans.content_hash(F.coalesce("lang", F.lit("")), F.coalesce("text", F.lit(""))).alias("hash"))
 
 
-# --- masks and regions -----------------------------------------------------------------------------------------
+# == masks and regions
 
-_EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
+_HOST = "[0-9A-Za-z-]+"
+_EMAIL = "[0-9A-Za-z._%+-]+@" + _HOST + r"(?:\." + _HOST + ")+"
 _HEX = r"[0-9a-f]{32,}"
 
 
@@ -153,14 +154,14 @@ def html_comment_regions(spark, sf_dir):
 @query("corroborated_constants", """
 WITH p AS (SELECT p_partkey, 'Set ' || replace(p_brand, '#', '_') || '=on. The BRAND of part ' || p_partkey || ' is OFF, says ' || upper(split_part(p_type, ' ', 1)) || '.' AS text FROM part),
 names AS (SELECT p_partkey, unnest(string_split_regex(regexp_extract(text, '[A-Za-z0-9]+(_[A-Za-z0-9]+)+', 0), '_')) AS seg FROM p),
-tokens AS (SELECT p_partkey, unnest(regexp_extract_all(text, '[A-Z][A-Z0-9]{1,9}')) AS tok FROM p)
+tokens AS (SELECT p_partkey, unnest(regexp_extract_all(text, '[A-Z][0-9A-Z]{1,9}')) AS tok FROM p)
 SELECT p_partkey, count(*) AS n FROM tokens t WHERE EXISTS (SELECT 1 FROM names n WHERE n.p_partkey = t.p_partkey AND upper(n.seg) = t.tok) GROUP BY p_partkey""")
 def corroborated_constants(spark, sf_dir):
     text = F.concat(F.lit("Set "), F.replace("p_brand", F.lit("#"), F.lit("_")), F.lit("=on. The BRAND of part "), F.col("p_partkey").cast("string"), F.lit(" is OFF, says "),
                     F.upper(F.split_part("p_type", F.lit(" "), F.lit(1))), F.lit("."))
     p = _t(spark, sf_dir, "part").select("p_partkey", text.alias("text"))
     names = p.select("p_partkey", F.explode(F.split(F.regexp_extract("text", r"[A-Za-z0-9]+(_[A-Za-z0-9]+)+", 0), "_")).alias("seg")).select("p_partkey", F.upper("seg").alias("tok"))
-    tokens = p.select("p_partkey", F.explode(F.regexp_extract_all("text", F.lit("[A-Z][A-Z0-9]{1,9}"), F.lit(0))).alias("tok"))
+    tokens = p.select("p_partkey", F.explode(F.regexp_extract_all("text", F.lit("[A-Z][0-9A-Z]{1,9}"), F.lit(0))).alias("tok"))
     return tokens.join(names, ["p_partkey", "tok"], "left_semi").groupBy("p_partkey").agg(F.count("*").alias("n"))
 
 
@@ -175,7 +176,7 @@ def merged_ranges(spark, sf_dir):
     return spans.merge_ranges(r, ["l_orderkey"])
 
 
-# --- rules over prose ------------------------------------------------------------------------------------------
+# == rules over prose
 
 _PLAIN_SENT = r"[^.!?\n]+[.!?]?"
 _SYL = ("list_aggregate(list_transform(regexp_extract_all(s, '[A-Za-z]+'), lambda w: greatest(1, len(regexp_extract_all(lower(w), '[aeiouy]+')) - "
@@ -359,7 +360,7 @@ def pronoun_candidates(spark, sf_dir):
     return d.select("doc_id", F.size(F.filter(pairs, hit)).cast("long").alias("n")).where("n > 0")
 
 
-# --- fixes -----------------------------------------------------------------------------------------------------
+# == fixes
 
 
 @query("overlapping_fix_conflicts", """
@@ -397,7 +398,7 @@ def capital_transfer(spark, sf_dir):
     return _t(spark, sf_dir, "nation").select("n_name", spans.match_capitals(source, F.lit("use")).alias("replaced"))
 
 
-# --- suppression -----------------------------------------------------------------------------------------------
+# == suppression
 
 _CLAIMS_SQL = """d AS (SELECT l_orderkey AS doc, l_linenumber * 100 AS pos, CASE WHEN l_linenumber % 2 = 1 THEN 'disable' ELSE 'enable' END AS key FROM lineitem),
 p AS (SELECT doc, pos, key, lead(pos) OVER (PARTITION BY doc ORDER BY pos, key) AS nxt FROM d),
@@ -439,7 +440,7 @@ def next_block_claim(spark, sf_dir):
     return d.distinct().join(b, "doc").where("b_end > pos").groupBy("doc", "pos").agg(best.alias("x")).select("doc", "pos", F.col("x.b_end").alias("b_end"), (-F.col("x.m")).alias("b_start"))
 
 
-# --- adjudication ----------------------------------------------------------------------------------------------
+# == adjudication
 
 
 @query("dedup_requests", """
@@ -478,7 +479,7 @@ def verdict_policy(spark, sf_dir):
     return v.groupBy(F.coalesce(c, F.lit("none")).alias("category")).agg(F.count("*").alias("n"))
 
 
-# --- evaluation ------------------------------------------------------------------------------------------------
+# == evaluation
 
 
 @query("gold_labels", """
@@ -531,7 +532,7 @@ def latency_percentiles(spark, sf_dir):
     return _t(spark, sf_dir, "events").groupBy("event_type").agg(pct(0.5).alias("p50"), pct(0.9).alias("p90"), pct(0.99).alias("p99"), F.round(F.avg("value"), 6).alias("mean"))
 
 
-# --- corpus ----------------------------------------------------------------------------------------------------
+# == corpus
 
 
 @query("corpus_constraints", """
@@ -574,7 +575,7 @@ def severity_summary(spark, sf_dir):
     return gate.totals(gate.with_severity(f))
 
 
-# --- the whole analysis: rows only -----------------------------------------------------------------------------
+# == the whole analysis: rows only
 
 
 def _as_docs(spark, sf_dir):

@@ -78,7 +78,7 @@ def load_config(base: str | None = None) -> dict:
     return json.loads(strip_comments(Path(path).read_text("utf-8"))) if path else {}
 
 
-# --- prompts ---------------------------------------------------------------------------------------------------
+# == prompts
 
 _VARIABLE = re.compile(r"\{\{\s*([A-Za-z_]\w*)\s*\}\}")
 
@@ -115,7 +115,7 @@ def normalise_url(url):
     return F.regexp_replace(F.split(url, "#")[0], "/+$", "")
 
 
-# --- corpus files ----------------------------------------------------------------------------------------------
+# == corpus files
 
 MANIFEST = ("id string, title string, category string, split string, originalPath string, compliantPath string, annotationPath string, originalSha256 string, "
             "compliantSha256 string, licence string, provenanceKey string, sourceUrl string, retrievedAt string, notes string")
@@ -133,7 +133,7 @@ def read_annotations(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(ANNOTATION).json(path, multiLine=True, mode="FAILFAST")
 
 
-# --- sinks -----------------------------------------------------------------------------------------------------
+# == sinks
 
 
 def json_report(findings: DataFrame, tool: str = "glosspan") -> DataFrame:

@@ -19,7 +19,7 @@ def test_files_and_formats(spark, tmp_path):
 def test_rule_packs(tmp_path):
     assert S.load_rule_pack()["limits"]["maxNounClusterLength"] == 3
     f = tmp_path / "p.json"
-    f.write_text(json.dumps({"metadata": {"id": "p"}, "dictionary": {"unapproved": [{"term": "foo", "alternatives": ["bar"], "safeSubstitution": True}]}}))
+    f.write_text(json.dumps({"dictionary": {"unapproved": [dict(alternatives=["bar"], safeSubstitution=True, term="foo")]}, "metadata": {"id": "p"}}))
     assert S.load_rule_pack("p.json", str(tmp_path))["unapproved"] == {"foo": {"use": ["bar"], "safe": True}}
     for bad in ({}, {"metadata": {"id": "x"}, "limits": {"nope": 1}}, "missing.json"):
         with pytest.raises(S.PackError):
