@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -311,6 +312,15 @@ def one_instruction_per_sentence(a: Analysed, config: RuleConfig) -> tuple[DataF
 # == candidate rules
 
 
+def tagged(tagger):
+    """A part-of-speech tagger as an Arrow-batched function; any callable over one sentence and one offset will do."""
+    @F.pandas_udf("string")
+    def tag(masked: pd.Series, offset: pd.Series) -> pd.Series:
+        return pd.Series([tagger(m, int(o)) for m, o in zip(masked, offset)], dtype=object)
+
+    return tag
+
+
 _BE = ("being", "been", "were", "gets", "was", "are", "get", "got", "is", "be")
 
 
@@ -320,6 +330,10 @@ def passive_voice(a: Analysed, config: RuleConfig) -> DataFrame:
     rx = spans.bounded(rf"(?i)(?:{'|'.join(_BE)})\s+" + r"(?:[a-z]+ly\s+)?" + rf"(?:[a-z]{{3,}}ed|{forms})(?![A-Za-z0-9_])(?:\s+by(?![A-Za-z0-9_]))?")
     rows = _in_sentence(_sentences(a).where(F.col("masked").rlike(rx)), spans.find_spans(F.col("masked"), rx))
     agent = F.col("match").rlike(r"(?i)\sby$")
+    tagger = config.get(rule, "tagger", None)
+    if tagger is not None:  # (masked sentence, offset of the participle) -> tag, asked only for what the pattern found
+        at = F.col("start") - F.col("s_start") + F.length(F.regexp_extract("match", r"(?i)^([\s\S]*?)\w+(?:\s+by)?$", 1))
+        rows = rows.where(tagged(tagger)(F.col("masked"), at) == "VERB")
     if config.get(rule, "requireByAgent", False):
         rows = rows.where(agent)
     payload = F.struct(F.col("match").alias("construction"), F.lower(F.regexp_extract("match", r"^(\w+)", 1)).alias("auxiliary"),

@@ -18,6 +18,7 @@ from ..operators.rules import ORDER
 
 def read_files(spark: SparkSession, paths: list[str], fmt: str | None = None) -> DataFrame:
     """(doc_id, path, format, text), one row per file; the format follows the name unless given."""
+    paths = [p if "://" in p else os.path.abspath(p) for p in paths]
     d = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
     return d.select(F.col("path").alias("doc_id"), "path", (F.lit(fmt) if fmt else infer_format(F.col("path"))).alias("format"), "text")
 
