@@ -29,7 +29,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 #: Bytes of a batch between the JVM and a Python worker, where the session keeps Spark's default of 64 MB.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def ship(spark: SparkSession) -> None:
@@ -72,8 +72,8 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch | pa.Table]], schema) -> DataFrame:
-    """mapInArrow over record batches; ``fn`` yields batches or tables that fit ``schema``."""
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch | pa.Table]], schema, after: Callable[[], None] | None = None) -> DataFrame:
+    """mapInArrow over record batches; ``fn`` yields batches or tables that fit ``schema``, ``after`` ends a task."""
     ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,6 +84,8 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.Record
                 else:
                     yield out
             pa.default_memory_pool().release_unused()
+        if after:
+            after()
         _trim()
 
     return df.mapInArrow(run, schema)

@@ -94,7 +94,7 @@ def fingerprint_rows(docs: DataFrame) -> DataFrame:
                                          F.coalesce("text", F.lit("")).alias("text"))
 
     def run(batch: pa.RecordBatch):
-        for part in slices(batch, "text", 6 << 20):
+        for part in slices(batch, "text", 2 << 20):
             fp = fingerprints(part.column("text")) if part.num_rows else np.zeros((0, 32), np.uint8)
             yield pa.table([part.column("doc_id"), part.column("h1"), part.column("h2"), *_columns(fp)], names=["doc_id", "h1", "h2", *_PARTS])
 

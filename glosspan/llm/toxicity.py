@@ -228,7 +228,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
             weights = np.zeros(1 << BITS, np.float32)
             weights[ids] = values
             state["model"] = Model(bias, weights)
-        for part in slices(batch, "text", 8 << 20):
+        for part in slices(batch, "text", 3 << 20):
             p = state["model"].scores(part.column("text"))
             folds = [held_out(i) if i is not None else False for i in part.column("doc_id").to_pylist()]
             yield pa.table([part.column("doc_id"), pa.array(folds, pa.bool_()), pa.array(p, pa.float64()), pa.array((p >= threshold).astype(np.int32))],
