@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import spans, vocab
 from ..operators import adjudicate, evaluate, gate
+from ..operators.analyse import analyse_documents
 from ..operators.rules import RuleConfig
 from .pipeline import lint
 
@@ -575,6 +576,51 @@ def severity_summary(spark, sf_dir):
     return gate.totals(gate.with_severity(f))
 
 
+@query("applied_fixes", "SELECT p_partkey AS doc_id, 'Use ' || p_name || ' now and then, before noon.' AS fixed, 3 AS n_fixes FROM part")
+def applied_fixes(spark, sf_dir):
+    text = F.concat(F.lit("Utilise "), "p_name", F.lit(" now and and then, prior to noon."))
+    d = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), text.alias("text"), F.length("p_name").alias("n"))
+    fix = lambda lo, hi, t: F.struct(lo.cast("int").alias("start"), hi.cast("int").alias("end"), F.lit(t).alias("text"), F.lit(True).alias("safe"))
+    at = F.col("n") + 8
+    edits = d.withColumn("fix", F.explode(F.array(fix(F.lit(0), F.lit(7), "Use"), fix(at + 8, at + 12, ""), fix(at + 19, at + 27, "before"))))
+    return gate.apply_fixes(edits, d)
+
+
+@query("canonical_digests", """SELECT n_nationkey, sha256('{"key":"' || n_nationkey || '","name":"' || n_name || '","region":"' || n_regionkey || '"}') AS digest FROM nation""")
+def canonical_digests(spark, sf_dir):
+    unsorted = F.create_map(F.lit("region"), F.col("n_regionkey").cast("string"), F.lit("name"), F.col("n_name"), F.lit("key"), F.col("n_nationkey").cast("string"))
+    return _t(spark, sf_dir, "nation").select("n_nationkey", evaluate.canonical_digest(unsorted).alias("digest"))
+
+
+@query("reading_ease", f"""
+WITH s AS (SELECT doc_id, unnest(regexp_extract_all(text, '[^.!?\\n]+[.!?]?')) AS s FROM documents),
+g AS (SELECT doc_id, len(regexp_extract_all(s, '[A-Za-z]+')) AS n, {_SYL} AS syl FROM s WHERE len(regexp_extract_all(s, '[A-Za-z]+')) > 0)
+SELECT doc_id, count(*) AS n_sentences, round(avg(206.835::DOUBLE - 1.015::DOUBLE * n - 84.6::DOUBLE * syl / n), 4) AS ease FROM g GROUP BY doc_id""")
+def reading_ease(spark, sf_dir):
+    s = _t(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(_PLAIN_SENT), F.lit(0))).alias("s"))
+    e = s.select("doc_id", spans.reading_ease(F.col("s")).alias("e")).where("e IS NOT NULL")
+    return e.groupBy("doc_id").agg(F.count("*").alias("n_sentences"), F.round(F.avg("e"), 4).alias("ease"))
+
+
+@query("fix_gate", """
+WITH f AS (SELECT l_orderkey, l_linenumber, l_partkey, l_discount > 0.08 AS off, l_returnflag = 'R' AS warned, l_linestatus = 'F' AS touching FROM lineitem)
+SELECT coalesce(CASE WHEN off THEN 'off' WHEN l_partkey % 4 = 0 THEN 'not fixable' WHEN warned THEN 'admonition' WHEN touching THEN 'protected' WHEN l_partkey % 2 = 1 THEN 'number changed' END, 'allowed') AS outcome, count(*) AS n FROM f GROUP BY 1""")
+def fix_gate(spark, sf_dir):
+    before = F.concat(F.lit("Turn "), F.col("l_partkey").cast("string"))
+    after = F.when(F.col("l_partkey") % 2 == 1, F.concat(F.lit("Turn "), (F.col("l_partkey") + 1).cast("string"))).otherwise(before)
+    refusal = (F.when(F.col("l_discount") > 0.08, "off").when(F.col("l_partkey") % 4 == 0, "not fixable").when(F.col("l_returnflag") == "R", "admonition")
+               .when(F.col("l_linestatus") == "F", "protected").otherwise(spans.fix_refusal(before, after)))
+    return _t(spark, sf_dir, "lineitem").select(F.coalesce(refusal, F.lit("allowed")).alias("outcome")).groupBy("outcome").agg(F.count("*").alias("n"))
+
+
+@query("protected_literals", """
+WITH p AS (SELECT p_partkey, 'Set `' || p_brand || '` to ' || p_size || ' mm, see https://a.example/' || p_partkey || ' now.' AS text FROM part)
+SELECT p_partkey AS doc_id, unnest(['`' || regexp_extract(text, '`([^`]*)`', 1) || '`', regexp_extract(text, '[0-9]+ mm'), regexp_extract(text, 'https://[^ ]+')]) AS literal FROM p""")
+def protected_literals(spark, sf_dir):
+    text = F.concat(F.lit("Set `"), "p_brand", F.lit("` to "), F.col("p_size").cast("string"), F.lit(" mm, see https://a.example/"), F.col("p_partkey").cast("string"), F.lit(" now."))
+    return evaluate.protected_literals(analyse_documents(_t(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), text.alias("text"))))
+
+
 # == the whole analysis: rows only
 
 
