@@ -72,12 +72,16 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch | pa.Table]], schema, after: Callable[[], None] | None = None) -> DataFrame:
-    """mapInArrow over record batches; ``fn`` yields batches or tables that fit ``schema``, ``after`` ends a task."""
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch | pa.Table]], schema, after: Callable[[], None] | None = None,
+                gather: int = 0) -> DataFrame:
+    """mapInArrow over record batches; ``fn`` yields batches or tables that fit ``schema``, ``after`` ends a task.
+
+    ``gather`` joins batches up to that many bytes before ``fn`` sees them.
+    """
     ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _gathered(batches, gather):
             for out in fn(batch):
                 if isinstance(out, pa.Table):
                     yield from out.to_batches()
@@ -91,6 +95,18 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.Record
     return df.mapInArrow(run, schema)
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.nbytes for b in held) >= most:
+            yield held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held = []
+    if held:
+        joined = pa.Table.from_batches(held).combine_chunks().to_batches()
+        yield joined[0] if joined else held[0]
+
+
 def _trim() -> None:
     """Give freed memory back at a task's end: workers live on and share an executor with the JVM."""
     try:

@@ -17,6 +17,7 @@ import os
 import re
 import zlib
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,8 @@ END_ID = 1
 _UNUSUAL = re.compile(r"[^\t\n\r\x20-\x7e\xa1-\u024f]|[\xb2\xb3\xb9\xbc-\xbe\u0130]|<\|")
 #: The vocabulary's own pre-token pattern, for the characters that are left.
 _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|[\W_]+")
-_MEMO_WORDS = 250_000
+_MEMO_WORDS = 400_000
+_MEMO_KEPT = 200_000
 
 
 def default_tokenizer() -> str:
@@ -62,8 +64,9 @@ class _Encoder:
         self.old_parts: dict[str, bytes] = {}
 
     def forget(self) -> None:
-        """Empty the memo at a task's end: idle workers share their executor with other stages."""
-        self.words, self.old_words, self.parts, self.old_parts = {}, {}, {}, {}
+        """Keep only the longest known words at a task's end: idle workers share their executor with other stages."""
+        self.old_words, self.old_parts = {}, {}
+        self.words, self.parts = (dict(islice(d.items(), _MEMO_KEPT)) for d in (self.words, self.parts))
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -139,7 +142,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids binary" if keep_ids else "")
 
     def cut(batch: pa.RecordBatch):
-        for part in slices(batch, "text", 4 << 20):
+        for part in slices(batch, "text", 12 << 20):
             cols: list[list] = [[], [], [], [], [], []]
             for doc, ids in zip(part.column("doc_id").to_pylist(), token_bytes(part.column("text").to_pylist(), tokenizer)):
                 ids += end
@@ -153,7 +156,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
             yield pa.table([pa.array(c, k) for c, k in zip(cols[:n], kinds)], names=names[:n])
 
     return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")), cut, schema,
-                       lambda: _encoder(tokenizer).forget())
+                       lambda: _encoder(tokenizer).forget(), gather=12 << 20)
 
 
 # == the plan, from a histogram
