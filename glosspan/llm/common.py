@@ -138,9 +138,11 @@ def held_out_column(c="doc_id"):
     return F.coalesce(F.crc32(F.col(c).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, max_chars: int) -> list[tuple[str, int]]:
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, max_chars: int, also: str | None = None) -> list[tuple]:
     """Texts and 0/1 labels for fitting: at most ``per_class`` rows of each class and ``max_chars`` in all.
 
+    With ``also``, each row ends with that column's value, or with None where there is no such column.
+
     The ids come from the label table alone, ordered by a hash, so the bounded id list is what reaches the
     scan of the documents; rows of the held-out fold, null labels and null ids never take part.
     """
@@ -154,7 +156,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     known = {r.doc_id: r.y for r in ids}
     spark = docs.sparkSession
     small = spark.createDataFrame([(k,) for k in known], T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType)]))
-    rows = (docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    extra = F.col(also) if also in docs.columns else F.lit(None)
+    rows = (docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), extra.alias("extra"))
             .join(F.broadcast(small), "doc_id", "left_semi").collect())
     rows.sort(key=lambda r: hashlib.md5(str(r.doc_id).encode() + r.text[:64].encode("utf-8", "replace")).digest())
     out, chars = [], 0
@@ -162,7 +165,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
         if chars + len(r.text) > max_chars:
             continue
         chars += len(r.text)
-        out.append((r.text, known[r.doc_id]))
+        out.append((r.text, known[r.doc_id], r.extra) if also else (r.text, known[r.doc_id]))
     return out
 
 

@@ -3,7 +3,8 @@
 A word's score is the sum of the weights of its n-grams; a document's logit is a bias plus its highest word score
 and a share of the next one's, so one insult in a very long text counts as much as in a short one.  Labelled
 sentences that hold an identity term are repeated with the term swapped for others of its group, and the squared
-change of the logit is penalised during fitting, which keeps neutral mentions of groups from being marked.
+change of the logit is penalised during fitting, which keeps neutral mentions of groups from being marked.  Beside the
+English list, groups are derived for each language from the labelled rows: words that go with neither class.
 
 Defined cases: null and empty texts score as a text without words; repeated rows score alike; texts of any length
 are read whole; a label table without both classes gives the constant prior; the held-out fold never teaches;
@@ -13,6 +14,7 @@ fitting uses at most ``per_class`` rows of each class and ``max_chars`` characte
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -106,6 +108,7 @@ def _top_two(scores: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 class Model:
     bias: float
     weights: np.ndarray
+    pairs: int = 0  # counterfactual pairs of the fit
 
     def logits(self, texts: pa.Array) -> np.ndarray:
         words, index, offsets = word_slices(texts)
@@ -124,8 +127,43 @@ _SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def counterfactuals(texts: list[str], groups=IDENTITY_GROUPS, most: int = 4000) -> list[tuple[str, str]]:
-    """(sentence, the same with one identity term swapped for another of its group), at most ``most`` pairs."""
+def derived_groups(rows: list[tuple[str, int]], words: int = 16, size: int = 4, least: int = 3, share: float = 0.25) -> tuple[tuple[str, ...], ...]:
+    """Groups of ``size`` words of one language that may stand for one another, as their odds of a toxic row are alike.
+
+    Words are in at least ``least`` rows of each class and at most a ``share`` of all rows, and their odds are within a
+    standard error of the rows' odds; the ``words`` nearest to it are grouped by frequency.
+    """
+    held: tuple[Counter, Counter] = Counter(), Counter()
+    for text, y in rows:
+        held[y].update({w.lower() for w in _WORD.findall(text)})
+    sizes = [sum(y == k for _, y in rows) for k in (0, 1)]
+    alike = []
+    for w, b in held[1].items():
+        a = held[0][w]
+        if min(a, b) < least or a + b > share * len(rows):
+            continue
+        odds = abs(np.log((b / sizes[1]) / (a / sizes[0])))
+        if odds <= np.sqrt(1 / a + 1 / b):
+            alike.append((float(odds), w, a + b))
+    chosen = [w for _, w, _ in sorted(sorted(alike)[:words], key=lambda x: (x[2], x[1]))]
+    return tuple(g for g in (tuple(chosen[i:i + size]) for i in range(0, len(chosen), size)) if len(g) > 1)
+
+
+def sample_pairs(rows: list[tuple[str, int, str | None]], groups=IDENTITY_GROUPS) -> list[tuple[str, str]]:
+    """Counterfactual pairs of (text, label, language) rows: by ``groups``, and by each language's derived groups."""
+    by_lang: dict = {}
+    for text, y, lang in rows:
+        by_lang.setdefault(lang, []).append((text, y))
+    out = []
+    for _, own in sorted(by_lang.items(), key=lambda x: str(x[0])):
+        listed = {t for g in groups for t in g}
+        derived = (tuple(w for w in g if w not in listed) for g in derived_groups(own))
+        out += counterfactuals([t for t, _ in own], (*groups, *derived))
+    return out
+
+
+def counterfactuals(texts: list[str], groups=IDENTITY_GROUPS) -> list[tuple[str, str]]:
+    """Every (sentence, the same with one identity term swapped for another of its group)."""
     others = {t: g for g in groups for t in g}
     out = []
     for text in texts:
@@ -139,20 +177,18 @@ def counterfactuals(texts: list[str], groups=IDENTITY_GROUPS, most: int = 4000)
                     for t in group:
                         if t != m[0].lower():
                             out.append((s, s[:m.start()] + t + s[m.end():]))
-                    if len(out) >= most:
-                        return out[:most]
     return out
 
 
 def fit(sample: list[tuple[str, int]], prior: float, groups=IDENTITY_GROUPS, penalty: float = 1.0, epochs: int = 40,
-        rate: float = 0.4, decay: float = 2e-3) -> Model:
-    """Fit by gradient from log-odds of the features' document counts."""
+        rate: float = 0.4, decay: float = 2e-3, pairs: list[tuple[str, str]] | None = None) -> Model:
+    """Fit by gradient from log-odds of the features' document counts; ``pairs`` stand instead of those by ``groups``."""
     y = np.array([l for _, l in sample], float)
     weights = np.zeros(1 << BITS, np.float32)
     prior = min(max(prior, 1e-4), 1 - 1e-4)
     if not len(y) or y.min() == y.max():
         return Model(float(np.log(prior / (1 - prior))), weights)
-    pairs = counterfactuals([t for t, _ in sample], groups)
+    pairs = counterfactuals([t for t, _ in sample], groups) if pairs is None else pairs
     texts = pa.array([t for t, _ in sample] + [s for p in pairs for s in p], pa.string())
     words, index, offsets = word_slices(texts)
     n = len(sample)
@@ -201,7 +237,7 @@ def fit(sample: list[tuple[str, int]], prior: float, groups=IDENTITY_GROUPS, pen
         weights *= np.float32(1 - decay)
         bias -= rate * 4 * float(dz[:n].sum())
     weights[np.abs(weights) < 1e-6] = 0
-    return Model(_centre(z[:n] - bias, y), weights)
+    return Model(_centre(z[:n] - bias, y), weights, len(pairs))
 
 
 def _centre(margin: np.ndarray, y: np.ndarray) -> float:
@@ -210,10 +246,11 @@ def _centre(margin: np.ndarray, y: np.ndarray) -> float:
     return -float((lo + hi) / 2 if hi > lo else lo)
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = 2000, max_chars: int = 8_000_000, **options) -> Model:
+def train(docs: DataFrame, labels: DataFrame, per_class: int = 2000, max_chars: int = 8_000_000, groups=IDENTITY_GROUPS, **options) -> Model:
     counts = {r.toxic: r.n for r in labels.groupBy("toxic").agg(F.count("*").alias("n")).collect() if r.toxic in (0, 1)}
     prior = (counts.get(1, 0) + 1) / (sum(counts.values()) + 2)
-    return fit(labelled_sample(docs, labels, "toxic", per_class, max_chars), prior, **options)
+    rows = labelled_sample(docs, labels, "toxic", per_class, max_chars, also="lang")
+    return fit([(t, y) for t, y, _ in rows], prior, pairs=sample_pairs(rows, groups), **options)
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:

@@ -225,6 +225,17 @@ def test_counterfactuals_keep_group_mentions_clean():
     assert gap[30.0] < 0.5 * gap[0.0] or gap[30.0] < 0.05
 
 
+def test_counterfactuals_come_from_the_labelled_rows(spark):
+    r = random.Random(9)
+    common = [words(900 + k, 1).strip(".").lower() + "x" for k in range(30)]
+    docs, labels = _labelled(spark, lambda k: words(k, 30) + " " + " ".join(r.sample(common, 3)), lambda k: words(k, 30) + " " + " ".join(r.sample(common, 3)) + " zorblat", "toxic")
+    model = toxicity.train(docs, labels)
+    assert model.pairs > 0
+    rows = [(t, int(k % 2), "xx") for k, t in enumerate(["zorblat karu sol. " if k % 2 else "karu mile ren. " for k in range(40)] + ["the old clock is here. "] * 3000)]
+    assert "zorblat" not in {w for g in toxicity.derived_groups([x[:2] for x in rows[:40]]) for w in g}
+    assert len(toxicity.sample_pairs(rows)) >= 6000  # "old" has two others in its group; none is left out
+
+
 def test_quality_held_out(spark):
     docs, labels = _labelled(spark, lambda k: " | ".join(words(k, 80).split()), lambda k: words(k, 80), "quality")
     net = quality.train(docs, labels, epochs=6)
