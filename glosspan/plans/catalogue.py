@@ -453,6 +453,16 @@ def dedup_requests(spark, sf_dir):
     return per.groupBy("role").agg(F.sum("c").alias("n"), F.count("*").alias("n_distinct"))
 
 
+@query("dedup_whole_requests", """
+WITH q AS (SELECT role, sha256(coalesce(role, '') || chr(31) || coalesce(text, '') || chr(31)) AS hash FROM conversations)
+SELECT role, count(*) AS n, count(DISTINCT hash) AS n_distinct FROM q GROUP BY role""")
+def dedup_whole_requests(spark, sf_dir):
+    """Requests that differ anywhere are different; dedup_requests, as its SQL has it, reads 12 characters."""
+    h = spans.content_hash(F.coalesce("role", F.lit("")), F.coalesce("text", F.lit("")))
+    per = _t(spark, sf_dir, "conversations").select("role", h.alias("hash")).groupBy("role", "hash").agg(F.count("*").alias("c"))
+    return per.groupBy("role").agg(F.sum("c").alias("n"), F.count("*").alias("n_distinct"))
+
+
 @query("cache_misses", """
 WITH q AS (SELECT DISTINCT sha256(coalesce(left(text, 8), '') || chr(31)) AS hash, turn >= 4 AS late FROM conversations)
 SELECT count(*) AS misses FROM (SELECT hash FROM q WHERE late) l WHERE NOT EXISTS (SELECT 1 FROM q e WHERE NOT e.late AND e.hash = l.hash)""")
@@ -462,6 +472,16 @@ def cache_misses(spark, sf_dir):
     return misses.agg(F.count("*").alias("misses"))
 
 
+@query("cache_whole_misses", """
+WITH q AS (SELECT DISTINCT sha256(coalesce(text, '') || chr(31)) AS hash, turn >= 4 AS late FROM conversations)
+SELECT count(*) AS misses FROM (SELECT hash FROM q WHERE late) l WHERE NOT EXISTS (SELECT 1 FROM q e WHERE NOT e.late AND e.hash = l.hash)""")
+def cache_whole_misses(spark, sf_dir):
+    """Keyed by the whole text; cache_misses, as its SQL has it, reads 8 characters."""
+    q = _t(spark, sf_dir, "conversations").select(spans.content_hash(F.coalesce("text", F.lit(""))).alias("hash"), (F.col("turn") >= 4).alias("late")).distinct()
+    _, misses = adjudicate.with_cache(q.where("late"), q.where("NOT late").select("hash", F.lit("").alias("reply")))
+    return misses.agg(F.count("*").alias("misses"))
+
+
 _VERDICT_SQL = "v AS (SELECT doc_id, CASE WHEN toxic = 1 THEN 'violation' WHEN quality = 1 THEN 'compliant' ELSE 'uncertain' END AS status, (doc_id % 100) / 100.0::DOUBLE AS confidence, CASE WHEN doc_id % 17 = 0 THEN 'transport' END AS failure FROM labels)"
 
 

@@ -37,3 +37,16 @@ def test_entry_contract():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries()) and "rule_findings" in e.queries()
+
+
+def _table(spark, tmp_path, name, rows, schema):
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    return str(tmp_path)
+
+
+def test_whole_texts_are_hashed(spark, tmp_path):
+    rows = [(1, 1, "user", "Please rewrite this: one"), (1, 2, "user", "Please rewrite this: two"), (1, 3, "user", "Please rewrite this: one"), (1, 4, "user", "Please rewrite this: two"),
+            (1, 5, "user", "Please rewrite this: three"), (1, 6, "user", None), (2, 1, "assistant", "")]
+    at = _table(spark, tmp_path, "conversations", rows, "conv_id long, turn int, role string, text string")
+    assert {tuple(r) for r in catalogue.QUERIES["dedup_whole_requests"](spark, at).collect()} == {("user", 6, 4), ("assistant", 1, 1)}
+    assert [r.misses for r in catalogue.QUERIES["cache_whole_misses"](spark, at).collect()] == [1]
