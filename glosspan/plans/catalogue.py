@@ -95,6 +95,25 @@ def line_columns(spark, sf_dir):
     return p.select("doc_id", "off", spans.line_of(F.col("text"), F.col("off")).alias("line"), spans.column_of(F.col("text"), F.col("off")).alias("col"))
 
 
+@query("line_columns_all", """
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE contains(text, '!')),
+l AS (SELECT k, doc_id, unnest(ls) AS s, generate_subscripts(ls, 1) AS line FROM d),
+p AS (SELECT *, sum(length(s) + 1) OVER (PARTITION BY k ORDER BY line) - length(s) - 1 AS start FROM l),
+g AS (SELECT k, doc_id, line, start, len(string_split(s, '!')) AS n, unnest(string_split(s, '!')) AS gap, generate_subscripts(string_split(s, '!'), 1) AS i FROM p WHERE contains(s, '!')),
+h AS (SELECT *, sum(length(gap) + 1) OVER (PARTITION BY k, line ORDER BY i) - 1 AS col FROM g)
+SELECT doc_id, (start + col)::INT AS off, line::INT AS line, col::INT AS col FROM h WHERE i < n""")
+def line_columns_all(spark, sf_dir):
+    """Every offset; line_columns, as its SQL has it, locates the first of each document."""
+    d = _t(spark, sf_dir, "documents").where(F.col("text").contains("!")).withColumn("k", F.monotonically_increasing_id())
+    gaps = d.select("k", "doc_id", F.size(F.split("text", "!", -1)).alias("n"), F.posexplode(F.split("text", "!", -1)).alias("i", "gap"))
+    sizes = gaps.select("k", "doc_id", "n", "i", F.length("gap").alias("size"), (F.length("gap") - F.length(F.replace("gap", F.lit("\n"), F.lit("")))).alias("breaks"),
+                        F.when(F.col("gap").contains("\n"), F.length(F.substring_index("gap", "\n", -1))).alias("tail"))  # lengths are shuffled, not the text
+    upto = Window.partitionBy("k").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    at = sizes.withColumn("off", F.sum(F.col("size") + 1).over(upto) - 1).withColumn("line", F.sum("breaks").over(upto) + 1)
+    at = at.withColumn("begin", F.coalesce(F.max(F.col("off") - F.col("tail")).over(upto), F.lit(0))).where(F.col("i") < F.col("n") - 1)
+    return at.select("doc_id", F.col("off").cast("int").alias("off"), F.col("line").cast("int").alias("line"), (F.col("off") - F.col("begin")).cast("int").alias("col"))
+
+
 @query("content_hashes", "SELECT doc_id, sha256(coalesce(lang, '') || chr(31) || coalesce(text, '') || chr(31)) AS hash FROM documents")
 def content_hashes(spark, sf_dir):
     return _t(spark, sf_dir, "documents").select("doc_id", spans.content_hash(F.coalesce("lang", F.lit("")), F.coalesce("text", F.lit(""))).alias("hash"))
