@@ -351,7 +351,17 @@ g AS (SELECT *, sum(CASE WHEN content THEN 0 ELSE 1 END) OVER (PARTITION BY doc_
 r AS (SELECT doc_id, k, island, count(*) AS n FROM g WHERE content GROUP BY ALL HAVING count(*) > 3)
 SELECT doc_id, count(*) AS n_runs, max(n) AS longest FROM r GROUP BY doc_id""")
 def noun_cluster_runs(spark, sf_dir):
-    s = _t(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"[^.!?\n]+"), F.lit(0))).alias("s"))
+    return _noun_cluster_runs(_t(spark, sf_dir, "documents").where("lang = 'en'"))
+
+
+@query("noun_cluster_runs_all", ORACLES["noun_cluster_runs"].replace(" WHERE lang = 'en'", ""))
+def noun_cluster_runs_all(spark, sf_dir):
+    """All documents, as the rule reads them; noun_cluster_runs, as its SQL has it, reads the English ones."""
+    return _noun_cluster_runs(_t(spark, sf_dir, "documents"))
+
+
+def _noun_cluster_runs(docs):
+    s = docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"[^.!?\n]+"), F.lit(0))).alias("s"))
     words = F.regexp_extract_all(F.lower("s"), F.lit("[a-z]+|[^a-z ]"), F.lit(0))
     runs = F.aggregate(words, F.struct(F.lit(0).alias("now"), F.lit(0).alias("n"), F.lit(0).alias("top")), lambda a, w: F.when(
         w.rlike("^[a-z]+$") & ~w.isin(vocab.words("function_words")), F.struct((a["now"] + 1).alias("now"), F.when(a["now"] == 3, a["n"] + 1).otherwise(a["n"]).alias("n"), F.greatest(
@@ -374,7 +384,17 @@ p AS (SELECT doc_id, k, s, lag(s) OVER (PARTITION BY doc_id ORDER BY k) AS befor
 SELECT doc_id, count(*) AS n FROM p WHERE regexp_matches(lower(s), '(^|[^a-z])(it|they|them)($|[^a-z])')
 AND len(list_distinct(regexp_extract_all(lower(coalesce(before, '')), '[a-z]{4,}'))) >= 2 GROUP BY doc_id""")
 def pronoun_candidates(spark, sf_dir):
-    d = _t(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", F.regexp_extract_all("text", F.lit(r"[^.!?\n]+"), F.lit(0)).alias("s"))
+    return _pronoun_candidates(_t(spark, sf_dir, "documents").where("lang = 'en'"))
+
+
+@query("pronoun_candidates_all", ORACLES["pronoun_candidates"].replace(" WHERE lang = 'en'", ""))
+def pronoun_candidates_all(spark, sf_dir):
+    """All documents, as the rule reads them; pronoun_candidates, as its SQL has it, reads the English ones."""
+    return _pronoun_candidates(_t(spark, sf_dir, "documents"))
+
+
+def _pronoun_candidates(docs):
+    d = docs.select("doc_id", F.regexp_extract_all("text", F.lit(r"[^.!?\n]+"), F.lit(0)).alias("s"))
     pairs = F.zip_with(F.slice("s", 2, 1 << 30), "s", lambda now, before: F.struct(now.alias("now"), before.alias("before")))
     hit = lambda p: p["now"].isNotNull() & F.lower(p["now"]).rlike("(^|[^a-z])(it|they|them)($|[^a-z])") & (F.size(F.array_distinct(F.regexp_extract_all(F.lower(p["before"]), F.lit("[a-z]{4,}"), F.lit(0)))) >= 2)
     return d.select("doc_id", F.size(F.filter(pairs, hit)).cast("long").alias("n")).where("n > 0")
