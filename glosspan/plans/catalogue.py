@@ -105,7 +105,8 @@ SELECT doc_id, (start + col)::INT AS off, line::INT AS line, col::INT AS col FRO
 def line_columns_all(spark, sf_dir):
     """Every offset; line_columns, as its SQL has it, locates the first of each document."""
     d = _t(spark, sf_dir, "documents").where(F.col("text").contains("!")).withColumn("k", F.monotonically_increasing_id())
-    gaps = d.select("k", "doc_id", F.size(F.split("text", "!", -1)).alias("n"), F.posexplode(F.split("text", "!", -1)).alias("i", "gap"))
+    d = d.withColumn("n", F.size(F.split("text", "!", -1)))  # before the explode, else the text is split again for each row
+    gaps = d.select("k", "doc_id", "n", F.posexplode(F.split("text", "!", -1)).alias("i", "gap"))
     sizes = gaps.select("k", "doc_id", "n", "i", F.length("gap").alias("size"), (F.length("gap") - F.length(F.replace("gap", F.lit("\n"), F.lit("")))).alias("breaks"),
                         F.when(F.col("gap").contains("\n"), F.length(F.substring_index("gap", "\n", -1))).alias("tail"))  # lengths are shuffled, not the text
     upto = Window.partitionBy("k").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
