@@ -400,8 +400,36 @@ def test_substrings_equal_brute_force(spark, rows):
     exact = words(4, 90)[:400]
     texts = [a, a, b + exact + c, c[:200] + exact + b[300:900], "x" * 401, "x" * 400, "ab" * 700, a[:399], a[100:700] + "ß" * 300, exact[:399], exact, None, "", "é" * 200 + exact, words(5, 3000), words(5, 3000)[5000:9000] + b]
     docs = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in enumerate(texts)], DOC)
-    got = [tuple(r)[1:] for r in sorted(substrings.deduplicate(docs, rows=rows).collect())]
-    assert got == _removed(texts)
+    got = sorted(substrings.deduplicate(docs, rows=rows).collect())
+    assert [tuple(r)[1:5] for r in got] == _removed(texts)
+    assert [r.n_repeated_words for r in got] == _repeated_words(list(enumerate(texts)))
+
+
+def _repeated_words(docs):
+    n = substrings.WORDS
+    split = [(i, re.findall(r"[^ \t\n\r\x0b\x0c]+", t or "")) for i, t in docs]
+    held = {}
+    for i, ws in split:
+        for k in range(len(ws) - n + 1):
+            held.setdefault(tuple(ws[k:k + n]), set()).add(i)
+    return [len({p for k in range(len(ws) - n + 1) if len(held[tuple(ws[k:k + n])]) > 1 for p in range(k, k + n)}) for _, ws in split]
+
+
+def test_passages_below_400_bytes_are_reported(spark):
+    short, once = " ".join(f"a{k}" for k in range(51)), " ".join(f"b{k}" for k in range(50))
+    assert len(short) < substrings.WINDOW
+    texts = [(1, f"{words(1, 90)} {short} {words(2, 40)}"), (2, f"{short}\n{words(3, 70)}"), (3, f"{words(4, 70)} {once}"), (4, f"{once} {words(5, 70)}"),
+             (5, "the " * 90), (6, f"{words(6, 80)} " * 2), (7, words(7, 60)), (7, words(7, 60)), (8, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in texts], DOC)
+    got = sorted(substrings.deduplicate(docs).collect(), key=lambda r: r.doc_id)
+    assert [r.n_repeated_words for r in got] == [51, 51, 0, 0, 0, 0, 0, 0, 0] == _repeated_words(texts)
+    assert got[0].n_removed == 0 < got[5].n_removed
+
+
+def test_the_query_equals_brute_force(spark, sf):
+    docs = sorted((r.doc_id, r.text) for r in table(spark, sf, "documents").select("doc_id", "text").collect())
+    got = sorted(substrings.op10_suffix_dedup(spark, sf).collect())
+    assert [tuple(r)[1:5] for r in got] == _removed([t for _, t in docs]) and [r.n_repeated_words for r in got] == _repeated_words(docs)
 
 
 def test_substrings_on_odd_rows(spark, odd_docs, no_docs):
@@ -413,8 +441,8 @@ def test_substrings_on_odd_rows(spark, odd_docs, no_docs):
 
 def test_long_texts_are_cut_where_positions_end(monkeypatch):
     text = words(8, 4000).encode()
-    whole = substrings._anchor_table(0, [text], np.array([1]), np.array([2])).to_pylist()
+    whole = substrings._anchor_table(0, [text], np.array([1]), np.array([2]), np.array([3])).to_pylist()
     monkeypatch.setattr(substrings, "_POSITION", 12)
-    parts = [r for base, own, texts in substrings._cuts([0], [text]) for r in substrings._anchor_table(base, texts, np.array([1]), np.array([2])).to_pylist()]
+    parts = [r for base, own, texts in substrings._cuts([0], [text]) for r in substrings._anchor_table(base, texts, np.array([1]), np.array([2]), np.array([3])).to_pylist()]
     cover = lambda rows: {p for r in rows for p in range(r["at"] - r["hi"], r["at"] - r["lo"] + 1)}
     assert cover(parts) == cover(whole) == set(range(len(text) - substrings.WINDOW + 1))
