@@ -3,16 +3,19 @@
 Documents become token pieces of at most ``capacity`` tokens.  Only the histogram of piece lengths (at most
 ``capacity`` bins, whatever the corpus) goes to the driver.  There the patterns of up to three long pieces that
 fill a sequence are enumerated on a coarse length grid, non-negative least squares fits how often each repeats,
-the counts are rounded down, and what is left (and every short piece) is packed best-fit into the space that
-remains, longest first.  The plan is a list of runs over (length, rank); executors look their pieces up in it.
+and the counts are rounded down.  A pattern is realised by lengths of its bins that fill the sequence to the last
+token; what closes no sequence, and every short piece, is packed best-fit, longest first.  The plan is a list of runs over (length, rank);
+executors look their pieces up in it.
 
 Defined cases: null and empty texts are the one end token; equal texts and repeated rows are separate pieces; a
-text longer than the capacity is cut into full pieces and a last shorter one; an empty table packs to no rows;
-null ids stay null; no other column of the input is read.
+text longer than the capacity is cut into full pieces and a last shorter one; pieces of equal length tie and are ranked
+by doc_id, piece and digest; an empty table packs to no rows; null ids stay null; no other column of the input,
+whatever its name, is read.
 """
 
 from __future__ import annotations
 
+import math
 import os
 import re
 import zlib
@@ -201,7 +204,7 @@ class Plan:
         self.next_rank = np.zeros(capacity + 1, np.int64)
         self.space: list[list[list[int]]] = [[] for _ in range(capacity + 1)]  # free tokens -> groups [first, count]
         self.free = np.zeros(capacity + 1, np.int64)
-        self.sequences = 0
+        self.sequences = self.closed = 0  # closed: runs that patterns placed
         self.runs: list[tuple[int, int, int, int, int, int]] = []
 
     def _place(self, length: int, first: int, bins: int, per: int, offset: int) -> None:
@@ -226,32 +229,26 @@ class Plan:
         self.free[free] -= k
         return first, k
 
-    def repeat(self, pattern: tuple[int, ...], times: int, members: list[np.ndarray]) -> None:
-        """``times`` sequences with one piece of each bin of ``pattern``, the bin's longest first."""
-        runs = []
-        for lengths in members:
-            need, own = times, []
-            for n in lengths[::-1]:
-                k = min(need, int(self.left[n]) - sum(c for r in runs for m, c in r if m == n))
-                if k > 0:
-                    own.append((int(n), k))
-                    need -= k
-                if not need:
-                    break
-            runs.append(own)
-        if len(runs) > 1:
-            runs[-1] = runs[-1][::-1]  # the longest with the shortest
-        times = min(sum(c for _, c in own) for own in runs)
-        cuts = sorted({0, times, *(int(x) for own in runs for x in np.cumsum([c for _, c in own]) if x < times)})
-        for lo, hi in zip(cuts, cuts[1:]):
-            first, used = self.sequences, 0
-            self.sequences += hi - lo
-            for own in runs:
-                at = np.cumsum([c for _, c in own])
-                n = own[int(np.searchsorted(at, lo, side="right"))][0]
-                self._place(n, first, hi - lo, 1, used)
-                used += n
-            self._open(self.capacity - used, first, hi - lo)
+    def close(self, bins: list[np.ndarray], times: int) -> None:
+        """Up to ``times`` sequences of one length from each of ``bins`` that fill the capacity to the last token."""
+        def fill(parts: list[int], bins: list[np.ndarray]) -> None:
+            nonlocal times
+            rest = self.capacity - sum(parts)
+            for n in bins[0][::-1].tolist() if len(bins) > 1 else [rest] if rest in bins[0] else []:
+                if not times or n > rest or not self.left[n]:
+                    continue
+                if len(bins) > 1:
+                    fill([*parts, n], bins[1:])
+                    continue
+                own, at = [*parts, n], 0
+                k = min(times, *(int(self.left[m]) // own.count(m) for m in own))
+                for m in own if k else ():
+                    self._place(m, self.sequences, k, 1, at)
+                    at += m
+                self.sequences += k
+                times -= k
+
+        fill([], bins)
 
     def best_fit(self) -> None:
         """Pack what is left, longest first, each into the smallest space that holds it."""
@@ -276,55 +273,50 @@ class Plan:
 
 
 def plan_packing(histogram: np.ndarray, capacity: int = CAPACITY, grid: int = 128, short: int = 16) -> Plan:
-    """Fit patterns of two or three pieces from ``grid`` length bins, then best-fit the residual.
+    """Fit patterns of up to three pieces from ``grid`` length bins, close them exactly, best-fit the rest.
 
-    Pieces of fewer than ``short`` grid steps stay out of the patterns, and each pattern leaves a hole of the
-    size those pieces have to share out among all sequences: exact best fit closes the holes, and with them
-    what the coarse grid wastes.  The plain best fit is a plan too; whichever needs fewer sequences is returned,
-    the fitted one at a tie.
+    Pieces of fewer than ``short`` grid steps are in no pattern.  A closed sequence wastes nothing, so only the residual
+    can, and it keeps all the short pieces, with which best fit fills the holes.
     """
     histogram = np.asarray(histogram, np.int64)
-    plain = Plan(histogram, capacity)
-    plain.best_fit()
-    fitted = _fit_patterns(histogram, capacity, grid, short)
-    return fitted if fitted is not None and fitted.sequences <= plain.sequences else plain
-
-
-def _fit_patterns(histogram: np.ndarray, capacity: int, grid: int, short: int) -> Plan | None:
+    plan = Plan(histogram, capacity)
     step = max(1, capacity // grid)
-    grid = capacity // step
-    lengths = np.arange(capacity + 1)
-    tokens = histogram * lengths
-    bin_of = -(-lengths // step)
-    sequences = max(1, int(tokens[:capacity].sum()) // capacity)
-    hole = int(tokens[bin_of < short].sum() // sequences // step)
-    full = grid - hole
-    target = np.bincount(bin_of[:capacity], weights=histogram[:capacity], minlength=grid + 1)[:grid + 1]
+    bin_of = -(-np.arange(capacity + 1) // step)
+    target = np.bincount(bin_of[:capacity], weights=histogram[:capacity])
     target[:short] = 0
     used = np.flatnonzero(target)
+    patterns = _patterns(used, capacity / step)
+    if patterns:
+        row = {int(b): i for i, b in enumerate(used)}
+        a = np.zeros((len(used), len(patterns)))
+        for j, p in enumerate(patterns):
+            for part in p:
+                a[row[part], j] += 1
+        weight = 1 / np.sqrt(np.maximum(target[used], 1))
+        repeats = np.floor(nnls(a * weight[:, None], target[used] * weight) + 1e-9).astype(np.int64)
+        members = {int(b): np.flatnonzero((bin_of == b) & (np.arange(capacity + 1) < capacity)) for b in used}
+        for j in np.argsort(-repeats, kind="stable"):
+            if repeats[j] > 0:
+                plan.close([members[b] for b in patterns[j]], int(repeats[j]))
+    plan.closed = len(plan.runs)
+    plan.best_fit()
+    return plan
+
+
+def _patterns(used: np.ndarray, full: float) -> list[tuple[int, ...]]:
+    """Descending bins of one, two or three pieces whose mean lengths (half a step below the bin) make about ``full`` steps."""
     present = set(used.tolist())
-    patterns = [(full,)] if full in present else []
-    patterns += [(a, full - a) for a in used if a >= full - a and full - a in present]
-    patterns += [(a, b, full - a - b) for a in used for b in used if a >= b >= full - a - b and full - a - b in present]
-    if not patterns:
-        return None
-    row = {int(b): i for i, b in enumerate(used)}
-    a = np.zeros((len(used), len(patterns)))
-    for j, p in enumerate(patterns):
-        for part in p:
-            a[row[int(part)], j] += 1
-    weight = 1 / np.sqrt(np.maximum(target[used], 1))
-    repeats = np.floor(nnls(a * weight[:, None], target[used] * weight) + 1e-9).astype(np.int64)
-    fitted = Plan(histogram, capacity)
-    in_bin = {int(b): np.flatnonzero((bin_of == b) & (lengths < capacity)) for b in used}
-    for j in np.argsort(-repeats, kind="stable"):
-        p = [int(x) for x in patterns[j]]
-        room = min(int(fitted.left[in_bin[b]].sum()) // p.count(b) for b in set(p))
-        times = min(int(repeats[j]), room)
-        if times > 0:
-            fitted.repeat(tuple(p), times, [in_bin[b] for b in p])
-    fitted.best_fit()
-    return fitted
+    out = [(int(b),) for b in used if b >= full]
+    for a in used[::-1].tolist():
+        last = round(full + 1 - a)
+        if last in present and last <= a:
+            out.append((a, last))
+        for b in used[used <= a].tolist():
+            for total in {math.floor(full + 1.5), math.ceil(full + 1.5)}:
+                c = total - a - b
+                if c in present and c <= b:
+                    out.append((a, b, c))
+    return out
 
 
 def ranked(cut: DataFrame, rows_per_bucket: int = 50_000) -> tuple[DataFrame, np.ndarray]:

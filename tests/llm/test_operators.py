@@ -116,6 +116,23 @@ def test_plan_places_every_piece_once():
                 assert at <= cap
 
 
+def test_fitted_plan_is_as_good_as_best_fit(spark, sf):
+    g = np.random.default_rng(8)
+    real = {k: packing.ranked(packing.pieces(table(spark, f"{sf}/../{k}", "documents"), packing.default_tokenizer()))[1] for k in ("sf0.01", "sf0.1")}
+    cases = [real["sf0.01"], real["sf0.1"], real["sf0.1"] * 10, real["sf0.1"] * 1000,
+             *(np.bincount(np.clip(g.lognormal(mean, sd, n).astype(int), 1, 4096), minlength=4097) for mean, sd, n in ((6, 1.2, 400_000), (7, 0.7, 50_000), (5, 1.5, 30_000)))]
+    for h in cases:
+        plain = packing.Plan(h, packing.CAPACITY)
+        plain.best_fit()
+        fitted = packing.plan_packing(h)
+        assert fitted.sequences <= plain.sequences * 1.0001 and not fitted.left.any() and fitted.closed
+        filled = Counter()
+        for r in fitted.runs[:fitted.closed]:
+            filled[r[3]] += r[0]
+        assert set(filled.values()) == {packing.CAPACITY}
+    assert packing.plan_packing(real["sf0.1"]).sequences == -(-int((real["sf0.1"] * np.arange(4097)).sum()) // 4096)  # the fewest there can be
+
+
 def test_nnls_is_optimal():
     g = np.random.default_rng(2)
     a, x = g.random((20, 8)), np.array([0, 1, 0, 2, 0, 0, 3, 0.5])
