@@ -1,13 +1,18 @@
 """Main-text extraction by composite text density.
 
-Each page becomes a small DOM.  Every node gets a link-adjusted density of characters per tag; the node whose
-children's densities sum highest holds the article; the lowest density on its path to the body is the threshold
-by which enclosing nodes and their other children join it.  Everything inside the chosen node is kept except
-what its own markup declares to be menus, adverts, notices, forms, comments and the like.
+Each page becomes a small DOM.  Every node gets a link-adjusted density of characters per tag; text that stands in a
+block beside other blocks is a nameless block of its own.  The node whose blocks' densities sum highest is the body of
+the article.  The lowest density on its path to (not at) the page's body, times ``SLACK``, is the threshold by which the
+other children of its enclosing nodes join it (if their sums are a ``SHARE`` of the largest), with the headings just
+before them; tags and class names do not choose.
+What its own markup declares to be a menu, advert, notice, form, comment and the like has no density and is left out
+wherever it is, unless it encloses the page's text: if nearly nothing else is left, the largest such wrapper counts.
 
 Defined cases: null and empty html give an empty text; text without any tag is one block; unclosed, misnested
-and cut-off markup is closed where a browser would; a page without visible text gives an empty text; repeated
-rows are extracted each for itself; pages of any length are read whole.
+and cut-off markup is closed where a browser would; a page without visible text gives an empty text; of nodes with
+equal sums the outermost, then the first is taken; repeated rows are extracted each for itself; pages of any length are
+read whole; an empty table gives no rows; other columns, whatever their names (``text`` or ``n_chars`` too), are not read
+unless ``keep`` names them.
 """
 
 from __future__ import annotations
@@ -47,8 +52,14 @@ _IMPLIED = {
 }
 _SCOPE = frozenset("table td th caption button article section aside nav main div form body html".split())
 
+#: Share of the lowest density on the body path that a joining block needs.
+SLACK = 0.5
+#: Share of the largest sum that a joining block's own needs, so that a long line of boilerplate does not join.
+SHARE = 0.25
+#: A page with less than this share of its characters outside declared pieces is looked at again.
+ENCLOSED = 0.1
 _DROP_TAGS = frozenset(
-    "head script style noscript template nav aside footer form button select option input textarea iframe object embed "
+    "head script style noscript template nav aside footer button select option input textarea iframe object embed "
     "svg canvas menu dialog search audio video map datalist xmp noframes".split())
 _DROP_ROLES = frozenset("navigation banner complementary contentinfo search form menu menubar dialog alert".split())
 _DROP_WORDS = frozenset(
@@ -60,13 +71,14 @@ _DROP_PAIRS = re.compile(r"side[-_ ]?bar|ad[-_]?(?:slot|unit|box|block|banner|co
 
 
 class _Node:
-    __slots__ = ("tag", "attrs", "parent", "items", "chars", "tags", "link_chars", "link_tags", "density", "drop")
+    __slots__ = ("tag", "attrs", "parent", "items", "chars", "tags", "link_chars", "link_tags", "density", "loose", "drop", "soft")
 
     def __init__(self, tag: str, attrs: str, parent: _Node | None):
         self.tag, self.attrs, self.parent = tag, attrs, parent
         self.items: list = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
-        self.density, self.drop = 0.0, False
+        self.density, self.loose = 0.0, 0.0  # of the whole, and of the text that is in no block below
+        self.drop = self.soft = False
 
 
 def parse(text: str) -> _Node:
@@ -131,51 +143,83 @@ def _close_until(stack: list[_Node], tags: set[str], barriers) -> None:
             return
 
 
-def _dropped(node: _Node, in_article: bool) -> bool:
-    """Whether the node's own markup says that it is not part of an article."""
+def _declared(node: _Node, in_article: bool) -> tuple[bool, bool]:
+    """Whether the node's own markup says that it is not part of an article, and whether that may be overruled."""
     tag = node.tag
     if tag in _DROP_TAGS:
-        return True
-    if tag == "header" and not in_article:
-        return True
-    if not node.attrs:
-        return False
-    for m in _ATTR.finditer(node.attrs):
+        return True, False
+    soft = tag == "form" or tag == "header" and not in_article
+    for m in _ATTR.finditer(node.attrs) if node.attrs else ():
         key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if key in ("class", "id"):
-            if tag not in ("article", "main", "body") and (
-                    not _DROP_WORDS.isdisjoint(re.split(r"[^a-z0-9]+", value)) or _DROP_PAIRS.search(value)):
-                return True
-        elif key == "role" and value in _DROP_ROLES:
-            return True
-        elif key == "hidden" or key == "aria-hidden" and value == "true":
-            return True
-        elif key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-    return False
+            soft = soft or tag not in ("article", "main", "body") and bool(not _DROP_WORDS.isdisjoint(re.split(r"[^a-z0-9]+", value)) or _DROP_PAIRS.search(value))
+        elif key == "role":
+            soft = soft or value in _DROP_ROLES
+        elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
+            return True, False
+    return soft, soft
 
 
 def _ordered(root: _Node) -> list[_Node]:
-    """All kept nodes, parents first."""
-    out, todo = [], [(root, False)]
+    """All nodes that are not declared away for good, parents first; nodes inside a dropped one too."""
+    out, todo = [], [(root, False, False)]
     while todo:
-        node, inside = todo.pop()
+        node, inside, gone = todo.pop()
         out.append(node)
         inside = inside or node.tag in ("article", "main")
         for x in node.items:
             if isinstance(x, _Node):
-                x.drop = _dropped(x, inside)
-                if not x.drop:
-                    todo.append((x, inside))
+                x.drop, x.soft = _declared(x, inside)
+                if x.soft or not x.drop:
+                    todo.append((x, inside, gone or x.drop))
     return out
 
 
+def _enclosing(nodes: list[_Node], root: _Node) -> None:
+    """Undo declarations that enclose the page's text (a wrapper of class ``has-sidebar``, a page inside a form)."""
+    if not any(n.soft for n in nodes):
+        return
+    whole = {id(n): sum(len(x.strip()) for x in n.items if isinstance(x, str)) if n.tag != "a" else 0 for n in nodes}
+    marks = {id(n): n.tag in ("article", "main", "h1") for n in nodes}
+    pars = {id(n): int(n.tag == "p") for n in nodes}
+    for n in reversed(nodes):
+        if n is not root:
+            for table in (whole, pars):
+                table[id(n.parent)] += table[id(n)]
+            marks[id(n.parent)] |= marks[id(n)]
+    while True:
+        left, todo = whole[id(root)], [root]
+        dropped: list[_Node] = []
+        while todo:
+            for x in todo.pop().items:
+                if isinstance(x, _Node) and id(x) in whole:
+                    if x.drop:
+                        dropped.append(x)
+                        left -= whole[id(x)]
+                    else:
+                        todo.append(x)
+        wrappers = [x for x in dropped if marks[id(x)] or pars[id(x)] > 2]
+        if left >= ENCLOSED * whole[id(root)] or not wrappers:
+            return
+        max(wrappers, key=lambda x: whole[id(x)]).drop = False
+
+
 def measure(root: _Node) -> list[_Node]:
     """Count characters, tags, link characters and link tags below each node and set its composite density."""
-    nodes = _ordered(root)
+    every = _ordered(root)
+    _enclosing(every, root)
+    nodes, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        nodes.append(node)
+        todo.extend(x for x in reversed(node.items) if isinstance(x, _Node) and not x.drop)
+    loose = {}
     for node in nodes:
         node.chars = sum(len(x.strip()) for x in node.items if isinstance(x, str))
     for node in reversed(nodes):
+        own = sum(len(x.strip()) for x in node.items if isinstance(x, str))
+        inline = [x for x in node.items if isinstance(x, _Node) and not x.drop and x.tag not in _BLOCK]
+        loose[id(node)] = (own + sum(x.chars for x in inline), sum(x.tags + 1 for x in inline), sum(x.link_chars for x in inline), sum(x.link_tags for x in inline))
         if node.tag == "a":
             node.link_chars, node.link_tags = node.chars, node.link_tags + 1
         parent = node.parent
@@ -184,50 +228,52 @@ def measure(root: _Node) -> list[_Node]:
             parent.tags += node.tags + 1
             parent.link_chars += node.link_chars
             parent.link_tags += node.link_tags
-    body_ratio = root.link_chars / root.chars if root.chars else 0.0
+    ratio = root.link_chars / root.chars if root.chars else 0.0
     for node in nodes:
-        c = node.chars
-        if not c:
-            continue
-        t, lc, lt = max(node.tags, 1), max(node.link_chars, 1), max(node.link_tags, 1)
-        plain = max(c - node.link_chars, 1)
-        base = math.log(c / plain * node.link_chars + body_ratio * c + math.e)
-        argument = max(c / lc * t / lt, 1.0)
-        node.density = c / t * (math.log(argument) / math.log(base) if base > 1.0 else math.log(argument) if base == 1.0 else 0.0)
+        node.density = composite(node.chars, node.tags, node.link_chars, node.link_tags, ratio)
+        if node.tag in _BLOCK:
+            node.loose = composite(*loose[id(node)], ratio)
     return nodes
 
 
+def composite(chars: int, tags: int, link_chars: int, link_tags: int, ratio: float) -> float:
+    """Characters per tag, less the more of both are links; ``ratio`` is the page's share of link characters."""
+    if not chars:
+        return 0.0
+    t, lc, lt = max(tags, 1), max(link_chars, 1), max(link_tags, 1)
+    base = math.log(chars / max(chars - link_chars, 1) * link_chars + ratio * chars + math.e)
+    argument = max(chars / lc * t / lt, 1.0)
+    return chars / t * math.log(argument) / max(math.log(base), 1.0)
+
+
+def _kept(root: _Node, nodes: list[_Node]) -> tuple[set[int], dict[int, float]]:
+    """Ids of the nodes to take whole, and the nodes of the body path with the density their own text needs."""
+    best, most, sums = root, -1.0, {}
+    for node in nodes:
+        if node.tag in _BLOCK:
+            sums[id(node)] = total = node.loose + sum(x.density for x in node.items if isinstance(x, _Node) and not x.drop and x.tag in _BLOCK)
+            if total > most:
+                best, most = node, total
+    path = [best]
+    while path[-1].parent is not None:
+        path.append(path[-1].parent)
+    need = SLACK * min((n.density for n in path[:-1]), default=0.0)
+    whole = {id(best)}
+    for below, node in zip(path, path[1:]):
+        blocks = [x for x in node.items if isinstance(x, _Node) and not x.drop and x.tag in _BLOCK and x.chars]
+        joins = [x is below or x.density >= need and sums[id(x)] >= SHARE * most for x in blocks]
+        for k in range(len(blocks) - 2, -1, -1):
+            joins[k] = joins[k] or joins[k + 1] and re.fullmatch("h[1-6]", blocks[k].tag) is not None
+        whole |= {id(x) for x, yes in zip(blocks, joins) if yes and x is not below}
+    return whole, {id(n): max(need, SHARE * most) for n in path[1:]}
+
+
 def main_text(page: str) -> str:
     root = parse(page)
     nodes = measure(root)
     if not root.chars:
         return ""
-    best, most = root, -1.0
-    for node in nodes:
-        total = sum(x.density for x in node.items if isinstance(x, _Node) and not x.drop and x.tag in _BLOCK)
-        total += sum(len(x.strip()) for x in node.items if isinstance(x, str)) if node.tag in _BLOCK else 0
-        if node.tag in _BLOCK and total > most:
-            best, most = node, total
-    path = [best]
-    while path[-1].parent is not None:
-        path.append(path[-1].parent)
-    threshold = min(n.density for n in path)
-    top = best
-    for i, node in enumerate(path):
-        if node.tag in ("article", "main"):
-            top = node
-    if top is best:
-        for node in path[1:]:
-            if node.tag == "body" and any(x.tag in ("article", "main") for x in path):
-                break
-            if node.density >= threshold and node.tag != "body":
-                top = node
-            elif node.tag == "body":
-                siblings = [x for x in node.items if isinstance(x, _Node) and not x.drop and x.chars and x not in path]
-                if siblings and all(x.density >= threshold or re.fullmatch("h[1-6]", x.tag) for x in siblings):
-                    top = node
-    whole = top.tag in ("article", "main")
-    on_path = set(map(id, path)) if not whole else set()
+    whole, path = _kept(root, nodes)
     blocks: list[str] = []
     parts: list[str] = []
 
@@ -237,27 +283,29 @@ def main_text(page: str) -> str:
         if text:
             blocks.append(text)
 
-    todo: list = [top]
+    todo: list = [(root, id(root) in whole)]
     while todo:
-        x = todo.pop()
+        x, inside = todo.pop()
         if x is None:
             flush()
         elif isinstance(x, str):
-            parts.append(x)
+            if inside:
+                parts.append(x)
         elif x.drop:
             if x.tag in _BLOCK:
                 flush()
         elif x.tag == "br":
             parts.append(" ")
         else:
-            if x is not top and id(x) not in on_path and x.parent is not best and x.parent is not None and id(x.parent) in on_path \
-                    and x.tag in _BLOCK and x.density < threshold and not re.fullmatch("h[1-6]|p", x.tag):
-                flush()
-                continue
-            if x.tag in _BLOCK:
+            block = x.tag in _BLOCK
+            if block:
+                inside = inside or id(x) in whole
+                if not inside and id(x) not in path:
+                    continue
                 flush()
-                todo.append(None)
-            todo.extend(reversed(x.items))
+                todo.append((None, inside))
+            loose = inside or block and x.loose >= path[id(x)] > 0  # text of an enclosing node joins as its other children do
+            todo.extend((y, inside if isinstance(y, _Node) and y.tag in _BLOCK else loose) for y in reversed(x.items))
     flush()
     return "\n".join(blocks)
 

@@ -194,6 +194,33 @@ def test_pages_on_odd_rows(spark):
     assert Counter((r.page_id, r.text, r.n_chars) for r in got) == Counter({(1, "x", 1): 2, (None, "", 0): 1, (2, "deep", 4): 1})
 
 
+LINKS = "".join(f"<li><a href='/{k}'>item {k}</a></li>" for k in range(9))
+PLAIN = [f"{words(k, 30)}" for k in range(7)]
+
+
+def _page(k, tag):
+    body = "".join(f"<p>{t}</p>" for t in PLAIN[:3 + k % 4])
+    inner = f"<{tag}><h1>Title {k}</h1>{body}</{tag}>"
+    wrap = [lambda x: x, lambda x: f"<div>{x}</div>", lambda x: f"<div><div><ul>{LINKS}</ul></div>{x}</div>", lambda x: f"<div class='layout has-sidebar'>{x}</div>", lambda x: f"<form>{x}</form>"][k % 5]
+    page = f"<html><body><div><ul>{LINKS}</ul></div><div>Our new offer is here for you today.</div>{wrap(inner)}<div><a href=x>About</a> <a href=y>Contact</a> Made in 2020</div></body></html>"
+    return page, "\n".join([f"Title {k}", *PLAIN[:3 + k % 4]])
+
+
+@pytest.mark.parametrize("tag", ["article", "main", "div"])
+def test_density_chooses_the_article(tag, monkeypatch):
+    pages = [_page(k, tag) for k in range(20)]
+    assert [html_text.main_text(p) for p, _ in pages] == [w for _, w in pages]
+    r = random.Random(2)
+    monkeypatch.setattr(html_text, "composite", lambda *a: r.random())
+    assert sum(html_text.main_text(p) != w for p, w in pages) > 15
+
+
+def test_sections_join_and_long_comments_do_not():
+    parts = "".join(f"<section><h2>Part {k}</h2><p>{words(k, 40)}</p><p>{words(k + 50, 40)}</p></section>" for k in range(4))
+    got = html_text.main_text(f"<body><div><ul>{LINKS}</ul></div><div><h1>All</h1>{parts}</div><div class=comments><p>{words(9, 500)}</p></div></body>")
+    assert got.startswith("All\nPart 0\n") and got.count("\n") == 12 and words(9, 20) not in got
+
+
 def test_query_extracts_every_article(spark, sf):
     import html
 
