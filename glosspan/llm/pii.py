@@ -1,14 +1,17 @@
 """Personal data by bootstrapped contextual extraction.
 
-Base patterns find seed entities (mail, address, card, phone).  The words around seed entities and around other
-identifier-shaped tokens become lexical patterns; Spark builds the bipartite graph of patterns and instances and
-scores it iteratively: a pattern is as good as the instances it extracts, an instance as good as the patterns
-that extract it.  Patterns that end above the confidence and support bounds discover identifiers no base pattern
-knows.  Base spans always stay; discovered spans that overlap none are added.
+Base patterns find seed entities (mail, address, card, phone); keys with a public prefix and long mixed hexadecimal
+strings, which only machines write, are seeds too.  The word before a token with the marks that bind it, and the marks
+and word after it, are lexical patterns; Spark builds the bipartite graph of patterns and instances and scores it
+iteratively: a pattern is as good as the mean of the instances it extracts, an instance that is no seed as good as the
+best trusted pattern that extracts it.  Rounds go on until no new pattern is trusted.  There is no list of telling words:
+a pattern gets trust from seeds alone, at once or over instances it shares with trusted patterns.  Trusted patterns
+discover identifiers no base pattern knows.  Base spans always stay; discovered spans that overlap none are added.
 
 Defined cases: null text is empty; spans are code-point offsets into the whole text, end exclusive; texts of any
 length are read whole and in linear time; copies and repeated rows count once per distinct text as evidence, so a
-mirrored page cannot promote a pattern; an empty table gives no rows; other columns are not read.
+mirrored page cannot promote a pattern; equal scores do not matter, since bounds and not ranks decide; an empty table
+gives no rows; other columns, whatever their names, are not read, and those that ``redact`` carries stay as they are.
 """
 
 from __future__ import annotations
@@ -30,8 +33,9 @@ _CHAIN = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _DIGITS = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _ANY_DIGIT = re.compile(r"[0-9]")
-#: Seeds beside the base kinds: access keys whose public prefix gives them away.
+#: Seeds beside the base kinds: access keys whose public prefix gives them away, and long hexadecimal strings.
 _KEYS = re.compile(r"(?<![A-Za-z0-9])A(?:KIA|SIA)[0-9A-Z]{16}(?![A-Za-z0-9])")
+_HEX = re.compile(r"(?<![A-Za-z0-9])(?=[0-9]*[a-f])(?=[a-f]*[0-9])[0-9a-f]{32,}(?![A-Za-z0-9])")
 
 Span = tuple[str, int, int]
 
@@ -98,7 +102,8 @@ def base_spans(text: str) -> list[Span]:
 
 _TOKEN_TAIL = re.compile(r"[A-Za-z0-9_%+@./:-]+")
 _LEFT = re.compile(r"(?:([^\W\d_]+)[^\S\n]*)?([=:#\"'(<\[ \t]*)\Z")
-_LEFT_CHARS = 48
+_RIGHT = re.compile(r"([\"')>\]]*[ \t]*[=:#(\[]+[ \t]*)([^\W\d_]+)")
+_SIDE_CHARS = 48
 
 
 def candidates(text: str) -> Iterator[tuple[int, int]]:
@@ -121,29 +126,46 @@ def candidates(text: str) -> Iterator[tuple[int, int]]:
             yield lo, hi
 
 
-def left_pattern(text: str, start: int) -> str:
-    """The lexical pattern before a token: its last word and the marks between, or "" if no word stands there."""
-    m = _LEFT.search(text[max(0, start - _LEFT_CHARS):start])
-    if not m or m[1] is None:
-        return ""
-    return m[1].lower() + "".join(dict.fromkeys("".join(m[2].split())))
+def patterns_at(text: str, start: int, end: int) -> list[str]:
+    """The lexical patterns of a token: ``<`` its last word and marks before, ``>`` marks and next word after.
+
+    Only a word that marks bind to the token (``=``, ``:`` or ``#``; after it an opening bracket too) makes one: a bare
+    word such as an article stands beside seeds by chance.
+    """
+    out = []
+    m = _LEFT.search(text[max(0, start - _SIDE_CHARS):start])
+    if m and m[1] is not None:
+        marks = "".join(dict.fromkeys("".join(m[2].split())))
+        if not _BINDING.isdisjoint(marks):
+            out.append(f"<{m[1].lower()}{marks}")
+    m = _RIGHT.match(text[end:end + _SIDE_CHARS])
+    if m:
+        out.append(f">{''.join(m[1].split())}{m[2].lower()}")
+    return out
+
+
+_BINDING = frozenset("=:#")
+
+
+def seed_spans(text: str) -> list[tuple[int, int]]:
+    return [(a, b) for _, a, b in base_spans(text)] + [m.span() for rx in (_KEYS, _HEX) for m in rx.finditer(text)]
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """(pattern, instance, seed) per distinct text, pattern and instance; ``seed`` if a base pattern knows it."""
+    """(pattern, instance, seed) per distinct text, pattern and instance; ``seed`` if it is a seed as it stands."""
     def run(batch: pa.RecordBatch):
         for part in slices(batch, "text"):
             rows = set()
             for text in part.column("text").to_pylist():
                 known = None
                 for lo, hi in candidates(text):
-                    if known is None:
-                        known = [(a, b) for _, a, b in base_spans(text)] + [m.span() for m in _KEYS.finditer(text)]
-                    pattern = left_pattern(text, lo)
-                    if pattern:
+                    own = patterns_at(text, lo, hi)
+                    if own:
+                        if known is None:
+                            known = seed_spans(text)
                         seed = any(a < hi and lo < b for a, b in known)
                         digest = hashlib.blake2b(text[lo:hi].encode("utf-8", "surrogatepass"), digest_size=8).digest()
-                        rows.add((pattern, int.from_bytes(digest, "little", signed=True), seed))
+                        rows |= {(pattern, int.from_bytes(digest, "little", signed=True), seed) for pattern in own}
             rows = sorted(rows)
             yield pa.table([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.bool_())],
                            names=["pattern", "instance", "seed"])
@@ -152,30 +174,28 @@ def occurrences(docs: DataFrame) -> DataFrame:
     return found.groupBy("pattern", "instance").agg(F.max("seed").alias("seed"))
 
 
-#: Names that announce a private value; a pattern that holds one is a half-trusted seed itself.
-SEED_NAMES = ("password passwd pwd passphrase secret token key apikey auth credential credentials bearer ssn passport iban "
-              "account acct licence license card cvv pin phone tel telephone mobile fax email mail ip dob user username login").split()
-
-
-def score_patterns(edges: DataFrame, rounds: int = 3, support: int = 5, confidence: float = 0.6) -> DataFrame:
-    """Patterns that pass ``support`` distinct instances and ``confidence`` after ``rounds`` of mutual scoring.
+def score_patterns(edges: DataFrame, rounds: int = 10, support: int = 5, confidence: float = 0.6) -> DataFrame:
+    """(pattern, n, seeds, pattern_score, round): patterns with ``support`` distinct instances whose score reaches
+    ``confidence``, with the round that trusted them; rounds end, at ``rounds`` at the latest, when one trusts no more.
 
-    Only a word with a mark that binds it to what follows (``=``, ``:`` or ``#``) is a pattern: a bare word such
-    as an article precedes seeds by chance.  Seed instances keep score 1; an unknown instance starts at 0.7 under
-    a pattern that holds one of ``SEED_NAMES`` and at 0 elsewhere.  A pattern's score is the mean of its
-    instances', an instance's the best of its patterns' and its start, so trust flows over shared instances.
+    An instance that is a seed under one pattern is one under all.  Scores only grow from round to round.
     """
-    start = F.when(F.regexp_extract("pattern", r"^(\p{L}+)", 1).isin(SEED_NAMES), 0.7).otherwise(0.0)
-    bound = edges.where(F.col("pattern").rlike("[=:#]"))
-    frequent = bound.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= support)
-    graph = materialise(bound.join(frequent.select("pattern"), "pattern", "left_semi").withColumn("start", start), "pii-graph")
-    now = graph.withColumn("score", F.when(F.col("seed"), 1.0).otherwise(F.col("start")))
-    for _ in range(rounds):
-        scored = now.groupBy("pattern").agg(F.avg("score").alias("pattern_score"), F.count("*").alias("n"))
-        best = graph.join(scored, "pattern").groupBy("instance").agg(F.max("pattern_score").alias("best"))
-        now = graph.join(best, "instance").select("pattern", "instance", "seed", "start", F.when(F.col("seed"), 1.0).otherwise(F.greatest("best", "start")).alias("score"))
-    scored = now.groupBy("pattern").agg(F.avg("score").alias("pattern_score"), F.count("*").alias("n"))
-    return scored.where((F.col("n") >= support) & (F.col("pattern_score") >= confidence))
+    known = edges.groupBy("instance").agg(F.max("seed").alias("seed"))
+    frequent = edges.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= support)
+    graph = materialise(edges.select("pattern", "instance").join(frequent.select("pattern"), "pattern", "left_semi").join(known, "instance"), "pii-graph")
+    trusted = None
+    for k in range(1, rounds + 1):
+        scored = graph.withColumn("score", F.col("seed").cast("double"))
+        if trusted is not None:
+            best = graph.join(trusted.select("pattern", "pattern_score"), "pattern").groupBy("instance").agg(F.max("pattern_score").alias("best"))
+            scored = graph.join(best, "instance", "left").withColumn("score", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("best", F.lit(0.0))))
+        now = scored.groupBy("pattern").agg(F.count("*").alias("n"), F.count_if("seed").alias("seeds"), F.avg("score").alias("pattern_score")).where(F.col("pattern_score") >= confidence)
+        before = 0 if trusted is None else trusted.count()
+        now = now.withColumn("round", F.lit(k)) if trusted is None else now.join(trusted.select("pattern", "round"), "pattern", "left").withColumn("round", F.coalesce("round", F.lit(k)))
+        trusted = materialise(now, "pii-trusted")
+        if trusted.count() == before:
+            break
+    return trusted
 
 
 #: The driver holds at most this many learned patterns; more stay in a table that is joined instead.
@@ -183,7 +203,7 @@ MAX_DRIVER_PATTERNS = 20_000
 
 
 def learn_patterns(docs: DataFrame, **bounds) -> DataFrame:
-    return materialise(score_patterns(occurrences(docs), **bounds), "pii-patterns")
+    return score_patterns(materialise(occurrences(docs), "pii-occurrences"), **bounds)
 
 
 def discovered(text: str, base: list[Span], patterns) -> list[Span]:
@@ -192,7 +212,7 @@ def discovered(text: str, base: list[Span], patterns) -> list[Span]:
     out = [k for k in keys if not any(a < k[2] and k[1] < b for _, a, b in base)]
     known = base + out
     for lo, hi in candidates(text) if patterns else ():
-        if left_pattern(text, lo) in patterns and not any(a < hi and lo < b for _, a, b in known):
+        if any(p in patterns for p in patterns_at(text, lo, hi)) and not any(a < hi and lo < b for _, a, b in known):
             out.append(("context", lo, hi))
     return out
 
@@ -244,7 +264,7 @@ def _with_local_patterns(source: DataFrame, learned: DataFrame, keep: list[str])
     """Attach to each row the learned patterns its own text holds, for pattern sets too large to broadcast."""
     def run(batch: pa.RecordBatch):
         for part in slices(batch, "_text"):
-            own = [sorted({left_pattern(t, lo) for lo, _ in candidates(t)} - {""}) for t in part.column("_text").to_pylist()]
+            own = [sorted({p for span in candidates(t) for p in patterns_at(t, *span)}) for t in part.column("_text").to_pylist()]
             yield pa.table([*part.columns, pa.array(own, pa.list_(pa.string()))], names=[*part.schema.names, "_own"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema)
