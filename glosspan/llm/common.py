@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import atexit
 import ctypes
-import hashlib
 import os
 import shutil
 import tempfile
@@ -15,7 +14,6 @@ from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -53,10 +51,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or our own where the session names none."""
+    """The folder all executors share: spark.checkpoint.dir, or in local mode, where there is none, our own."""
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not root:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         own = tempfile.mkdtemp(prefix="glosspan-scratch-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         sc.setCheckpointDir("file://" + own)
@@ -64,12 +64,47 @@ def scratch(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+#: Paths of the tables written and not yet released, by application.
+_written: dict[str, set[str]] = {}
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage is cut and lost executors cost nothing."""
+    """Write ``df`` to the shared folder and read it back: lineage is cut and lost executors cost nothing.
+
+    The table stays until ``release`` or the application's end.
+    """
     spark = df.sparkSession
     path = f"{scratch(spark)}/{label}-{uuid.uuid4().hex}"
+    own = spark.sparkContext.applicationId
+    if own not in _written:
+        _written[own] = set()
+        atexit.register(_release_paths, spark, own)
+    _written[own].add(path)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.glosspan_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables of ``materialise`` that no plan still to run reads."""
+    for t in tables:
+        path = getattr(t, "glosspan_path", None)
+        if path:
+            _delete(t.sparkSession, path)
+            _written.get(t.sparkSession.sparkContext.applicationId, set()).discard(path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _release_paths(spark: SparkSession, application: str) -> None:
+    if spark.sparkContext._jsc is None or spark.sparkContext.applicationId != application:
+        return  # stopped already: the cluster clears its checkpoint folder
+    for path in _written.pop(application, ()):
+        _delete(spark, path)
 
 
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch | pa.Table]], schema, after: Callable[[], None] | None = None,
@@ -144,7 +179,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     With ``also``, each row ends with that column's value, or with None where there is no such column.
 
     The ids come from the label table alone, ordered by a hash, so the bounded id list is what reaches the
-    scan of the documents; rows of the held-out fold, null labels and null ids never take part.
+    scan of the documents; rows of the held-out fold, null labels and null ids never take part, and of repeated ids one
+    row does.  First only hashes and lengths are collected; the texts are those whose lengths fit ``max_chars``.
     """
     ids = []
     base = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & ~held_out_column()).select(
@@ -155,19 +191,27 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
         return []
     known = {r.doc_id: r.y for r in ids}
     spark = docs.sparkSession
-    small = spark.createDataFrame([(k,) for k in known], T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType)]))
-    extra = F.col(also) if also in docs.columns else F.lit(None)
-    rows = (docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), extra.alias("extra"))
-            .join(F.broadcast(small), "doc_id", "left_semi").collect())
-    rows.sort(key=lambda r: hashlib.md5(str(r.doc_id).encode() + r.text[:64].encode("utf-8", "replace")).digest())
-    out, chars = [], 0
-    for r in rows:
-        if chars + len(r.text) > max_chars:
-            continue
-        chars += len(r.text)
-        out.append((r.text, known[r.doc_id], r.extra) if also else (r.text, known[r.doc_id]))
-    return out
+    key = T.StructField("doc_id", docs.schema["doc_id"].dataType)
+    small = spark.createDataFrame([(k,) for k in known], T.StructType([key]))
+    extra = F.col(also) if also in docs.columns else F.lit(None).cast("string")
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select("doc_id", text.alias("text"), extra.alias("extra"), F.xxhash64("doc_id", text, extra.cast("string")).alias("h"))
+    sizes = (rows.select("doc_id", "h", F.length("text").alias("n")).join(F.broadcast(small), "doc_id", "left_semi")
+             .groupBy("doc_id").agg(F.min(F.struct("h", "n")).alias("x")).select("doc_id", "x.*").collect())
+    chosen, chars = {}, 0
+    for r in sorted(sizes, key=lambda r: (r.h, r.doc_id)):
+        if chars + r.n <= max_chars:
+            chars += r.n
+            chosen[r.doc_id] = r.h
+    if not chosen:
+        return []
+    table = spark.createDataFrame(list(chosen.items()), T.StructType([key, T.StructField("h", T.LongType())]))
+    found = rows.join(F.broadcast(table), ["doc_id", "h"], "left_semi").dropDuplicates(["doc_id", "h"]).collect()
+    found.sort(key=lambda r: (r.h, r.doc_id))
+    return [(r.text, known[r.doc_id], r.extra) if also else (r.text, known[r.doc_id]) for r in found]
 
 
-def persist_disk(df: DataFrame) -> DataFrame:
-    return df.persist(StorageLevel.DISK_ONLY)
+def class_share(labels: DataFrame, label: str) -> float:
+    """The share of class 1 among the labels that may teach, with one more of each."""
+    counts = {r[label]: r.n for r in labels.where(~held_out_column()).groupBy(label).agg(F.count("*").alias("n")).collect() if r[label] in (0, 1)}
+    return (counts.get(1, 0) + 1) / (sum(counts.values()) + 2)

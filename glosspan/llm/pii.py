@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_batches, materialise, slices, table
+from .common import map_batches, materialise, release, slices, table
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -192,9 +192,11 @@ def score_patterns(edges: DataFrame, rounds: int = 10, support: int = 5, confide
         now = scored.groupBy("pattern").agg(F.count("*").alias("n"), F.count_if("seed").alias("seeds"), F.avg("score").alias("pattern_score")).where(F.col("pattern_score") >= confidence)
         before = 0 if trusted is None else trusted.count()
         now = now.withColumn("round", F.lit(k)) if trusted is None else now.join(trusted.select("pattern", "round"), "pattern", "left").withColumn("round", F.coalesce("round", F.lit(k)))
-        trusted = materialise(now, "pii-trusted")
+        previous, trusted = trusted, materialise(now, "pii-trusted")
+        release(*[previous] if previous is not None else [])
         if trusted.count() == before:
             break
+    release(graph)
     return trusted
 
 
@@ -203,7 +205,10 @@ MAX_DRIVER_PATTERNS = 20_000
 
 
 def learn_patterns(docs: DataFrame, **bounds) -> DataFrame:
-    return score_patterns(materialise(occurrences(docs), "pii-occurrences"), **bounds)
+    edges = materialise(occurrences(docs), "pii-occurrences")
+    trusted = score_patterns(edges, **bounds)
+    release(edges)
+    return trusted
 
 
 def discovered(text: str, base: list[Span], patterns) -> list[Span]:

@@ -7,7 +7,9 @@ all chunks and combined into one probability.
 Defined cases: null and empty texts are one empty chunk; repeated rows score alike (to the five places that
 scores are rounded to, single precision products depending on their batch); texts of any length are read
 whole in slices of bounded memory; a label table without both classes gives the constant prior; the held-out fold
-never teaches; fitting uses at most ``per_class`` rows of each class and ``max_chars`` characters, both parameters.
+never teaches; fitting uses at most ``per_class`` rows of each class and ``max_chars`` characters, both parameters; of windows that tie
+for the largest response the first is learned from; an empty table gives no rows; ``keep_good`` hands on all columns,
+also ones named like the scores, and no other column is read.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, labelled_sample, map_batches, slices, table
+from .common import class_share, held_out, labelled_sample, map_batches, slices, table
 
 #: Half a chunk; a chunk is two halves and shares each of them with a neighbour.
 HALF = 256
@@ -179,9 +181,7 @@ def fit(sample: list[tuple[str, int]], prior: float, epochs: int = 10, batch_byt
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = 1500, max_chars: int = 6_000_000, **options) -> Network:
-    counts = {r.quality: r.n for r in labels.groupBy("quality").agg(F.count("*").alias("n")).collect() if r.quality in (0, 1)}
-    prior = (counts.get(1, 0) + 1) / (sum(counts.values()) + 2)
-    return fit(labelled_sample(docs, labels, "quality", per_class, max_chars), prior, **options)
+    return fit(labelled_sample(docs, labels, "quality", per_class, max_chars), class_share(labels, "quality"), **options)
 
 
 def score(docs: DataFrame, net: Network, threshold: float = THRESHOLD, keep: list[str] | None = None) -> DataFrame:

@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_batches, materialise, ship, slices, table
+from .common import map_batches, materialise, release, ship, slices, table
 from .neardup import _word_hashes
 
 WINDOW = 400
@@ -333,8 +333,8 @@ def _settle(rows: int):
     return run
 
 
-def _by_window(hot: DataFrame) -> DataFrame:
-    """Runs of repeated windows in groups too large for one batch, by counting 128-bit window hashes."""
+def _by_window(hot: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Runs of repeated windows in groups too large for one batch, by counting 128-bit window hashes; and their table."""
     def run(batch: pa.RecordBatch):
         one, two = _rollings()
         for r in batch.to_pylist():
@@ -350,7 +350,7 @@ def _by_window(hot: DataFrame) -> DataFrame:
     one_each = hot.dropDuplicates(["h", "o1", "o2", "at"])  # rows of one document that are repeated
     windows = materialise(map_batches(one_each, run, "w1 long, w2 long, h long, o1 long, o2 long, first long, n long"), "substr-windows")
     many = windows.groupBy("w1", "w2").agg(F.sum("n").alias("total")).where("total > 1").select("w1", "w2")
-    return windows.where("n = 1").join(many, ["w1", "w2"]).select("o1", "o2", "first", F.col("first").alias("last"))
+    return windows.where("n = 1").join(many, ["w1", "w2"]).select("o1", "o2", "first", F.col("first").alias("last")), windows
 
 
 def _second_pass(batch: pa.RecordBatch):
@@ -391,18 +391,18 @@ def _second_pass(batch: pa.RecordBatch):
                         pa.array(np.concatenate(h1).view(np.int64)), pa.array(np.concatenate(h2).view(np.int64))], names=_CONTEXT_NAMES)
 
 
-def _byte_contexts(every: DataFrame, rows: int) -> tuple[DataFrame, DataFrame]:
-    """(runs settled by equal contexts, the contexts that the second pass must cut)."""
+def _byte_contexts(every: DataFrame, rows: int) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """(runs settled by equal contexts, the contexts that the second pass must cut, the tables behind both)."""
     shared = every.groupBy("h").agg(F.sum("n").alias("n_h")).where("n_h > 1").select("h")
     known = materialise(every.join(shared, "h"), "substr-shared")
     contexts = materialise(known.groupBy("h", "c1", "c2").agg(F.sum("n").alias("n"), F.min(F.struct("o1", "o2", "d", "at", "lo", "hi")).alias("x")), "substr-contexts")
     whole = contexts.where("n > 1").select("h", "c1", "c2")
     settled = known.where("n = 1").join(whole, ["h", "c1", "c2"]).select("o1", "o2", (F.col("at") - F.col("hi")).alias("first"), (F.col("at") - F.col("lo")).alias("last"))
     open_groups = contexts.groupBy("h").agg(F.count("*").alias("m"), F.min("n").alias("least")).where("m > 1 AND least = 1").select("h", "m")
-    return settled, contexts.join(open_groups, "h").select(F.lit(0).alias("kind"), "h", "x.*", "n", "m")
+    return settled, contexts.join(open_groups, "h").select(F.lit(0).alias("kind"), "h", "x.*", "n", "m"), [known, contexts]
 
 
-def _word_contexts(every: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _word_contexts(every: DataFrame) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
     """The same over words; what counts is that two documents hold a context, not that it occurs twice."""
     across = F.min("d") != F.max("d")
     shared = every.groupBy("h").agg(across.alias("a")).where("a").select("h")
@@ -416,17 +416,17 @@ def _word_contexts(every: DataFrame) -> tuple[DataFrame, DataFrame]:
     single = known.join(open_groups, "h", "left_semi").join(whole, ["h", "c1", "c2"], "left_anti")
     # a context that two documents hold is settled; one of them still shows its windows to the others of its group
     shown = contexts.where("a").join(open_groups, "h", "left_semi").select("h", "x.*")
-    return settled, row(single, 0).unionByName(row(shown, 1))
+    return settled, row(single, 0).unionByName(row(shown, 1)), [known, contexts]
 
 
-def repeated_runs(docs: DataFrame, rows: int = ROWS) -> DataFrame:
+def repeated_runs(docs: DataFrame, rows: int = ROWS) -> tuple[DataFrame, list[DataFrame]]:
     """(words, o1, o2, first, last), distinct: runs of starts of byte strings (words false) that start elsewhere too,
-    and of passages of words that another document holds, by owner."""
+    and of passages of words that another document holds, by owner; and the tables they are read from."""
     ship(docs.sparkSession)
     found = materialise(anchor_rows(docs), "substr-anchors")
     local = found.where("kind = 1").select("o1", "o2", F.col("at").alias("first"), F.col("c1").alias("last"))
-    settled, byte_wanted = _byte_contexts(found.where("kind = 0").drop("kind"), rows)
-    word_settled, word_wanted = _word_contexts(found.where("kind = 2").drop("kind"))
+    settled, byte_wanted, b = _byte_contexts(found.where("kind = 0").drop("kind"), rows)
+    word_settled, word_wanted, w = _word_contexts(found.where("kind = 2").drop("kind"))
     wanted = byte_wanted.unionByName(word_wanted).groupBy("o1", "o2", "d").agg(F.collect_list(F.struct("kind", "h", "at", "lo", "hi", "n", "m")).alias("wanted"))
     wanted = materialise(wanted, "substr-wanted")
     texts = owners(docs).where(_ABLE).select("o1", "o2", "d", "_bytes")
@@ -438,12 +438,15 @@ def repeated_runs(docs: DataFrame, rows: int = ROWS) -> DataFrame:
     runs = local.unionByName(settled).unionByName(fine)
     hot = contexts.where(F.col("m") > rows)
     if hot.select("h").head(1):
-        runs = runs.unionByName(_by_window(hot.select("h", "o1", "o2", "at", "lo", "hi", "n", "context")))
+        more, table_of = _by_window(hot.select("h", "o1", "o2", "at", "lo", "hi", "n", "context"))
+        runs = runs.unionByName(more)
+        w.append(table_of)
     windows = strings.where("h IS NULL")
     many = windows.groupBy("w1", "w2").agg(((F.min("d") != F.max("d")) | (F.max("n") > 0)).alias("a"), F.min("n").alias("least")).where("a AND least = 0").select("w1", "w2")
     passages = windows.where("n = 0").join(many, ["w1", "w2"], "left_semi").select("o1", "o2", F.col("at").alias("first"), F.col("at").alias("last"))
     passages = word_settled.unionByName(passages)
-    return runs.withColumn("words", F.lit(False)).unionByName(passages.withColumn("words", F.lit(True))).distinct()
+    runs = runs.withColumn("words", F.lit(False)).unionByName(passages.withColumn("words", F.lit(True))).distinct()
+    return runs, [found, *b, *w, wanted, strings]
 
 
 def covered(runs: list[tuple[int, int]]) -> int:
@@ -477,7 +480,9 @@ RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 s
 def deduplicate(docs: DataFrame, keep_text: bool = False, rows: int = ROWS) -> DataFrame:
     """One row per document: sizes, removed bytes and spans, the digest of what is left, the words of repeated passages
     and, if asked, the bytes that are left."""
-    runs = materialise(repeated_runs(docs, rows).groupBy("o1", "o2").agg(F.collect_list(F.struct("words", "first", "last")).alias("runs")), "substr-runs")
+    found, behind = repeated_runs(docs, rows)
+    runs = materialise(found.groupBy("o1", "o2").agg(F.collect_list(F.struct("words", "first", "last")).alias("runs")), "substr-runs")
+    release(*behind)
     source = owners(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "_bytes", "o1", "o2")
     able = F.expr(_ABLE)  # shorter texts have no runs: they are spread, not joined by their few common texts
     source = source.withColumn("o1", F.when(able, F.col("o1")).otherwise(F.monotonically_increasing_id())).withColumn("o2", F.when(able, F.col("o2")).otherwise(0))

@@ -8,7 +8,9 @@ English list, groups are derived for each language from the labelled rows: words
 
 Defined cases: null and empty texts score as a text without words; repeated rows score alike; texts of any length
 are read whole; a label table without both classes gives the constant prior; the held-out fold never teaches;
-fitting uses at most ``per_class`` rows of each class and ``max_chars`` characters, both parameters.
+fitting uses at most ``per_class`` rows of each class and ``max_chars`` characters, both parameters; words that tie
+for the highest score share its gradient; an empty table gives no rows; columns other than doc_id, text and (for the
+groups of the fit only) lang are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, labelled_sample, map_batches, slices, table
+from .common import class_share, held_out, labelled_sample, map_batches, slices, table
 
 BITS = 20
 NGRAMS = (3, 4, 5, 6)
@@ -247,10 +249,8 @@ def _centre(margin: np.ndarray, y: np.ndarray) -> float:
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = 2000, max_chars: int = 8_000_000, groups=IDENTITY_GROUPS, **options) -> Model:
-    counts = {r.toxic: r.n for r in labels.groupBy("toxic").agg(F.count("*").alias("n")).collect() if r.toxic in (0, 1)}
-    prior = (counts.get(1, 0) + 1) / (sum(counts.values()) + 2)
     rows = labelled_sample(docs, labels, "toxic", per_class, max_chars, also="lang")
-    return fit([(t, y) for t, y, _ in rows], prior, pairs=sample_pairs(rows, groups), **options)
+    return fit([(t, y) for t, y, _ in rows], class_share(labels, "toxic"), pairs=sample_pairs(rows, groups), **options)
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
