@@ -5,13 +5,16 @@ vectors are packed in blocks of bounded size.  A query ranks the centroids of ea
 of their summed distance with a heap until the cells it has seen hold the share of all vectors that the target
 recall needs, and the entries of those cells are reranked with the original vectors in double precision.
 
-The centroids are fitted on at most ``SAMPLE`` vectors and the share is calibrated on at most ``PROBES`` queries
-against the same sample by brute force; both are parameters.  Every vector is indexed.
-
-Defined cases: vectors that are null, all zero or hold null or non-finite components take no part, nor do vectors
-of another length than the most common one; equal vectors tie and the smaller vec_id comes first; a repeated vec_id
-is one candidate (its smallest vector); with fewer candidates than asked for, all are returned; an empty table
-gives no rows.
+The codebooks grow with the vectors, so that a cell holds about ``PER_CELL`` of them, up to ``MOST`` centroids a half
+(what is broadcast stays bounded; larger cells are more blocks).  They are fitted on at most ``SAMPLE`` vectors and the
+share is calibrated on at most ``PROBES`` queries against the same sample by brute force; these are parameters.  Every
+vector is indexed.  What a query finds among the sample's vectors in its cells bounds what its other entries must reach.
+
+Defined cases: vectors that are null, empty, all zero or hold null or non-finite components, or have no vec_id, take no
+part; an inner product needs equal lengths, so vectors of each length are searched among themselves; every row is a
+candidate but the query's own, so of rows that repeat a vec_id each is a query and a candidate of the others; equal scores
+tie and the smaller vec_id comes first; with fewer candidates than asked for, all are returned; an empty table gives no
+rows; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -21,29 +24,27 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import map_batches, materialise, table
+from .common import map_batches, materialise, release, table
 
 TOP = 20
 QUERY_MODULUS = 20
 SAMPLE = 20_000
 PROBES = 128
-BLOCK = 2048
+PER_CELL, MOST = 256, 1024
+BLOCK = 4096
 RECALL = 0.97
 
 
 def usable(vectors: DataFrame, column: str = "embedding") -> DataFrame:
-    """(vec_id, v array<double>) of the vectors that take part, one per vec_id."""
+    """(rid, vec_id, v array<double>) of the rows that take part; ``rid`` tells rows apart."""
     ok = (F.col("vec_id").isNotNull() & F.col(column).isNotNull() & (F.size(column) > 0)
           & ~F.exists(column, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
           & F.exists(column, lambda x: x != 0))
     rows = vectors.where(ok).select(F.col("vec_id").cast("long").alias("vec_id"), F.col(column).cast("array<double>").alias("v"))
-    common = rows.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("c")).orderBy(F.desc("c"), "n").limit(1).collect()
-    if not common:
-        return rows
-    return rows.where(F.size("v") == common[0].n).groupBy("vec_id").agg(F.min("v").alias("v"))
+    return rows.select(F.monotonically_increasing_id().alias("rid"), "vec_id", "v")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -80,6 +81,9 @@ class Index:
     left: np.ndarray
     right: np.ndarray
     counts: np.ndarray | None = None
+    sample: np.ndarray | None = None  # vectors, rids and cells of the sample
+    rids: np.ndarray | None = None
+    own: np.ndarray | None = None
 
     def cells(self, x: np.ndarray) -> np.ndarray:
         half = self.left.shape[1]
@@ -128,43 +132,60 @@ def calibrate(index: Index, sample: np.ndarray, top: int = TOP, probes: int = PR
     return float(min(1.0, np.quantile(shares, recall) * 1.02)) if shares else 1.0
 
 
+def centroids(total: int, sampled: int) -> int:
+    return int(min(MOST, max(2, round((total / PER_CELL) ** 0.5)), max(2, sampled // 8)))
+
+
 def build(vectors: DataFrame, sample_size: int = SAMPLE, **options) -> tuple[Index, float, DataFrame]:
-    """Index, share to visit, and all vectors with their cell (a written table)."""
+    """Index, share to visit, and all vectors (of one length) with their cell (a written table)."""
     total = vectors.count()
     if not total:
         return Index(np.zeros((1, 1)), np.zeros((1, 1)), np.zeros(1, np.int64)), 1.0, vectors.withColumn("cell", F.lit(0))
-    picked = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_size).toArrow()
+    picked = vectors.orderBy(F.xxhash64("vec_id"), "vec_id", "rid").limit(sample_size).toArrow()
     sample = _matrix(picked.column("v"))
     half = max(1, sample.shape[1] // 2)
-    k = int(min(64, max(2, round(total ** 0.25 * 1.5))))
+    k = centroids(total, len(sample))
     index = Index(lloyd(sample[:, :half], k), lloyd(sample[:, half:] if sample.shape[1] > 1 else np.zeros((len(sample), 1)), k))
     if sample.shape[1] == 1:
         index.right = np.zeros((1, 0))
     share = calibrate(index, sample, **options)
+    index.sample, index.rids, index.own = sample, np.asarray(picked.column("rid").combine_chunks()), index.cells(sample)
     spark = vectors.sparkSession
-    shared = spark.sparkContext.broadcast(index)
+    shared = spark.sparkContext.broadcast(Index(index.left, index.right))
 
     def assign(batch: pa.RecordBatch):
         if batch.num_rows:
             cells = shared.value.cells(_matrix(batch.column("v")))
             yield pa.table([*batch.columns, pa.array(cells)], names=[*batch.schema.names, "cell"])
 
-    celled = materialise(map_batches(vectors.select("vec_id", "v"), assign, "vec_id long, v array<double>, cell long"), "ann-cells")
+    celled = materialise(map_batches(vectors.select("rid", "vec_id", "v"), assign, "rid long, vec_id long, v array<double>, cell long"), "ann-cells")
     counts = np.zeros(len(index.left) * len(index.right), np.int64)
-    for r in celled.groupBy("cell").agg(F.count("*").alias("n")).collect():  # at most 64 x 64 cells
+    for r in celled.groupBy("cell").agg(F.count("*").alias("n")).collect():  # at most MOST * MOST cells
         counts[r.cell] = r.n
     index.counts = counts
     return index, share, celled
 
 
-_HITS = "query_id long, vec_id long, score double"
+_HITS = "q long, query_id long, vec_id long, score double"
+_HIT_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.float64()]
+
+
+def _packed(q: np.ndarray) -> bytes:
+    """Query vectors, in single precision where that is exact."""
+    small = q.astype(np.float32)
+    return b"f" + small.tobytes() if (small == q).all() else b"d" + q.tobytes()
+
+
+def _unpacked(raw: bytes, dim: int) -> np.ndarray:
+    return np.frombuffer(raw, np.float32 if raw[:1] == b"f" else np.float64, offset=1).astype(np.float64).reshape(-1, dim)
 
 
 def search(queries: DataFrame, celled: DataFrame, index: Index, share: float, top: int = TOP) -> DataFrame:
-    """(query_id, rank, vec_id, score) of each query's nearest found; a vector is no candidate for its own id.
+    """(query_id, rank, vec_id, score) of each query's nearest found; a row is no candidate for itself.
 
     Blocks of a cell and batches of the queries that visit it are joined on the cell and a block number, so a cell
-    that holds a third of all vectors is spread over tasks; each task sends ``top`` rows per query and block.
+    that holds a third of all vectors is spread over tasks; each task sends at most ``top`` rows per query and block, and
+    the best are kept by a ranking that is cut off before it is shuffled.
     """
     spark = queries.sparkSession
     total = int(index.counts.sum())
@@ -174,69 +195,85 @@ def search(queries: DataFrame, celled: DataFrame, index: Index, share: float, to
     shared = spark.sparkContext.broadcast(index)
     blocks = {c: max(1, -(-int(n) // BLOCK)) for c, n in enumerate(index.counts) if n}
     n_blocks = spark.sparkContext.broadcast(blocks)
+    dim = index.sample.shape[1]
 
     def visit(batch: pa.RecordBatch):
-        ids, qv = batch.column("vec_id").to_pylist(), _matrix(batch.column("v")) if batch.num_rows else []
-        by_cell: dict[int, list[int]] = {}
-        for k, q in enumerate(qv):
-            for c in shared.value.walk(q, need):
-                by_cell.setdefault(c, []).append(k)
-        cells, block, packed, vectors = [], [], [], []
-        for c, rows in by_cell.items():
-            for lo in range(0, len(rows), 256):
-                own = rows[lo:lo + 256]
-                for b in range(n_blocks.value[c]):
-                    cells.append(c)
-                    block.append(b)
-                    packed.append(np.array([ids[i] for i in own], np.int64).tobytes())
-                    vectors.append(qv[own].astype(np.float64).tobytes())
-        yield pa.table([pa.array(cells, pa.int64()), pa.array(block, pa.int32()), pa.array(packed, pa.binary()), pa.array(vectors, pa.binary())],
-                       names=["cell", "block", "ids", "vectors"])
-
-    visits = map_batches(queries.select("vec_id", "v"), visit, "cell long, block int, ids binary, vectors binary")
+        own_index = shared.value
+        for at in range(0, batch.num_rows, 512):
+            part = batch.slice(at, 512)
+            rids, ids, qv = np.asarray(part.column("rid")), np.asarray(part.column("vec_id")), _matrix(part.column("v"))
+            near = qv @ own_index.sample.T
+            near[rids[:, None] == own_index.rids[None, :]] = -np.inf
+            floor = np.full(len(qv), -np.inf)
+            by_cell: dict[int, list[int]] = {}
+            for k, q in enumerate(qv):
+                seen = np.zeros(len(own_index.counts), bool)
+                for c in own_index.walk(q, need):
+                    by_cell.setdefault(c, []).append(k)
+                    seen[c] = True
+                s = near[k][seen[own_index.own]]
+                if len(s) >= top:  # so many are found already
+                    least = np.partition(s, len(s) - top)[len(s) - top]
+                    floor[k] = least - 1e-9 * (1 + abs(least)) if np.isfinite(least) else -np.inf
+            columns: list[list] = [[] for _ in range(6)]
+            for c, rows in by_cell.items():
+                for lo in range(0, len(rows), 256):
+                    own = rows[lo:lo + 256]
+                    packed = (rids[own].tobytes(), ids[own].tobytes(), _packed(qv[own]), floor[own].tobytes())
+                    for b in range(n_blocks.value[c]):
+                        for column, v in zip(columns, (c, b, *packed)):
+                            column.append(v)
+            kinds = [pa.int64(), pa.int32(), *[pa.binary()] * 4]
+            yield pa.table([pa.array(c, t) for c, t in zip(columns, kinds)], names=["cell", "block", "rids", "ids", "vectors", "floor"])
+
+    visits = map_batches(queries.select("rid", "vec_id", "v"), visit, "cell long, block int, rids binary, ids binary, vectors binary, floor binary")
 
     def number(batch: pa.RecordBatch):
-        ids, cells = np.asarray(batch.column("vec_id")).astype(np.uint64), np.asarray(batch.column("cell"))
-        mixed = (ids * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+        rids, cells = np.asarray(batch.column("rid")).astype(np.uint64), np.asarray(batch.column("cell"))
+        mixed = (rids * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
         parts = np.array([n_blocks.value.get(int(c), 1) for c in cells], np.uint64)
         yield pa.table([*batch.columns, pa.array((mixed % np.maximum(parts, np.uint64(1))).astype(np.int32))], names=[*batch.schema.names, "block"])
 
-    numbered = map_batches(celled, number, "vec_id long, v array<double>, cell long, block int")
-    dim = len(index.left[0]) + (index.right.shape[1] if index.right.ndim > 1 else 0)
+    numbered = map_batches(celled, number, "rid long, vec_id long, v array<double>, cell long, block int")
 
     def compare(left, right):
-        if not left.num_rows or not right.num_rows:
-            return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names=["query_id", "vec_id", "score"])
-        x, ids = _matrix(right.column("v")), np.asarray(right.column("vec_id"))
-        q_out, i_out, s_out = [], [], []
-        for raw_ids, raw in zip(left.column("ids").to_pylist(), left.column("vectors").to_pylist()):
-            qids, q = np.frombuffer(raw_ids, np.int64), np.frombuffer(raw, np.float64).reshape(-1, dim)
-            rough = q @ x.T
-            rough[qids[:, None] == ids[None, :]] = -np.inf
-            k = min(top, x.shape[0])
-            floor = np.partition(rough, x.shape[0] - k, axis=1)[:, x.shape[0] - k]
-            slack = 1e-9 * (1 + np.abs(np.where(np.isfinite(floor), floor, 0)))
-            for r in range(len(q)):
-                cand = np.flatnonzero((rough[r] >= floor[r] - slack[r]) & np.isfinite(rough[r]))
-                s = exact_scores(q[r], x[cand])
-                best = np.lexsort((ids[cand], -s))[:top]
-                q_out.append(np.full(len(best), qids[r]))
-                i_out.append(ids[cand][best])
-                s_out.append(s[best])
-        cat = lambda xs, kind: pa.array(np.concatenate(xs) if xs else np.zeros(0), kind)
-        return pa.table([cat(q_out, pa.int64()), cat(i_out, pa.int64()), cat(s_out, pa.float64())], names=["query_id", "vec_id", "score"])
+        out: list[list] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]]
+        if left.num_rows and right.num_rows:
+            x, ids, own = _matrix(right.column("v")), np.asarray(right.column("vec_id")), np.asarray(right.column("rid"))
+            for raws in zip(*(left.column(c).to_pylist() for c in ("rids", "ids", "vectors", "floor"))):
+                rids, qids, floor = np.frombuffer(raws[0], np.int64), np.frombuffer(raws[1], np.int64), np.frombuffer(raws[3], np.float64)
+                q = _unpacked(raws[2], dim)
+                rough = q @ x.T
+                rough[rids[:, None] == own[None, :]] = -np.inf
+                k = min(top, x.shape[0])
+                bar = np.partition(rough, x.shape[0] - k, axis=1)[:, x.shape[0] - k]
+                bar = np.maximum(bar - 1e-9 * (1 + np.abs(np.where(np.isfinite(bar), bar, 0))), floor)
+                for r in np.flatnonzero((rough >= bar[:, None]).any(1)):
+                    cand = np.flatnonzero((rough[r] >= bar[r]) & np.isfinite(rough[r]))
+                    s = exact_scores(q[r], x[cand])
+                    best = np.lexsort((ids[cand], -s))[:top]
+                    for column, v in zip(out, (np.full(len(best), rids[r]), np.full(len(best), qids[r]), ids[cand][best], s[best])):
+                        column.append(v)
+        return pa.table([pa.array(np.concatenate(c), t) for c, t in zip(out, _HIT_TYPES)], names=["q", "query_id", "vec_id", "score"])
 
     hits = visits.groupBy("cell", "block").cogroup(numbered.groupBy("cell", "block")).applyInArrow(compare, _HITS)
-    best = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("m"), "vec_id"))), 1, top)
-    # Two levels, so that no task gathers a query's hits from all blocks at once.
-    some = hits.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(32))).groupBy("query_id", "part").agg(best.alias("b"))
-    some = some.select("query_id", F.explode("b").alias("x")).select("query_id", (-F.col("x.m")).alias("score"), F.col("x.vec_id").alias("vec_id"))
-    ranked = some.groupBy("query_id").agg(best.alias("b")).select("query_id", F.posexplode("b").alias("p", "x"))
-    return ranked.select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.m")).alias("score"))
+    order = Window.partitionBy("q", "query_id").orderBy(F.desc("score"), "vec_id")
+    return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
+
+
+def neighbours(vectors: DataFrame, modulus: int = QUERY_MODULUS, top: int = TOP, **options) -> DataFrame:
+    """``search`` over the usable rows of each vector length, the rows whose vec_id ``modulus`` divides being the queries."""
+    rows = materialise(usable(vectors).withColumn("n", F.size("v")), "ann-rows")  # written, so that rid stays what it is
+    lengths = [r.n for r in rows.select("n").distinct().orderBy("n").collect()]  # a table has one, or few
+    out = None
+    for n in lengths or [0]:
+        index, share, celled = build(rows.where(F.col("n") == n).drop("n"), **options)
+        found = search(celled.where(F.col("vec_id") % modulus == 0), celled, index, share, top)
+        out = found if out is None else out.unionByName(found)
+    release(rows)
+    return out
 
 
 def op7_ann_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 20 nearest other vectors of every vector whose id is divisible by 20."""
-    vectors = usable(table(spark, sf_dir, "embeddings"))
-    index, share, celled = build(vectors)
-    return search(celled.where(F.col("vec_id") % QUERY_MODULUS == 0), celled, index, share)
+    """The 20 nearest other rows of every row whose vec_id is divisible by 20."""
+    return neighbours(table(spark, sf_dir, "embeddings"))

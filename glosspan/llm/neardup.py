@@ -4,21 +4,26 @@ A 256-bit SimHash over weighted words stands for each distinct text.  One repeti
 strips.  On a strip, a fingerprint is kept by a random centre if its partial weight against it (the number of
 differing coordinates) is at most one; each fingerprint follows the first of its centres in that repetition's
 random order, so the next strip is applied inside ever smaller lists, and the last lists are compared by brute
-force.  The repetitions are as many as the target recall needs.
+force.  Levels and strips are such that a list of unlike texts holds about ``LIST`` of them, whatever the number of
+texts, and there are as many repetitions as bring two fingerprints at exactly ``THRESHOLD`` together with the chance
+``RECALL``; nearer ones meet more surely.
 
 A pair is counted by the first repetition that brings both together, which each list can tell from the two
 fingerprints alone, so no pair is ever shipped: a list sends one row per linked text with its count and the root of
-its local component.  A list above ``BLOCK`` rows is not held: its rows are dealt to pairs of blocks that other
-tasks compare, exactly.  Components are joined by alternating large-star and small-star steps.
+its local component.  A list above ``BLOCK`` rows (of texts too alike for any strip to part) is not held: its rows are
+dealt to pairs of blocks that other tasks compare, exactly.  Components are joined by alternating large-star and
+small-star steps.
 
 Defined cases: equal texts (also null and empty ones, null counting as empty) are one class without any search;
-repeated rows are copies; a text without words is represented by its bytes;
-ids may be null; texts of any length are read whole; an empty table gives no rows.
+repeated rows are copies; a text without words is represented by its bytes; of documents of a class that tie the smallest
+doc_id, then the smallest text hash represents it; ids may be null; texts of any length are read whole; an empty table
+gives no rows; other columns, whatever their names, are carried by ``keep_representatives`` and read by nothing.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,15 +33,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_batches, materialise, ship, slices, table
+from .common import map_batches, materialise, release, ship, slices, table
 from .toxicity import word_slices
 
 BITS = 256
 THRESHOLD = 44
 #: Weight of words of up to three letters, most of which any two texts of a language share.
 SHORT = 0.3
-STRIP = 10
-REPEATS = 48
+LIST = 256
+RECALL = 0.99
 BLOCK = 4096
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _SALTS = np.array([0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0x2545F4914F6CDD1D], np.uint64)
@@ -108,30 +113,59 @@ def with_text_hash(docs: DataFrame) -> DataFrame:
 
 
 @lru_cache(maxsize=8)
-def _recursion(repeats: int, strip: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Coordinates (repeats, 2, strip) and the chosen centre of each strip value (repeats, 2, 2**strip)."""
+def _recursion(repeats: int, levels: int, strip: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Coordinates (repeats, levels, strip) and the chosen centre of each strip value (repeats, levels, 2**strip)."""
     g = np.random.default_rng(seed)
-    coords = np.stack([g.permutation(BITS)[:2 * strip].reshape(2, strip) for _ in range(repeats)])
+    coords = np.stack([g.permutation(BITS)[:levels * strip].reshape(levels, strip) for _ in range(repeats)])
     values = np.arange(1 << strip)
     ball = np.concatenate([values[None], values[None] ^ (1 << np.arange(strip))[:, None]])
-    centres = np.empty((repeats, 2, 1 << strip), np.int64)
+    centres = np.empty((repeats, levels, 1 << strip), np.int64)
     for r in range(repeats):
-        for level in range(2):
+        for level in range(levels):
             order = g.permutation(1 << strip)
             centres[r, level] = np.take_along_axis(ball, order[ball].argmin(0)[None], 0)[0]
     return coords, centres
 
 
-def list_keys(fp: np.ndarray, repeats: int, strip: int, seed: int, upto: int | None = None) -> np.ndarray:
+def meeting_chance(distance: int, strip: int) -> float:
+    """The chance that two fingerprints at ``distance`` follow the same centre of one strip.
+
+    They differ in j of its coordinates with the hypergeometric chance; their balls of ``strip`` + 1 centres share all
+    (j = 0) or two (j = 1, 2) of them, and the first of all centres in random order is a shared one with the share's chance.
+    """
+    total = 0.0
+    for j in range(3):
+        chance = math.comb(distance, j) * math.comb(BITS - distance, strip - j) / math.comb(BITS, strip)
+        total += chance * (1.0 if j == 0 else 2 / (2 * (strip + 1) - 2))
+    return total
+
+
+@lru_cache(maxsize=64)
+def recursion_plan(texts: int, threshold: int = THRESHOLD, recall: float = RECALL, size: float = LIST) -> tuple[int, int, int]:
+    """(levels, coordinates of a strip, repetitions): of the recursions whose last lists hold at most ``size`` unlike
+    texts on average, the one with the fewest repetitions."""
+    best = None
+    for levels in range(1, 6):
+        for strip in range(4, 13):
+            if texts * meeting_chance(BITS // 2, strip) ** levels <= size and levels * strip <= 50:
+                repeats = max(1, math.ceil(math.log(1 - recall) / math.log1p(-meeting_chance(threshold, strip) ** levels)))
+                if best is None or repeats < best[2]:
+                    best = (levels, strip, repeats)
+    return best or (5, 10, math.ceil(math.log(1 - recall) / math.log1p(-meeting_chance(threshold, 10) ** 5)))
+
+
+def list_keys(fp: np.ndarray, params) -> np.ndarray:
     """The list of each fingerprint in each repetition: (rows, repetitions)."""
-    coords, centres = _recursion(repeats, strip, seed)
+    repeats, levels, strip, seed, _ = params
+    coords, centres = _recursion(repeats, levels, strip, seed)
     bits = np.unpackbits(fp, axis=1)
     weights = 1 << np.arange(strip)
-    out = np.empty((len(fp), repeats if upto is None else upto), np.int64)
-    for r in range(out.shape[1]):
-        first = centres[r, 0][bits[:, coords[r, 0]] @ weights]
-        second = centres[r, 1][bits[:, coords[r, 1]] @ weights]
-        out[:, r] = (np.int64(r) << (2 * strip)) | (first << strip) | second
+    out = np.empty((len(fp), repeats), np.int64)
+    for r in range(repeats):
+        key = np.full(len(fp), r, np.int64)
+        for level in range(levels):
+            key = (key << strip) | centres[r, level][bits[:, coords[r, level]] @ weights]
+        out[:, r] = key
     return out
 
 
@@ -153,13 +187,13 @@ def _components(n: int, i: np.ndarray, j: np.ndarray, ids: np.ndarray) -> np.nda
 
 def _links(ids, fp, i, j, rep, params) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of candidate rows i, j of the lists of repetition ``rep``: (ids, counts, roots) of the pairs they own."""
-    repeats, strip, seed, threshold = params
+    threshold = params[4]
     words = fp.view(np.uint64).reshape(len(fp), -1)
     near = distances(words, i, j) <= threshold
     i, j, rep = i[near], j[near], rep[near]
     if len(i):
         rows, inverse = np.unique(np.concatenate([i, j]), return_inverse=True)
-        keys = list_keys(np.ascontiguousarray(fp[rows]), repeats, strip, seed)
+        keys = list_keys(np.ascontiguousarray(fp[rows]), params)
         a, b = inverse[:len(i)], inverse[len(i):]
         own = np.empty(len(i), bool)
         for lo in range(0, len(i), 1 << 16):
@@ -178,7 +212,6 @@ def _links(ids, fp, i, j, rep, params) -> tuple[np.ndarray, np.ndarray, np.ndarr
 
 def _compare(keys: np.ndarray, ids: np.ndarray, fp: np.ndarray, params) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Brute force inside every list of rows sorted by key."""
-    strip = params[1]
     left, right = [], []
     alive = np.arange(len(keys) - 1)
     d = 1
@@ -186,13 +219,13 @@ def _compare(keys: np.ndarray, ids: np.ndarray, fp: np.ndarray, params) -> tuple
     while len(alive):
         alive = alive[alive + d < len(keys)]
         alive = alive[keys[alive] == keys[alive + d]]
-        near = distances(words, alive, alive + d) <= params[3]
+        near = distances(words, alive, alive + d) <= params[4]
         left.append(alive[near])
         right.append(alive[near] + d)
         d += 1
     i = np.concatenate(left) if left else np.zeros(0, np.int64)
     j = np.concatenate(right) if right else np.zeros(0, np.int64)
-    return _links(ids, fp, i, j, keys[i] >> (2 * strip), params)
+    return _links(ids, fp, i, j, keys[i] >> (params[1] * params[2]), params)
 
 
 _FOUND = "id long, links long, root long, key long, block int, f0 long, f1 long, f2 long, f3 long"
@@ -265,19 +298,19 @@ def _block_pairs(deferred: DataFrame, params) -> DataFrame:
     blocks = deferred.groupBy("key").agg((F.max("block") + 1).alias("n"))
     dealt = (deferred.join(blocks, "key").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
              .select("key", "id", *_PARTS, "block", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b")))
-    strip = params[1]
+    shift = params[1] * params[2]
 
     def compare(key, t):
         t = t.combine_chunks()
         ids, fp = np.asarray(t.column("id")), _fp_matrix(t)
         block = np.asarray(t.column("block"))
-        a, b, rep = key[1].as_py(), key[2].as_py(), key[0].as_py() >> (2 * strip)
+        a, b, rep = key[1].as_py(), key[2].as_py(), key[0].as_py() >> shift
         left, right = np.flatnonzero(block == a), np.flatnonzero(block == b)
         words = fp.view(np.uint64).reshape(len(fp), -1)
         li, lj = [], []
         for x in left:
             others = right if a != b else right[right > x]
-            near = others[np.bitwise_count(words[x] ^ words[others]).sum(1, dtype=np.int32) <= params[3]]
+            near = others[np.bitwise_count(words[x] ^ words[others]).sum(1, dtype=np.int32) <= params[4]]
             li.append(np.full(len(near), x))
             lj.append(near)
         i, j = np.concatenate(li), np.concatenate(lj)
@@ -295,16 +328,17 @@ def _block_pairs(deferred: DataFrame, params) -> DataFrame:
     return dealt.groupBy("key", "a", "b").applyInArrow(compare, "id long, links long, root long")
 
 
-def find_links(items: DataFrame, threshold: int = THRESHOLD, repeats: int = REPEATS, strip: int = STRIP, seed: int = 11,
-               block: int = BLOCK) -> DataFrame:
+def find_links(items: DataFrame, threshold: int = THRESHOLD, recall: float = RECALL, seed: int = 11,
+               block: int = BLOCK, size: float = LIST) -> DataFrame:
     """(id, links, root) rows of items (id, f0..f3), ids being distinct: partial link counts and edges to local component roots."""
-    params = (repeats, strip, seed, threshold)
+    levels, strip, repeats = recursion_plan(items.count(), threshold, recall, size)
+    params = (repeats, levels, strip, seed, threshold)
     ship(items.sparkSession)
 
     def keys(batch: pa.RecordBatch):
         for at in range(0, batch.num_rows, 8192):
             part = batch.slice(at, 8192)
-            own = np.asfortranarray(list_keys(_fp_matrix(part), repeats, strip, seed))
+            own = np.asfortranarray(list_keys(_fp_matrix(part), params))
             for r in range(repeats if part.num_rows else 0):
                 yield pa.table([pa.array(own[:, r]), *(part.column(c) for c in ("id", *_PARTS))], names=["key", "id", *_PARTS])
 
@@ -329,10 +363,13 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
-        now = materialise(small, "cc")
+        before, now = now, materialise(small, "cc")
+        release(before)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == previous:
-            return now.select(F.col("u").alias("id"), F.col("v").alias("root"))
+            out = now.select(F.col("u").alias("id"), F.col("v").alias("root"))
+            out.glosspan_path = now.glosspan_path
+            return out
         previous = state
 
 
@@ -341,7 +378,7 @@ def classify(docs: DataFrame, **options) -> DataFrame:
     threshold), n_copies (rows with its very text), is_representative, and the text's hash (h1, h2)."""
     rows = materialise(fingerprint_rows(docs), "neardup-rows")
     texts = rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.count("*").alias("n_copies"), *[F.min(c).alias(c) for c in _PARTS])
-    texts = materialise(texts.withColumn("id", F.col("h1")), "neardup-texts")
+    texts = materialise(texts.withColumn("id", F.monotonically_increasing_id()), "neardup-texts")  # written, so that ids stay
     links = materialise(find_links(texts, **options), "neardup-links")
     root = components(links.select("id", "root"))
     counts = links.groupBy("id").agg(F.sum("links").alias("n_links"))
@@ -350,6 +387,8 @@ def classify(docs: DataFrame, **options) -> DataFrame:
     classes = known.groupBy("root").agg(F.min("first").alias("class_id"), F.min(F.struct("first", "h1", "h2")).alias("rep"))
     known = known.join(classes, "root").select("h1", "h2", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies", "first",
                                                ((F.col("rep.h1") == F.col("h1")) & (F.col("rep.h2") == F.col("h2"))).alias("of_rep"))
+    known = materialise(known, "neardup-known")
+    release(texts, links, root)
     return rows.select("doc_id", "h1", "h2").join(known, ["h1", "h2"]).select(
         "doc_id", "class_id", "n_links", "n_copies", (F.col("of_rep") & F.col("doc_id").eqNullSafe(F.col("first"))).alias("is_representative"), "h1", "h2")
 

@@ -72,6 +72,33 @@ def test_links_and_classes_equal_brute_force(spark, sf):
     assert len(got) == docs.count() and got.groupby("class_id").is_representative.sum().min() == 1
 
 
+def test_recursion_follows_size_and_target():
+    plans = [neardup.recursion_plan(n) for n in (10, 10**4, 10**6, 10**8, 10**10, 10**12)]
+    assert plans == sorted(plans, key=lambda p: p[2]) and all(n * neardup.meeting_chance(128, s) ** l <= neardup.LIST for n, (l, s, _) in zip((10, 10**4, 10**6, 10**8, 10**10, 10**12), plans))
+    g = np.random.default_rng(3)
+    for distance in (20, 44):  # the computed chance against drawn pairs
+        fp = g.integers(0, 256, (4000, 32), dtype=np.uint8)
+        flip = np.zeros((4000, 256), np.uint8)
+        for row in flip:
+            row[g.permutation(256)[:distance]] = 1
+        params = (20, 1, 8, 5, neardup.THRESHOLD)
+        met = (neardup.list_keys(fp, params) == neardup.list_keys(fp ^ np.packbits(flip, axis=1), params)).mean()
+        assert abs(met - neardup.meeting_chance(distance, 8)) < 0.02
+        levels, strip, repeats = neardup.recursion_plan(10**6)
+    assert 1 - (1 - neardup.meeting_chance(neardup.THRESHOLD, strip) ** levels) ** repeats >= neardup.RECALL
+
+
+@pytest.mark.parametrize("size", [0.01, 32])
+def test_deeper_recursion_keeps_the_recall(spark, sf, size):
+    docs = table(spark, sf, "documents")
+    got = {r.h1: r.n_links for r in neardup.classify(docs, size=size).collect()}
+    rows = neardup.fingerprint_rows(docs).toPandas().drop_duplicates("h1").reset_index(drop=True)
+    fp = rows[list(neardup._PARTS)].values.astype(np.int64).view(np.uint64)
+    near = np.bitwise_count(fp[:, None] ^ fp[None]).sum(2) <= neardup.THRESHOLD
+    np.fill_diagonal(near, False)
+    assert (neardup.recursion_plan(len(rows), size=size)[0] > 1) == (size < 1) and sum(got[h] for h in rows.h1) >= 0.97 * near.sum()
+
+
 def test_hot_lists_in_blocks_lose_nothing(spark, sf):
     docs = table(spark, sf, "documents")
     a = {r.doc_id: (r.class_id, r.n_links) for r in neardup.classify(docs).collect()}
@@ -340,10 +367,8 @@ def test_recall_scores_and_ties(spark):
     g = np.random.default_rng(4)
     x = np.concatenate([g.normal(size=(40, 16))[g.integers(0, 40, 1500)] + 0.3 * g.normal(size=(1500, 16)), np.tile(g.normal(size=(1, 16)), (30, 1))]).astype(np.float32)
     rows = [(k, [float(v) for v in r]) for k, r in enumerate(x)]
-    rows += [(5000, None), (5020, [0.0] * 16), (5040, [float("nan")] * 16), (5060, [1.0, None] * 8), (5080, [float("inf")] * 16), (5100, [1.0]), (None, [1.0] * 16), (20, [float(v) for v in x[20]])]
-    v = ann.usable(spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("rank", F.lit(0)))
-    index, share, celled = ann.build(v, sample_size=400)
-    got = ann.search(celled.where("vec_id % 20 = 0"), celled, index, share).toPandas()
+    rows += [(5000, None), (5020, [0.0] * 16), (5040, [float("nan")] * 16), (5060, [1.0, None] * 8), (5080, [float("inf")] * 16), (None, [1.0] * 16), (5120, [])]
+    got = ann.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("rank", F.lit(0)), sample_size=400).toPandas()
     assert got.query_id.nunique() == len([k for k in range(1530) if k % 20 == 0])
     xs, hits = x.astype(np.float64), []
     for q, f in got.sort_values("rank").groupby("query_id"):
@@ -355,14 +380,32 @@ def test_recall_scores_and_ties(spark):
     assert np.mean(hits) >= 0.9
 
 
+def test_repeated_ids_and_other_lengths_are_rows_of_their_own(spark):
+    rows = [(0, [1.0, 0.0]), (0, [2.0, 0.0]), (7, [0.5, 0.5]), (20, [1.0, 1.0, 1.0]), (9, [1.0, 0.0, 0.0])]
+    got = sorted(map(tuple, ann.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()))
+    assert got == [(0, 1, 0, 2.0), (0, 1, 0, 2.0), (0, 2, 7, 0.5), (0, 2, 7, 1.0), (20, 1, 9, 1.0)]
+
+
+def test_codebooks_grow_with_the_vectors():
+    assert [ann.centroids(n, ann.SAMPLE) for n in (100, 50_000, 10**7, 10**9, 10**12)] == [2, 14, 198, 1024, 1024]
+
+
+def test_the_neighbour_query_against_brute_force(spark, sf):
+    path = sf.replace("sf0.001", "sf0.01")
+    v = table(spark, path, "embeddings").toPandas()
+    x, ids = np.array(v.embedding.tolist(), np.float64), v.vec_id.values
+    got, recall = ann.op7_ann_multi_index(spark, path).toPandas(), []
+    for q in np.flatnonzero(ids % 20 == 0):
+        s = (x * x[q]).sum(1)
+        s[q] = -np.inf
+        recall.append(len(set(ids[np.lexsort((ids, -s))[:20]]) & set(got.vec_id[got.query_id == ids[q]])) / 20)
+    assert np.mean(recall) >= 0.95 and min(recall) >= 0.7
+
+
 def test_few_or_no_vectors(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0]), (20, [0.5, 0.5]), (7, [0.5, 0.5])], "vec_id long, embedding array<float>")
-    index, share, celled = ann.build(ann.usable(few))
-    got = sorted(map(tuple, ann.search(celled.where("vec_id % 20 = 0"), celled, index, share).collect()))
-    assert got == [(0, 1, 7, 0.5), (0, 2, 20, 0.5), (20, 1, 0, 0.5), (20, 2, 7, 0.5)]
-    none = ann.usable(few.limit(0))
-    index, share, celled = ann.build(none)
-    assert ann.search(celled, celled, index, share).count() == 0
+    assert sorted(map(tuple, ann.neighbours(few).collect())) == [(0, 1, 7, 0.5), (0, 2, 20, 0.5), (20, 1, 0, 0.5), (20, 2, 7, 0.5)]
+    assert ann.neighbours(few.limit(0)).count() == 0
 
 
 # == 9 personal data
