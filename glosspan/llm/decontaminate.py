@@ -1,23 +1,30 @@
 """Benchmark decontamination: a BM25 inverted index of the test items, searched with block-max WAND.
 
 The benchmark is indexed, not the corpus: its posting lists, cut into blocks with their largest impacts, are
-broadcast in shards of bounded size.  Every passage (overlapping windows of words covering each whole document) is
-a query.  An impact is divided by the score its item needs (a share of the item's score against itself), so one
-threshold of 1 serves all items.  A vectorised bound over the terms an item cannot do without drops the passages
-that cannot reach it; block-max WAND retrieves every item at or above it for the others; a hit counts if both the
+broadcast in shards of bounded size.  Counts, document frequencies and the average length are taken once over all
+items, so a score does not depend on the shards.  Every passage (overlapping windows of words covering each whole
+document) is a query; items are indexed by length, from one power of two words to the next, and a passage is twice as
+long as the longest items of its index may be, so what short items match does not depend on long ones.  An impact is
+divided by the score its item needs (a share of the item's score against itself), so one threshold of 1 serves all
+items.  A vectorised bound over the terms an item cannot do without, summed over postings, drops the passages that cannot
+reach any item; block-max WAND retrieves every item at or above the threshold for the others; a hit counts if both the
 item's question part and its answer part overlap the passage.
 
 Defined cases: null and empty texts and items have no terms and match nothing; equal items each match; repeated
-documents each report; a document that holds an item many times reports it once, with its best passage; texts of
-any length are read whole; an empty benchmark or corpus gives no rows.  An item without columns ``question`` and
-``answer`` is split before its last sentence.
+documents each report; a document that holds an item many times reports it once, with its best passage, of equal ones the
+first; texts of any length are read whole; an empty benchmark or corpus gives no rows.  An item without columns
+``question`` and ``answer`` is split before its last sentence.  Other columns, whatever their names, are carried by
+``keep_clean`` and read by nothing.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter, defaultdict
+from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +37,9 @@ from .common import map_batches, slices, table
 K1, B = 1.2, 0.75
 SHARE = 0.5  # of an item's score against itself
 OVERLAP = 0.5  # of the question's and of the answer's word triples
-BLOCK = 64
+BLOCK = 16
+#: Words of the shortest passages' half.
+MIN_STRIDE = 64
 #: Characters of benchmark text in one broadcast index; larger benchmarks are searched shard by shard.
 SHARD_CHARS = 8_000_000
 _WORD = re.compile(r"\w+")
@@ -60,28 +69,41 @@ def grams(terms) -> set[tuple]:
     return {tuple(terms[i:i + 3]) for i in range(len(terms) - 2)}
 
 
+class Statistics:
+    """Number, average length and document frequencies of all items."""
+
+    def __init__(self, docs: list[list[str]]):
+        self.n = len(docs)
+        self.average = sum(map(len, docs)) / max(1, self.n) or 1.0
+        self.df = Counter(t for d in docs for t in set(d))
+
+    def impacts(self, doc: list[str]) -> dict[str, float]:
+        out = {}
+        for t, tf in Counter(doc).items():
+            idf = math.log(1 + (self.n - self.df[t] + 0.5) / (self.df[t] + 0.5))
+            out[t] = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(doc) / self.average))
+        return out
+
+
 class Index:
-    """Posting lists of (item ordinal, impact / needed score) in blocks, over interned terms."""
+    """Posting lists of (item ordinal, impact / needed score) in blocks, over interned terms; ``reach`` bounds its items' words."""
 
-    def __init__(self, items: list[tuple[object, list[str], list[str]]], share: float = SHARE):
+    def __init__(self, items: list[tuple[object, list[str], list[str]]], share: float = SHARE, statistics: Statistics | None = None, reach: int | None = None):
         self.ids = [i for i, _, _ in items]
         docs = [q + a for _, q, a in items]
+        statistics = statistics or Statistics(docs)
+        df = statistics.df
         self.vocab: dict[str, int] = {}
         for d in docs:
             for t in d:
                 self.vocab.setdefault(t, len(self.vocab))
-        n, average = len(docs), sum(map(len, docs)) / max(1, len(docs)) or 1.0
-        df = Counter(t for d in docs for t in set(d))
         self.question = [grams(self.vocab[t] for t in q) for _, q, _ in items]
         self.answer = [grams(self.vocab[t] for t in a) for _, _, a in items]
         lists: dict[int, list[tuple[int, float]]] = defaultdict(list)
         essential: dict[int, list[tuple[int, float]]] = defaultdict(list)
-        self.rest = np.zeros(n)
+        self.rest = np.zeros(len(docs))
         for o, d in enumerate(docs):
-            impact = {}
-            for t, tf in Counter(d).items():
-                idf = math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5))
-                impact[t] = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(d) / average))
+            impact = statistics.impacts(d)
             need = share * sum(impact.values())
             if not need:
                 continue
@@ -95,6 +117,8 @@ class Index:
                 else:
                     essential[self.vocab[t]].append((o, w))
         self.postings = {t: (np.array([o for o, _ in p], np.int64), np.array([w for _, w in p])) for t, p in lists.items()}
+        self.lists = {t: (o.tolist(), w.tolist()) for t, (o, w) in self.postings.items()}
+        self.terms = pa.array(list(self.vocab), pa.string())
         self.top = {t: float(w.max()) for t, (_, w) in self.postings.items()}
         self.blocks = {t: [(int(o[min(k + BLOCK, len(o)) - 1]), float(w[k:k + BLOCK].max())) for k in range(0, len(o), BLOCK)]
                        for t, (o, w) in self.postings.items()}
@@ -103,122 +127,152 @@ class Index:
         self.e_start = np.concatenate([[0], np.cumsum(counts)])
         self.e_item = np.array([o for t in range(size) for o, _ in essential.get(t, ())], np.int64)
         self.e_weight = np.array([w for t in range(size) for _, w in essential.get(t, ())])
-        self.longest = max(map(len, docs), default=0)
+        self.reach = max(map(len, docs), default=0) if reach is None else reach
 
     def wand(self, terms: set[int]) -> list[tuple[int, float]]:
         """Every item whose score reaches 1, by block-max WAND over the passage's posting lists."""
-        cursors = [[0, 0, t] for t in sorted(terms) if t in self.postings]  # posting, block, term
-        found = []
-        end = len(self.ids)
-        doc = lambda c: int(self.postings[c[2]][0][c[0]]) if c[0] < len(self.postings[c[2]][0]) else end
+        cursors = []  # item now, place, items, impacts, largest impact, blocks, block now
+        for t in sorted(terms):
+            if t in self.lists:
+                items, impacts = self.lists[t]
+                cursors.append([items[0], 0, items, impacts, self.top[t], self.blocks[t], 0])
+        found, end, first = [], len(self.ids), itemgetter(0)
 
         def seek(c, o):
-            items = self.postings[c[2]][0]
-            c[0] += int(np.searchsorted(items[c[0]:], o))
+            c[1] = at = bisect_left(c[2], o, c[1])
+            c[0] = c[2][at] if at < len(c[2]) else end
 
         while cursors:
-            cursors.sort(key=doc)
+            cursors.sort(key=first)
             bound, pivot = 0.0, -1
             for i, c in enumerate(cursors):
-                if doc(c) == end:
+                if c[0] == end:
+                    del cursors[i:]
                     break
-                bound += self.top[c[2]]
+                bound += c[4]
                 if bound >= 1 - 1e-9:
                     pivot = i
                     break
             if pivot < 0:
                 break
-            o = doc(cursors[pivot])
-            while pivot + 1 < len(cursors) and doc(cursors[pivot + 1]) == o:
+            o = cursors[pivot][0]
+            while pivot + 1 < len(cursors) and cursors[pivot + 1][0] == o:
                 pivot += 1
             block_bound, next_end = 0.0, end
             for c in cursors[:pivot + 1]:
-                blocks = self.blocks[c[2]]
-                while c[1] < len(blocks) and blocks[c[1]][0] < o:
-                    c[1] += 1
-                if c[1] < len(blocks):
-                    block_bound += blocks[c[1]][1]
-                    next_end = min(next_end, blocks[c[1]][0] + 1)
+                blocks, k = c[5], c[6]
+                while k < len(blocks) and blocks[k][0] < o:
+                    k += 1
+                c[6] = k
+                if k < len(blocks):
+                    block_bound += blocks[k][1]
+                    next_end = min(next_end, blocks[k][0] + 1)
             if block_bound < 1 - 1e-9:
-                after = min([next_end, *(doc(c) for c in cursors[pivot + 1:pivot + 2])])
+                after = max(o + 1, min(next_end, cursors[pivot + 1][0]) if pivot + 1 < len(cursors) else next_end)
                 for c in cursors[:pivot + 1]:
-                    if doc(c) < max(after, o + 1):
-                        seek(c, max(after, o + 1))
-                continue
-            if doc(cursors[0]) == o:
-                s = sum(float(self.postings[c[2]][1][c[0]]) for c in cursors[:pivot + 1])
+                    seek(c, after)
+            elif cursors[0][0] == o:
+                s = sum([c[3][c[1]] for c in cursors[:pivot + 1]])
                 if s >= 1 - 1e-9:
                     found.append((o, s))
                 for c in cursors[:pivot + 1]:
-                    c[0] += 1
+                    c[1] += 1
+                    c[0] = c[2][c[1]] if c[1] < len(c[2]) else end
             else:
                 for c in cursors[:pivot]:
-                    if doc(c) < o:
+                    if c[0] < o:
                         seek(c, o)
         return found
 
 
-def _stream(texts: pa.Array, vocab: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+#: What may stand around a word without being of it, and letters that Arrow lowers otherwise than Python.
+_AROUND, _OTHER_CASE = ".,;:!?\"'()[]{}<>*#%&$/|=+~^`\\-–—…«»“”„‘’", "[\u0130\u03a3]"
+
+
+def _stream(texts: pa.Array, index: Index) -> tuple[np.ndarray, np.ndarray]:
     """Term ids of all texts one after another (-1: in no item), and where each text starts."""
     split = pc.utf8_split_whitespace(texts)
     encoded = split.flatten().dictionary_encode()
-    get = vocab.get
-    flat: list[int] = []
-    ends = []
-    for w in encoded.dictionary.to_pylist():
-        if w.isalpha():
-            flat.append(get(w.lower(), -1))
-        else:
-            flat.extend([get(x, -1) for x in _WORD.findall(w.lower())])
-        ends.append(len(flat))
-    ends = np.array([0, *ends], np.int64)
-    index = np.asarray(encoded.indices, dtype=np.int64) if len(encoded) else np.zeros(0, np.int64)
-    counts = np.diff(ends)[index]
+    bare = pc.utf8_trim(encoded.dictionary, characters=_AROUND)
+    plain = np.asarray(pc.and_(pc.utf8_is_alpha(bare), pc.invert(pc.match_substring_regex(bare, _OTHER_CASE))))
+    ids = np.asarray(pc.fill_null(pc.index_in(pc.utf8_lower(bare), value_set=index.terms), -1)).astype(np.int64)
+    get = index.vocab.get
+    rest = np.flatnonzero(~plain)
+    others = [[get(x, -1) for x in _WORD.findall(w.lower())] for w in encoded.dictionary.take(pa.array(rest)).to_pylist()]
+    many = np.ones(len(plain), np.int64)
+    many[rest] = [len(o) for o in others]
+    ends = np.concatenate([[0], np.cumsum(many)])
+    terms = np.empty(ends[-1], np.int64)
+    terms[ends[:-1][plain]] = ids[plain]
+    if len(rest):
+        flat = np.array([t for o in others for t in o], np.int64)
+        own = many[rest]
+        terms[np.repeat(ends[:-1][rest] - np.concatenate([[0], np.cumsum(own)[:-1]]), own) + np.arange(len(flat))] = flat
+    at = np.asarray(encoded.indices, dtype=np.int64) if len(encoded) else np.zeros(0, np.int64)
+    counts = many[at]
     first = np.concatenate([[0], np.cumsum(counts)])
-    terms = np.array(flat, np.int64)
-    out = terms[np.repeat(ends[:-1][index] - first[:-1], counts) + np.arange(first[-1])] if len(index) else terms[:0]
+    out = terms[np.repeat(ends[:-1][at] - first[:-1], counts) + np.arange(first[-1])] if len(at) else terms[:0]
     return out, first[np.asarray(split.offsets)]
 
 
+#: Postings that are summed at once, and the cells a table of sums may have for each of them.
+_CHUNK, _DENSE = 1 << 17, 4
+
+
+def live_rows(index: Index, row: np.ndarray, terms: np.ndarray, follows: np.ndarray) -> list[int]:
+    """The rows (sorted, of ``terms`` with postings) from which, or from which with the next row of the same document,
+    the bound of some item reaches 1; ``follows`` says which rows have a next one."""
+    hits = index.e_start[terms + 1] - index.e_start[terms]
+    n, need = len(index.ids), 1 - 1e-9 - index.rest
+    live: list[np.ndarray] = []
+    ends = np.cumsum(hits)
+    at = first = 0
+    rows = len(follows)
+    while first < rows and at < len(row):
+        first = int(row[at])
+        stop = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _CHUNK, side="right"))
+        last = rows if stop >= len(row) else max(first + 1, int(row[stop]))  # rows [first, last) are decided
+        upto = int(np.searchsorted(row, last + 1))  # with what the last of them needs of the next
+        own, h = slice(at, upto), hits[at:upto]
+        place = np.repeat(index.e_start[terms[own]] - np.concatenate([[0], np.cumsum(h)[:-1]]), h) + np.arange(int(h.sum()))
+        cell = np.repeat((row[own] - first) * n, h) + index.e_item[place]
+        weight, size = index.e_weight[place], last + 1 - first
+        if size * n <= _DENSE * len(cell) + 4096:
+            bound = np.bincount(cell, weights=weight, minlength=size * n).reshape(size, n)
+            single = (bound[:-1] >= need).any(1)
+            pair = (bound[:-1] + bound[1:] >= need).any(1)
+            live.append(first + np.flatnonzero(single | pair & follows[first:last][:len(single)]) if last <= rows else first + np.flatnonzero(single))
+        else:  # few postings for the items there are: sums of sorted cells
+            before = np.flatnonzero((cell >= n) & follows[np.maximum(first + cell // n - 1, 0)])
+            cell, weight = np.concatenate([cell, cell[before] - n]), np.concatenate([weight, weight[before]])
+            order = np.argsort(cell, kind="stable")
+            cell = cell[order]
+            starts = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])) if len(cell) else np.zeros(0, np.int64)
+            sums = np.add.reduceat(weight[order], starts) if len(starts) else np.zeros(0)
+            cell = cell[starts]
+            found = np.unique(first + cell[sums >= need[cell % n]] // n)
+            live.append(found[found < last])
+        at, first = int(np.searchsorted(row, last)), last
+    return np.concatenate(live).tolist() if live else []
+
+
 def search_texts(index: Index, texts: pa.Array) -> list[list[tuple[int, float, float, float, int]]]:
     """For each text its items as (ordinal, score, question overlap, answer overlap, first word of the passage)."""
-    stride = max(64, index.longest)
+    stride = max(MIN_STRIDE, index.reach)
     out: list[list] = [[] for _ in range(len(texts))]
     if not index.vocab:
         return out
-    terms, starts = _stream(texts, index.vocab)
+    terms, starts = _stream(texts, index)
     sizes = np.diff(starts)
     rows = -(-sizes // stride)
     row_at = np.concatenate([[0], np.cumsum(rows)])
-    n = len(index.ids)
     owner = np.repeat(np.arange(len(sizes)), sizes)
     row = row_at[:-1][owner] + (np.arange(len(terms)) - starts[:-1][owner]) // stride
     known = np.flatnonzero(terms >= 0)
-    hits = index.e_start[terms[known] + 1] - index.e_start[terms[known]]
-    known, hits = known[hits > 0], hits[hits > 0]
-    step = max(2, (1 << 20) // max(n, 1))  # rows whose table of bounds is made at once
-    bounds = np.searchsorted(row[known], np.arange(0, row_at[-1] + step, step))
+    known = known[index.e_start[terms[known] + 1] > index.e_start[terms[known]]]
     doc_of_row = np.repeat(np.arange(len(sizes)), rows)
-    live: set[int] = set()
-    carry = None
-    for k in range(len(bounds) - 1):
-        lo, hi = bounds[k], bounds[k + 1]
-        base, size = k * step, min(step, int(row_at[-1]) - k * step)
-        if size <= 0:
-            break
-        own, h = known[lo:hi], hits[lo:hi]
-        place = np.repeat(index.e_start[terms[own]] - np.concatenate([[0], np.cumsum(h)[:-1]]), h) + np.arange(int(h.sum()))
-        cell = np.repeat((row[own] - base) * n, h) + index.e_item[place]
-        bound = np.bincount(cell, weights=index.e_weight[place], minlength=size * n).reshape(size, n)
-        need = 1 - 1e-9 - index.rest
-        pair = bound[:-1] + bound[1:]
-        same = doc_of_row[base:base + size - 1] == doc_of_row[base + 1:base + size]
-        live.update((base + np.flatnonzero((pair >= need).any(1) & same)).tolist())
-        live.update((base + np.flatnonzero((bound >= need).any(1))).tolist())
-        if carry is not None and base and doc_of_row[base - 1] == doc_of_row[base] and (carry + bound[0] >= need).any():
-            live.add(base - 1)
-        carry = bound[-1]
-    for r in sorted(live):
+    follows = np.append(doc_of_row[1:] == doc_of_row[:-1], False) if len(doc_of_row) else np.zeros(0, bool)
+    for r in live_rows(index, row[known], terms[known], follows):
         d = int(doc_of_row[r])
         lo = int(starts[d] + (r - row_at[d]) * stride)
         window = terms[lo:min(lo + 2 * stride, int(starts[d + 1]))].tolist()
@@ -235,19 +289,35 @@ def search_texts(index: Index, texts: pa.Array) -> list[list[tuple[int, float, f
     return out
 
 
-def shards(benchmark: DataFrame, shard_chars: int = SHARD_CHARS):
-    """Indexes of bounded size that together hold every item; the driver holds one at a time."""
+def shards(benchmark: DataFrame, shard_chars: int = SHARD_CHARS) -> Iterator[list[Index]]:
+    """Groups of indexes, each group of bounded size and of all items' statistics, that together hold every item."""
     if {"question", "answer"} <= set(benchmark.columns):
         items = benchmark.select("item_id", F.coalesce("question", F.lit("")).alias("q"), F.coalesce("answer", F.lit("")).alias("a"))
     else:
         items = benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("q"), F.lit(None).cast("string").alias("a"))
     total = items.agg(F.sum(F.length("q") + F.coalesce(F.length("a"), F.lit(0)))).first()[0] or 0
     n = max(1, -(-int(total) // shard_chars))
-    for k in range(n):
+
+    def part(k: int) -> list[tuple]:
         rows = items.where(F.pmod(F.xxhash64("q", "item_id"), F.lit(n)) == k).collect()
         rows.sort(key=lambda r: (r.item_id is None, r.item_id, r.q))
         parts = [(r.item_id, *((words(r.q), words(r.a)) if r.a is not None else split_item(r.q))) for r in rows]
-        yield Index([p for p in parts if p[1] or p[2]])
+        return [p for p in parts if p[1] or p[2]]
+
+    statistics = Statistics([])
+    length = 0
+    for k in range(n):  # once over all items; the driver holds a shard and the frequencies
+        docs = [q + a for _, q, a in part(k)]
+        own = Statistics(docs)
+        statistics.n += own.n
+        statistics.df.update(own.df)
+        length += sum(map(len, docs))
+    statistics.average = length / max(1, statistics.n) or 1.0
+    for k in range(n):
+        by_reach: dict[int, list] = {}
+        for p in part(k):
+            by_reach.setdefault(max(MIN_STRIDE, 1 << (len(p[1]) + len(p[2]) - 1).bit_length()), []).append(p)
+        yield [Index(by_reach[reach], statistics=statistics, reach=reach) for reach in sorted(by_reach)]
 
 
 MATCHES = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, passage_start int"
@@ -257,21 +327,22 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, score, overlaps, passage) for each document and item that match; nothing is shuffled."""
     spark, out = docs.sparkSession, None
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    for index in shards(benchmark):
-        shared = spark.sparkContext.broadcast(index)
+    for group in shards(benchmark):
+        shared = spark.sparkContext.broadcast(group)
 
         def run(batch: pa.RecordBatch, shared=shared):
-            own = shared.value
             for part in slices(batch, "text", 4 << 20):
                 cols: list[list] = [[], [], [], [], [], []]
-                for doc, hits in zip(part.column("doc_id").to_pylist(), search_texts(own, part.column("text"))):
-                    best: dict[int, tuple] = {}
-                    for h in hits:
-                        if h[0] not in best or h[1:4] > best[h[0]][1:4]:
-                            best[h[0]] = h
-                    for o, s, q, a, at in sorted(best.values()):
-                        for c, v in zip(cols, (doc, own.ids[o], min(s, 1.0), q, a, at)):
-                            c.append(v)
+                docs_of = part.column("doc_id").to_pylist()
+                for own in shared.value:
+                    for doc, hits in zip(docs_of, search_texts(own, part.column("text"))):
+                        best: dict[int, tuple] = {}
+                        for h in hits:
+                            if h[0] not in best or h[1:4] > best[h[0]][1:4]:
+                                best[h[0]] = h
+                        for o, s, q, a, at in sorted(best.values()):
+                            for c, v in zip(cols, (doc, own.ids[o], min(s, 1.0), q, a, at)):
+                                c.append(v)
                 kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int32()]
                 yield pa.table([pa.array(c, k) for c, k in zip(cols, kinds)], names=[f.split()[0] for f in MATCHES.split(", ")])
 
@@ -288,14 +359,15 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no benchmark item; matching and dropping are one pass without a shuffle."""
     names, spark, out = docs.columns, docs.sparkSession, docs
-    for index in shards(benchmark):
-        shared = spark.sparkContext.broadcast(index)
+    for group in shards(benchmark):
+        shared = spark.sparkContext.broadcast(group)
 
         def run(batch: pa.RecordBatch, shared=shared):
             for part in slices(batch, "text", 4 << 20):
-                texts = pc.fill_null(part.column("text"), "")
-                keep = pa.array([not h for h in search_texts(shared.value, texts)], pa.bool_())
-                yield part.filter(keep)
+                for index in shared.value:
+                    found = search_texts(index, pc.fill_null(part.column("text"), ""))
+                    part = part.filter(pa.array([not h for h in found], pa.bool_()))
+                yield part
 
         out = map_batches(out.select(*names), run, docs.schema)
     return out

@@ -34,6 +34,69 @@ def test_wand_equals_scoring_everything():
         assert got.keys() == want.keys() and all(abs(got[o] - want[o]) < 1e-9 for o in got)
 
 
+def test_term_ids_equal_splitting_each_text():
+    import pyarrow as pa
+
+    index = decontaminate.Index([(1, decontaminate.words("alpha beta gâma i\u0307x σας δ1 _x don t 中"), ["end"])])
+    r = random.Random(5)
+    parts = ["Alpha", "BETA", "beta,", "«gâma»", "İx", "ΣΑΣ", "σας", "δ1", "_x", "don't", "...", "a-b", "中", "end!", "\u0301", "x\u0301y", "(alpha)/beta"]
+    texts = ["", " ", *(" ".join(r.choice(parts) for _ in range(r.randrange(12))) for _ in range(300))]
+    got, starts = decontaminate._stream(pa.array(texts), index)
+    for k, t in enumerate(texts):
+        assert got[starts[k]:starts[k + 1]].tolist() == [index.vocab.get(w, -1) for w in decontaminate.words(t)], t
+
+
+@pytest.mark.parametrize("chunk,dense", [(1 << 20, 4), (50, 4), (1 << 20, 0), (30, 0)])
+def test_bound_drops_no_passage_that_wand_would_find(chunk, dense, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(decontaminate, "_CHUNK", chunk)
+    monkeypatch.setattr(decontaminate, "_DENSE", dense - 1)
+    r = random.Random(6)
+    vocab = [f"w{i}" for i in range(400)]
+    items = [(k, [r.choice(vocab) for _ in range(r.randint(5, 40))], [r.choice(vocab) for _ in range(4)]) for k in range(120)]
+    index = decontaminate.Index(items, reach=64)
+    texts = []
+    for k in range(40):
+        body = [r.choice(vocab + ["zz", "yy"] * 300) for _ in range(r.choice((0, 3, 70, 500)))]
+        for o in r.sample(range(120), 2):
+            at = r.randrange(len(body) + 1)
+            body[at:at] = items[o][1] + items[o][2]
+        texts.append(" ".join(body))
+    got = decontaminate.search_texts(index, pa.array([*texts, ""]))
+    terms, starts = decontaminate._stream(pa.array([*texts, ""]), index)
+    for d, hits in enumerate(got):
+        own = terms[starts[d]:starts[d + 1]].tolist()
+        want = {(o, at) for at in range(0, len(own), 64) for o, _ in index.wand({t for t in own[at:at + 128] if t >= 0})}
+        assert {(h[0], h[4]) for h in hits} <= want
+        for o, at in want - {(h[0], h[4]) for h in hits}:  # found by the walk, refused by the overlaps
+            window = own[at:at + 128]
+            triples = {tuple(window[i:i + 3]) for i in range(len(window) - 2)} | {(t,) for t in window}
+            assert len(index.question[o] & triples) / len(index.question[o]) < 0.5 or len(index.answer[o] & triples) / len(index.answer[o]) < 0.5
+
+
+def test_matches_depend_neither_on_shards_nor_on_other_items(spark, monkeypatch):
+    items = [(k, words(1000 + k, 30)) for k in range(40)]
+    docs = spark.createDataFrame([(k, words(k, 200) + " " + items[k][1] + " " + words(k + 500, 90), "en", "s", 1) for k in range(40)], DOC)
+    make = lambda rows: spark.createDataFrame(rows, "item_id long, text string")
+    rows = lambda b: sorted(map(tuple, decontaminate.contaminated(docs, b).collect()))
+    whole = rows(make(items))
+    monkeypatch.setattr(decontaminate.shards, "__defaults__", (2000,))
+    assert rows(make(items)) == whole and len(whole) == 40
+    assert [r[:2] for r in rows(make([*items, (99, words(7777, 5000))]))] == [r[:2] for r in whole]
+
+
+def test_the_leak_query_against_every_pair(spark, sf):
+    """Every document with every item's whole text in it is found, and whatever is found shares half of its triples."""
+    docs = {r.doc_id: decontaminate.words(r.text or "") for r in table(spark, sf, "documents").collect()}
+    items = {r.item_id: decontaminate.words(r.text or "") for r in table(spark, sf, "benchmark").collect()}
+    got = {(r.doc_id, r.item_id) for r in decontaminate.op1_decontamination(spark, sf).collect()}
+    joined = {d: " " + " ".join(w) + " " for d, w in docs.items()}
+    assert {(d, i) for d, t in joined.items() for i, w in items.items() if w and f" {' '.join(w)} " in t} <= got
+    for d, i in got:
+        assert len(decontaminate.grams(items[i]) & decontaminate.grams(docs[d])) >= 0.4 * len(decontaminate.grams(items[i]))
+
+
 def test_leaks_are_found_and_nothing_else(spark):
     items = [(k, words(1000 + k, 30)) for k in range(40)]
     docs = [(k, words(k, 400), "en", "s", 1) for k in range(60)]
