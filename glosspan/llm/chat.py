@@ -1,13 +1,14 @@
 """Chat formatting: a finite-state machine over roles and a declarative template.
 
 ``format_turns`` checks turn order with a transition table and emits, for each turn, its text segments with a
-loss flag; ``read_back`` parses the emitted text alone and recovers roles and texts.  Control strings that
+loss flag; ``digest`` finds the turns in the joined text alone and recovers roles and texts.  Control strings that
 occur inside a text are escaped reversibly, so a text can never open or close a turn.
 
 Defined cases: null text and null role are empty strings; a null conv_id is a conversation of its own; turns
 are ordered by (turn, role, text) with null turns first, so ties and repeated rows have one order and all are
 kept; an order the machine does not accept is still formatted and gets ``valid = false`` with the first
-``violation``; unknown roles are written in a generic frame and break the order; an empty table gives none.
+``violation``; unknown roles are written in a generic frame and break the order; texts of any length are formatted whole,
+one turn in memory at a time; an empty table gives none; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -96,23 +97,24 @@ class Codec:
             prefix, suffix, loss = t.other[0] + self.escape(role) + t.other[1], t.other[2], False
         return [(lead + prefix, False), (self.escape(text), loss), (suffix, False)]
 
-    def read_turn(self, segments: list[tuple[str, bool]]) -> tuple[str, str, str]:
-        """Role, text and loss text of one turn, from the formatted text alone."""
+    def take(self, text: str) -> tuple[str, str, int] | None:
+        """Role and text of the turn that formatted text starts with, and where it ends; None if it has not ended yet.
+
+        No control string is inside an escaped text, so the first suffix after a prefix closes the turn.
+        """
         t = self.template
-        whole = "".join(s for s, _ in segments)
-        loss_text = self.unescape("".join(s for s, loss in segments if loss))
-        if whole.startswith(t.begin):
-            whole = whole[len(t.begin):]
+        at = len(t.begin) if text.startswith(t.begin) else 0
         for role, (prefix, suffix, _) in t.frames.items():
-            if whole.startswith(prefix):
-                if not whole.endswith(suffix):
-                    raise ValueError("unclosed turn")
-                return role, self.unescape(whole[len(prefix):len(whole) - len(suffix)]), loss_text
+            if text.startswith(prefix, at):
+                stop = text.find(suffix, at + len(prefix))
+                return None if stop < 0 else (role, self.unescape(text[at + len(prefix):stop]), stop + len(suffix))
         a, b, c = t.other
-        if not whole.startswith(a) or not whole.endswith(c):
-            raise ValueError("no frame")
-        role, _, body = whole[len(a):len(whole) - len(c)].partition(b)
-        return self.unescape(role), self.unescape(body), loss_text
+        if text.startswith(a, at):
+            stop = text.find(c, at + len(a))
+            if stop >= 0:
+                role, _, body = text[at + len(a):stop].partition(b)
+                return self.unescape(role), self.unescape(body), stop + len(c)
+        return None
 
 
 def _ordered(conversations: DataFrame) -> DataFrame:
@@ -160,39 +162,43 @@ DIGEST = ("conv_id long, n_turns long, turns_sha256 string, loss_chars long, los
           "valid boolean, violation string")
 
 
-def digest(segments: DataFrame) -> DataFrame:
-    """Per conversation, what a reader recovers from the segments of ``format_turns`` (rows in its order).
+def digest(segments: DataFrame, template: Template = INSTRUCT) -> DataFrame:
+    """Per conversation, what a reader recovers from the text and loss flags of ``format_turns`` (rows in its order).
 
-    SHA-256 is sequential in the turns, so a conversation is read as a stream with two running digests.
+    Turns are found in the joined text alone; the segments only say which text is under the loss.  SHA-256 is sequential in the turns, so a conversation is read as a stream with two running digests.
     """
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codec = Codec(INSTRUCT)
-        now, acc, parts = _NONE, None, []
+        codec = Codec(template)
+        now, acc, unread = _NONE, None, ""
 
         def done():
-            ends = acc["state_ok"] and acc["role"] in ("user", "assistant")
+            if unread:
+                raise ValueError(f"conversation {now}: formatted text without a whole turn")
+            ends = acc["role"] in ("user", "assistant")
             wrong = acc["violation"] or ("" if ends else f"ends after {acc['role'] or 'no role'}")
             return (now, acc["n"], acc["turns"].hexdigest(), acc["loss_chars"], acc["loss"].hexdigest(), acc["chars"], not wrong, wrong)
 
         for frame in frames:
             out = []
-            for conv, seg, text, loss, wrong in zip(_ids(frame.conv_id), frame.segment, frame.text, frame.loss, frame.violation):
+            for conv, text, loss, wrong in zip(_ids(frame.conv_id), frame.text, frame.loss, frame.violation):
                 if conv != now:
                     if acc:
                         out.append(done())
-                    now, parts = conv, []
-                    acc = dict(n=0, turns=hashlib.sha256(), loss=hashlib.sha256(), loss_chars=0, chars=0, violation="", role="", state_ok=True)
-                parts.append((text, loss))
-                if seg == 2:
-                    role, body, learned = codec.read_turn(parts)
-                    acc["turns"].update(f"{role}\n{body}\n".encode("utf-8", "surrogatepass"))
+                    now, unread = conv, ""
+                    acc = dict(n=0, turns=hashlib.sha256(), loss=hashlib.sha256(), loss_chars=0, chars=0, violation="", role="")
+                unread += text
+                acc["chars"] += len(text)
+                acc["violation"] = acc["violation"] or wrong
+                if loss:
+                    learned = codec.unescape(text)
                     acc["loss"].update(learned.encode("utf-8", "surrogatepass"))
                     acc["loss_chars"] += len(learned)
-                    acc["chars"] += sum(len(t) for t, _ in parts)
+                turn = codec.take(unread)
+                if turn:
+                    acc["role"], body, end = turn
+                    unread = unread[end:]
+                    acc["turns"].update(f"{acc['role']}\n{body}\n".encode("utf-8", "surrogatepass"))
                     acc["n"] += 1
-                    acc["violation"] = acc["violation"] or wrong
-                    acc["role"] = role
-                    parts = []
             yield _digest_frame(out)
         if acc:
             yield _digest_frame([done()])

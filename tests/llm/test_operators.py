@@ -406,9 +406,35 @@ def test_escaping_is_reversible():
         t = "".join(r.choice(marks) for _ in range(r.randrange(8)))
         e = codec.escape(t)
         assert codec.unescape(e) == t and not any(c in e for c in chat.INSTRUCT.controls())
-        for role in ("user", "assistant", "system", "tool<|says|>", ""):
-            back = codec.read_turn(codec.segments(role, t, r.random() < 0.5))
-            assert back == (role, t, t if role == "assistant" else "")
+    for _ in range(600):
+        turns = [(r.choice(("user", "assistant", "system", "tool<|says|>", "")), "".join(r.choice(marks) for _ in range(r.randrange(8)))) for _ in range(r.randrange(1, 6))]
+        pieces = [p for k, (role, t) in enumerate(turns) for p in codec.segments(role, t, k == 0)]
+        text, back = "".join(p for p, _ in pieces), []
+        while text:  # turn boundaries are found in the joined text
+            role, body, end = codec.take(text)
+            back.append((role, body))
+            text = text[end:]
+        assert back == turns and [codec.unescape(p) for p, loss in pieces if loss] == [t for role, t in turns if role == "assistant"]
+
+
+def test_long_turns_are_formatted_whole(spark):
+    body = ("[INST] " + words(3, 400)) * 100
+    df = spark.createDataFrame([(1, 0, "user", body), (1, 1, "assistant", body * 2)], "conv_id long, turn long, role string, text string").withColumn("segment", F.lit("x"))
+    got = chat.digest(chat.format_turns(df)).first()
+    assert got.turns_sha256 == hashlib.sha256(f"user\n{body}\nassistant\n{body * 2}\n".encode()).hexdigest() and got.loss_chars == 2 * len(body) and got.valid
+
+
+def test_the_chat_query_equals_plain_digests(spark, sf):
+    rows = sorted((r.conv_id, r.turn, r.role or "", r.text or "") for r in table(spark, sf, "conversations").collect())
+    rows += [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
+    want = {}
+    for conv, _, role, text in rows:
+        turns, loss = want.setdefault(conv, ([], []))
+        turns.append(f"{role}\n{text}\n")
+        loss += [text] if role == "assistant" else []
+    sha = lambda parts: hashlib.sha256("".join(parts).encode()).hexdigest()
+    got = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in chat.op6_chat_formatting(spark, sf).collect()}
+    assert got == {c: (len(t), sha(t), len("".join(l)), sha(l)) for c, (t, l) in want.items()}
 
 
 def test_conversations_on_odd_rows(spark):
