@@ -61,7 +61,8 @@ def infer_format(path):
 def analyse_documents(docs: DataFrame, options: dict | None = None, fmt: str = "markdown", partition: bool = False) -> Analysed:
     """``docs`` has doc_id and text, and may have a format column; null text is empty.
 
-    ``partition`` shuffles the result on doc_id once, for callers that cache it and join on doc_id again and again.
+    ``partition`` spreads the texts on doc_id before the pass, for callers that cache the result: a file of one row group
+    would else be one task, and the nested result, several times the text, is never shuffled as a whole.
     """
     ship_package(docs.sparkSession)
     options = dict(options or {})
@@ -81,5 +82,4 @@ def analyse_documents(docs: DataFrame, options: dict | None = None, fmt: str = "
                 columns = [*part.columns, *(pa.array([x[n] for x in found], arrow.field(n).type) for n in ("masked", "regions", "blocks", "sentences"))]
                 yield pa.RecordBatch.from_arrays(columns, names=arrow.names)
 
-    found = source.mapInArrow(run, schema)
-    return Analysed(found.repartition("doc_id") if partition else found)
+    return Analysed((source.repartition("doc_id") if partition else source).mapInArrow(run, schema))

@@ -37,7 +37,7 @@ def split_cases(cases: DataFrame, split: str) -> DataFrame:
 def metrics(cases: DataFrame, by: str = "evaluator") -> DataFrame:
     """Per evaluator and overall (null): confusion counts, precision, recall, F1, rates and latency percentiles.
 
-    Ratios without a denominator are null; recall and F1 are withheld below ten positives; latencies of cached
+    Ratios without a denominator are null, and F1 where precision or recall is or both are 0; recall and F1 are withheld below ten positives; latencies of cached
     answers do not count and are 0 where there are none.  ``cases`` has gold, predicted, latency_ms, cached.
     """
     lab, pos = F.col("gold") != "unlabelled", F.col("gold") == "violation"
@@ -53,7 +53,7 @@ def metrics(cases: DataFrame, by: str = "evaluator") -> DataFrame:
     ratio = lambda a, b: F.try_divide(F.col(a), b)
     enough = F.col("positives") >= LEAST_POSITIVES
     return (out.withColumn("precision", ratio("tp", F.col("tp") + F.col("fp"))).withColumn("recall", F.when(enough, ratio("tp", F.col("tp") + F.col("fn"))))
-            .withColumn("f1", F.when(enough, F.try_divide(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn"))))
+            .withColumn("f1", F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
             .withColumn("uncertain_rate", ratio("uncertain", F.col("cases"))).withColumn("failure_rate", ratio("failures", F.col("cases"))))
 
 

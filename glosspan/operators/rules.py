@@ -260,7 +260,9 @@ def number_unit_format(a: Analysed, config: RuleConfig) -> DataFrame:
 def sibling_items(a: Analysed) -> DataFrame:
     """List items with the number of their run of contiguous items of equal depth, and the run's size."""
     w = Window.partitionBy("doc_id").orderBy("pos")
-    b = a.documents.select("doc_id", "text", "masked", F.posexplode("blocks").alias("pos", "b")).select("doc_id", "text", "masked", "pos", "b.*")
+    body = lambda text, b: F.when(b["kind"] == "list-item", F.substring(F.col(text), b["start"] + 1, b["end"] - b["start"]))
+    cut = F.transform("blocks", lambda b: F.struct(b.alias("b"), body("text", b).alias("body"), body("masked", b).alias("seen")))  # the rows carry bodies, not the document
+    b = a.documents.select("doc_id", F.posexplode(cut).alias("pos", "x")).select("doc_id", "pos", "x.b.*", "x.body", "x.seen")
     item = F.col("kind") == "list-item"
     new = F.when(item & F.lag("kind").over(w).eqNullSafe("list-item") & (F.lag("depth").over(w) == F.col("depth")), 0).otherwise(1)
     runs = b.withColumn("new", new).withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0))).where(item)
@@ -274,7 +276,7 @@ def list_instruction_structure(a: Analysed, config: RuleConfig) -> DataFrame:
     counts = a.sentences.groupBy("doc_id", "block_id").agg(F.count("*").alias("n")).where(F.col("n") > most)
     long = steps.join(counts, ["doc_id", "block_id"])
     out = finding(long, rule, F.format_string(f"This step has %d sentences; the limit is {most}.", "n"), "b_start", "b_end", meta=F.create_map(F.lit("check"), F.lit("step")))
-    items = sibling_items(a).withColumn("body", F.expr("substring(text, start + 1, end - start)")).withColumn("seen", F.expr("substring(masked, start + 1, end - start)"))
+    items = sibling_items(a)
     group = Window.partitionBy("doc_id", "run")
     def minority(rows: DataFrame, trait: Column, name: str, text: str, ties: bool) -> DataFrame:
         with_n = F.sum(F.col("trait").cast("int")).over(group)
@@ -342,24 +344,25 @@ def passive_voice(a: Analysed, config: RuleConfig) -> DataFrame:
 
 
 def noun_clusters(a: Analysed, config: RuleConfig) -> DataFrame:
-    """Maximal runs of content words longer than the limit: gaps and islands inside a sentence."""
+    """Maximal runs of content words longer than the limit: one fold over the words of a sentence, no window."""
     rule = "noun-cluster-candidate"
     limit = int(config.get(rule, "maxClusterLength", config.limit("maxNounClusterLength")))
-    stop = vocab.words("function_words")
-    verbs = vocab.words("opener_verbs") + vocab.words("auxiliaries")
-    s = _sentences(a)
-    w = (s.select("doc_id", "sentence_id", "s_start", "masked", "mode", "admonition", F.posexplode("words").alias("pos", "w"))
-         .withColumn("prev_end", F.lag("w.end").over(Window.partitionBy("doc_id", "sentence_id").orderBy("pos"))))
-    content = F.col("w.protected_kind").isNull() & ~F.col("w.lower").isin(stop) & ~F.col("w.lower").isin(verbs) & F.col("w.lower").rlike(r"^\p{L}[\p{L}'’-]*$") & ~F.col("w.lower").rlike("ly$|ing$|ed$")
-    gap = F.expr("substring(masked, prev_end - s_start + 1, w.start - prev_end)")
-    parted = F.col("prev_end").isNull() | ~gap.rlike(r"^[\s ]*$")
-    order = Window.partitionBy("doc_id", "sentence_id").orderBy("pos")
-    w = w.withColumn("content", content).withColumn("new", F.when(~F.col("content") | parted | ~F.coalesce(F.lag(content).over(order), F.lit(False)), 1).otherwise(0))
-    w = w.withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0))).where("content")
-    runs = w.groupBy("doc_id", "sentence_id", "run").agg(F.min("w.start").alias("start"), F.max("w.end").alias("end"), F.count("*").alias("n"), F.first("s_start").alias("s_start"),
-                                                         F.first("masked").alias("masked"), F.first("mode").alias("mode"), F.first("admonition").alias("admonition")).where(F.col("n") > limit)
-    cluster = F.expr("substring(masked, start - s_start + 1, end - start)")
-    return candidate(runs, rule, "noun-cluster-adjudication", F.struct(cluster.alias("cluster"), F.col("n").alias("length")), "A run of content words above the limit.", F.col("start"))
+    other = vocab.words("function_words") + vocab.words("opener_verbs") + vocab.words("auxiliaries")
+    content = lambda w: w["protected_kind"].isNull() & ~w["lower"].isin(other) & w["lower"].rlike(r"^\p{L}[\p{L}'’-]*$") & ~w["lower"].rlike("ly$|ing$|ed$")
+    flat = F.transform("words", lambda w: F.struct((w["start"] - F.col("s_start")).alias("start"), (w["end"] - F.col("s_start")).alias("end"), content(w).alias("content")))
+    s = _sentences(a).where(F.size("words") > limit).withColumn("flat", flat).where(F.size(F.filter("flat", lambda w: w["content"])) > limit)
+    run = "struct<start:int,end:int,n:int>"
+    state = F.struct(F.array().cast(f"array<{run}>").alias("done"), F.lit(None).cast(run).alias("now"))
+    joined = lambda now, w: F.substring(F.col("masked"), now["end"] + 1, w["start"] - now["end"]).rlike(r"^[\s ]*$")
+    made = lambda start, end, n: F.struct(start.alias("start"), end.alias("end"), n.cast("int").alias("n"))
+    closed = lambda acc: F.when(acc["now"]["n"] > limit, F.concat(acc["done"], F.array(acc["now"]))).otherwise(acc["done"])
+    step = lambda acc, w: (F.when(~w["content"], F.struct(closed(acc).alias("done"), F.lit(None).cast(run).alias("now")))
+                           .when(acc["now"].isNotNull() & joined(acc["now"], w), F.struct(acc["done"].alias("done"), made(acc["now"]["start"], w["end"], acc["now"]["n"] + 1).alias("now")))
+                           .otherwise(F.struct(closed(acc).alias("done"), made(w["start"], w["end"], F.lit(1)).alias("now"))))
+    runs = s.withColumn("r", F.explode(F.aggregate("flat", state, step, closed)))
+    runs = runs.withColumn("start", F.col("s_start") + F.col("r.start")).withColumn("end", F.col("s_start") + F.col("r.end"))
+    cluster = F.substring(F.col("masked"), F.col("r.start") + 1, F.col("r.end") - F.col("r.start"))
+    return candidate(runs, rule, "noun-cluster-adjudication", F.struct(cluster.alias("cluster"), F.col("r.n").cast("long").alias("length")), "A run of content words above the limit.", F.col("start"))
 
 
 def ambiguous_pronouns(a: Analysed, config: RuleConfig) -> DataFrame:

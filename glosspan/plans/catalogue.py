@@ -6,104 +6,29 @@ same way on both sides.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import spans, vocab
 from ..operators import adjudicate, evaluate, gate
 from ..operators.analyse import analyse_documents
 from ..operators.rules import RuleConfig
+from . import manuals, relations  # noqa: F401  their queries register themselves
 from .pipeline import lint
-
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    def register(fn):
-        QUERIES[name] = fn
-        if sql is not None:
-            ORACLES[name] = sql
-        return fn
-
-    return register
-
-
-def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-_TOKEN = r"[A-Za-z0-9]+(?:['-][A-Za-z0-9]+)*"
-_TOKEN_SQL = _TOKEN.replace("'", "''")
-
+from .registry import ORACLES, QUERIES, query
+from .registry import table as _t
 
 # == tokens, offsets, blocks
 
 
-@query("word_count_by_lang", f"""
-SELECT lang, count(*) AS n_docs, sum(len(regexp_extract_all(text, '{_TOKEN_SQL}')))::BIGINT AS n_words
-FROM documents GROUP BY lang""")
-def word_count_by_lang(spark, sf_dir):
-    n = F.regexp_count(F.col("text"), F.lit(_TOKEN))
-    return _t(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n_docs"), F.sum(n.cast("long")).alias("n_words"))
-
-
-@query("word_tokens", f"""
-WITH t AS (SELECT doc_id, regexp_extract_all(text, '{_TOKEN_SQL}') AS ws FROM documents)
-SELECT lower(w) AS word, count(*) AS n, count(DISTINCT doc_id) AS n_docs
-FROM (SELECT doc_id, unnest(ws) AS w FROM t) GROUP BY 1""")
-def word_tokens(spark, sf_dir):
-    d = _t(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(_TOKEN), F.lit(0))).alias("w"))
-    per = d.groupBy(F.lower("w").alias("word"), "doc_id").agg(F.count("*").alias("c"))  # two plain steps instead of count distinct
-    return per.groupBy("word").agg(F.sum("c").alias("n"), F.count("*").alias("n_docs"))
-
-
-_SENT = r"[^.!?\n]*[A-Za-z0-9][^.!?\n]*[.!?]*"
-
-
-@query("sentence_spans", """
-WITH s AS (SELECT doc_id, regexp_extract_all(text, '[^.!?\\n]*[A-Za-z0-9][^.!?\\n]*[.!?]*') AS ss FROM documents)
-SELECT doc_id, len(ss)::BIGINT AS n_sentences, coalesce(list_max(list_transform(ss, lambda x: length(x))), 0)::INT AS longest,
-       sha256(list_aggregate(ss, 'string_agg', '|')) AS digest
-FROM s WHERE len(ss) > 0""")
-def sentence_spans(spark, sf_dir):
-    s = F.regexp_extract_all("text", F.lit(_SENT), F.lit(0))
-    d = _t(spark, sf_dir, "documents").select("doc_id", s.alias("ss")).where(F.size("ss") > 0)
-    return d.select("doc_id", F.size("ss").cast("long").alias("n_sentences"), F.coalesce(F.array_max(F.transform("ss", F.length)), F.lit(0)).alias("longest"),
-                    F.sha2(F.array_join("ss", "|"), 256).alias("digest"))
-
-
-@query("paragraph_blocks", """
-WITH t AS (SELECT conv_id, string_agg(coalesce(text, ''), chr(10) || chr(10) ORDER BY turn) AS body FROM conversations GROUP BY conv_id),
-l AS (SELECT conv_id, i, string_split(body, chr(10))[i] AS line FROM t, LATERAL (SELECT unnest(generate_series(1, len(string_split(body, chr(10))))) AS i)),
-m AS (SELECT conv_id, i, line, trim(line) = '' AS blank, sum(CASE WHEN trim(line) = '' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY i) AS island FROM l)
-SELECT conv_id, count(DISTINCT island)::BIGINT AS n_blocks, sum(length(line))::BIGINT AS n_chars FROM m WHERE NOT blank GROUP BY conv_id""")
-def paragraph_blocks(spark, sf_dir):
-    c = _t(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.coalesce("text", F.lit("")).alias("t")))).alias("x"))
-    body = F.array_join(F.transform("x", lambda r: r["t"]), "\n\n")
-    lines = c.select("conv_id", F.posexplode(F.split(body, "\n", -1)).alias("i", "line")).withColumn("blank", F.trim("line") == "")
-    w = Window.partitionBy("conv_id").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    m = lines.withColumn("island", F.sum(F.col("blank").cast("int")).over(w)).where(~F.col("blank"))
-    return m.groupBy("conv_id").agg(F.count_distinct("island").alias("n_blocks"), F.sum(F.length("line").cast("long")).alias("n_chars"))
-
-
 @query("line_columns", """
-WITH p AS (SELECT doc_id, text, instr(text, '!') - 1 AS off FROM documents WHERE contains(text, '!'))
-SELECT doc_id, off::INT AS off, (1 + len(string_split(left(text, off), chr(10))) - 1)::INT AS line, (off - (length(left(text, off)) - length(string_split(left(text, off), chr(10))[-1])))::INT AS col FROM p""")
-def line_columns(spark, sf_dir):
-    p = _t(spark, sf_dir, "documents").where(F.col("text").contains("!")).withColumn("off", F.instr("text", "!") - 1)
-    return p.select("doc_id", "off", spans.line_of(F.col("text"), F.col("off")).alias("line"), spans.column_of(F.col("text"), F.col("off")).alias("col"))
-
-
-@query("line_columns_all", """
 WITH d AS (SELECT row_number() OVER () AS k, doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE contains(text, '!')),
 l AS (SELECT k, doc_id, unnest(ls) AS s, generate_subscripts(ls, 1) AS line FROM d),
 p AS (SELECT *, sum(length(s) + 1) OVER (PARTITION BY k ORDER BY line) - length(s) - 1 AS start FROM l),
 g AS (SELECT k, doc_id, line, start, len(string_split(s, '!')) AS n, unnest(string_split(s, '!')) AS gap, generate_subscripts(string_split(s, '!'), 1) AS i FROM p WHERE contains(s, '!')),
 h AS (SELECT *, sum(length(gap) + 1) OVER (PARTITION BY k, line ORDER BY i) - 1 AS col FROM g)
 SELECT doc_id, (start + col)::INT AS off, line::INT AS line, col::INT AS col FROM h WHERE i < n""")
-def line_columns_all(spark, sf_dir):
-    """Every offset; line_columns, as its SQL has it, locates the first of each document."""
+def line_columns(spark, sf_dir):
     d = _t(spark, sf_dir, "documents").where(F.col("text").contains("!")).withColumn("k", F.monotonically_increasing_id())
     d = d.withColumn("n", F.size(F.split("text", "!", -1)))  # before the explode, else the text is split again for each row
     gaps = d.select("k", "doc_id", "n", F.posexplode(F.split("text", "!", -1)).alias("i", "gap"))
@@ -149,43 +74,6 @@ def mask_credentials(spark, sf_dir):
     return _masked(spark, sf_dir, _HEX)
 
 
-_REGION_RX = {"email": _EMAIL, "credential": _HEX, "numeric-expression": r"[0-9]+(?:\.[0-9]+)+", "parenthesis": r"\([^)]*\)", "table-bar": r"\|"}
-
-
-@query("region_counts", "\nUNION ALL\n".join(
-    f"SELECT '{k}' AS kind, count(*) FILTER (len(regexp_extract_all(text, '{rx}')) > 0) AS n_docs, sum(len(regexp_extract_all(text, '{rx}')))::BIGINT AS n FROM documents" for k, rx in _REGION_RX.items()))
-def region_counts(spark, sf_dir):
-    d = _t(spark, sf_dir, "documents").select(*[F.regexp_count("text", F.lit(rx)).cast("long").alias(k) for k, rx in _REGION_RX.items()])
-    one = d.agg(*[x for k in _REGION_RX for x in (F.count_if(F.col(f"`{k}`") > 0).alias(f"{k}:d"), F.sum(f"`{k}`").alias(f"{k}:n"))])  # one scan for all kinds
-    rows = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"`{k}:d`").alias("n_docs"), F.col(f"`{k}:n`").alias("n")) for k in _REGION_RX])
-    return one.select(F.explode(rows).alias("r")).select("r.*")
-
-
-@query("html_comment_regions", """
-SELECT page_id, len(regexp_extract_all(html, '<!--(?:[^-]|-[^-])*-->'))::INT AS n_comments,
-       list_aggregate(list_transform(regexp_extract_all(html, '<!--(?:[^-]|-[^-])*-->'), lambda x: length(x)), 'sum')::BIGINT AS n_chars
-FROM pages WHERE regexp_matches(html, '<!--(?:[^-]|-[^-])*-->')""")
-def html_comment_regions(spark, sf_dir):
-    rx = "<!--(?:[^-]|-[^-])*-->"
-    hits = F.regexp_extract_all("html", F.lit(rx), F.lit(0))
-    p = _t(spark, sf_dir, "pages").where(F.col("html").rlike(rx)).select("page_id", hits.alias("h"))
-    return p.select("page_id", F.size("h").alias("n_comments"), F.aggregate("h", F.lit(0).cast("long"), lambda a, x: a + F.length(x)).alias("n_chars"))
-
-
-@query("corroborated_constants", """
-WITH p AS (SELECT p_partkey, 'Set ' || replace(p_brand, '#', '_') || '=on. The BRAND of part ' || p_partkey || ' is OFF, says ' || upper(split_part(p_type, ' ', 1)) || '.' AS text FROM part),
-names AS (SELECT p_partkey, unnest(string_split_regex(regexp_extract(text, '[A-Za-z0-9]+(_[A-Za-z0-9]+)+', 0), '_')) AS seg FROM p),
-tokens AS (SELECT p_partkey, unnest(regexp_extract_all(text, '[A-Z][0-9A-Z]{1,9}')) AS tok FROM p)
-SELECT p_partkey, count(*) AS n FROM tokens t WHERE EXISTS (SELECT 1 FROM names n WHERE n.p_partkey = t.p_partkey AND upper(n.seg) = t.tok) GROUP BY p_partkey""")
-def corroborated_constants(spark, sf_dir):
-    text = F.concat(F.lit("Set "), F.replace("p_brand", F.lit("#"), F.lit("_")), F.lit("=on. The BRAND of part "), F.col("p_partkey").cast("string"), F.lit(" is OFF, says "),
-                    F.upper(F.split_part("p_type", F.lit(" "), F.lit(1))), F.lit("."))
-    p = _t(spark, sf_dir, "part").select("p_partkey", text.alias("text"))
-    names = p.select("p_partkey", F.explode(F.split(F.regexp_extract("text", r"[A-Za-z0-9]+(_[A-Za-z0-9]+)+", 0), "_")).alias("seg")).select("p_partkey", F.upper("seg").alias("tok"))
-    tokens = p.select("p_partkey", F.explode(F.regexp_extract_all("text", F.lit("[A-Z][0-9A-Z]{1,9}"), F.lit(0))).alias("tok"))
-    return tokens.join(names, ["p_partkey", "tok"], "left_semi").groupBy("p_partkey").agg(F.count("*").alias("n"))
-
-
 @query("merged_ranges", """
 WITH r AS (SELECT l_orderkey, l_partkey % 200 AS a, l_partkey % 200 + l_quantity::INT AS b FROM lineitem),
 m AS (SELECT l_orderkey, a, b, CASE WHEN coalesce(max(b) OVER (PARTITION BY l_orderkey ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) < a THEN 1 ELSE 0 END AS new FROM r),
@@ -215,205 +103,9 @@ def reading_grade_violations(spark, sf_dir):
     return s.where(F.col("grade") > vocab.LIMITS["descriptiveMaxGradeLevel"]).groupBy("doc_id").agg(F.count("*").alias("n_long"), F.round(F.max("grade"), 6).alias("worst"))
 
 
-@query("repeated_words", """
-WITH w AS (SELECT doc_id, string_split_regex(text, '[ \\t\\n]+') AS ws FROM documents),
-p AS (SELECT doc_id, lower(ws[i]) AS a, lower(ws[i + 1]) AS b FROM w, LATERAL (SELECT unnest(generate_series(1, len(ws) - 1)) AS i))
-SELECT doc_id, count(*) AS n FROM p WHERE a = b AND regexp_matches(a, '^[a-z]+$') AND a NOT IN ('had', 'that') GROUP BY doc_id""")
-def repeated_words(spark, sf_dir):
-    d = _t(spark, sf_dir, "documents").select("doc_id", F.split(F.lower("text"), r"[ \t\n]+").alias("ws"))
-    pairs = F.zip_with("ws", F.slice("ws", 2, 1 << 30), lambda a, b: (a == b) & a.rlike("^[a-z]+$") & ~a.isin("had", "that"))
-    return d.select("doc_id", F.size(F.filter(pairs, lambda x: x)).cast("long").alias("n")).where("n > 0")
-
-
-_MARKS = {"semicolon": ";", "exclamation": "!", "ellipsis": r"\.\.\.", "slash": r"[A-Za-z]/[A-Za-z]", "parenthesis": r"\([^)]*\)"}
-
-
-@query("punctuation_findings", "WITH t AS (SELECT 'd' || doc_id AS id, text FROM documents UNION ALL SELECT 'p' || p_partkey, p_name || '; see part/' || p_type || '... (' || p_brand || ')!' FROM part)\n" + "\nUNION ALL\n".join(
-    f"SELECT '{k}' AS \"check\", count(*) FILTER (len(regexp_extract_all(text, '{rx}')) > 0) AS n_texts, sum(len(regexp_extract_all(text, '{rx}')))::BIGINT AS n FROM t" for k, rx in _MARKS.items()))
-def punctuation_findings(spark, sf_dir):
-    d = _t(spark, sf_dir, "documents").select("text")
-    p = _t(spark, sf_dir, "part").select(F.concat("p_name", F.lit("; see part/"), "p_type", F.lit("... ("), "p_brand", F.lit(")!")).alias("text"))
-    t = d.unionByName(p).select(*[F.regexp_count("text", F.lit(rx)).cast("long").alias(k) for k, rx in _MARKS.items()])
-    one = t.agg(*[x for k in _MARKS for x in (F.count_if(F.col(k) > 0).alias(f"{k}_d"), F.sum(k).alias(f"{k}_n"))])
-    return one.select(F.explode(F.array(*[F.struct(F.lit(k).alias("check"), F.col(f"{k}_d").alias("n_texts"), F.col(f"{k}_n").alias("n")) for k in _MARKS])).alias("r")).select("r.*")
-
-
-_KNOWN_SQL = ", ".join(f"'{w}'" for w in vocab.words("well_known"))
-
-
-@query("abbreviation_first_use", f"""
-WITH t AS (SELECT doc_id, unnest(string_split_regex(text, '[^A-Za-z0-9_]+')) AS w, generate_subscripts(string_split_regex(text, '[^A-Za-z0-9_]+'), 1) AS i FROM documents),
-u AS (SELECT doc_id, regexp_replace(w, 's$', '') AS token, i FROM t WHERE regexp_full_match(w, '[A-Z]{{2,6}}s?')),
-r AS (SELECT doc_id, token, i, row_number() OVER (PARTITION BY doc_id, token ORDER BY i) AS k FROM u WHERE token NOT IN ({_KNOWN_SQL}))
-SELECT doc_id, token, i::INT AS position FROM r WHERE k = 1""")
-def abbreviation_first_use(spark, sf_dir):
-    known = spark.createDataFrame([(w,) for w in vocab.words("well_known")], "token string")
-    t = _t(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "[^A-Za-z0-9_]+", -1)).alias("i", "w")).where(F.col("w").rlike("^[A-Z]{2,6}s?$"))
-    first = t.select("doc_id", F.regexp_replace("w", "s$", "").alias("token"), (F.col("i") + 1).alias("position")).groupBy("doc_id", "token").agg(F.min("position").alias("position"))
-    return first.join(F.broadcast(known), "token", "left_anti").select("doc_id", "token", "position")
-
-
-@query("unit_spacing", """
-WITH t AS (SELECT p_partkey, 'Set it to ' || p_size || CASE WHEN p_partkey % 3 = 0 THEN ' ' ELSE '' END || CASE WHEN p_partkey % 5 = 0 THEN '%' ELSE 'mm' END || ' and ' || p_size || ',5 kg.' AS text FROM part),
-m AS (SELECT p_partkey, regexp_extract(text, '([0-9]+)([ ]*)(mm|%)', 2) AS gap, regexp_extract(text, '([0-9]+)([ ]*)(mm|%)', 3) AS unit, regexp_matches(text, '[0-9]+,[0-9]{1,2}[^0-9]') AS comma FROM t)
-SELECT p_partkey, CASE WHEN unit <> '%' AND gap = '' THEN 'spacing' WHEN comma THEN 'decimal-comma' END AS first_problem FROM m WHERE (unit <> '%' AND gap = '') OR comma""")
-def unit_spacing(spark, sf_dir):
-    text = F.concat(F.lit("Set it to "), F.col("p_size").cast("string"), F.when(F.col("p_partkey") % 3 == 0, " ").otherwise(""), F.when(F.col("p_partkey") % 5 == 0, "%").otherwise("mm"),
-                    F.lit(" and "), F.col("p_size").cast("string"), F.lit(",5 kg."))
-    rx = "([0-9]+)([ ]*)(mm|%)"
-    m = _t(spark, sf_dir, "part").select("p_partkey", text.alias("text"))
-    m = m.select("p_partkey", F.regexp_extract("text", rx, 2).alias("gap"), F.regexp_extract("text", rx, 3).alias("unit"), F.col("text").rlike("[0-9]+,[0-9]{1,2}[^0-9]").alias("comma"))
-    return m.select("p_partkey", F.when((F.col("unit") != "%") & (F.col("gap") == ""), "spacing").when(F.col("comma"), "decimal-comma").alias("first_problem")).where("first_problem IS NOT NULL")
-
-
-def _derived(spark, sf_dir):
-    """Sentences from part and order columns that hold dictionary terms and contractions."""
-    p = _t(spark, sf_dir, "part").select(F.concat(F.lit("p"), "p_partkey").alias("id"), F.concat(F.lit("Utilise "), "p_name", F.lit(" prior to "), F.col("p_size").cast("string"), F.lit(" uses; in order to stop, don't commence the web site.")).alias("text"))
-    o = _t(spark, sf_dir, "orders").select(F.concat(F.lit("o"), "o_orderkey").alias("id"), F.concat(F.lit("It's "), F.lower("o_orderpriority"), F.lit(" and we can't terminate the e-mail on-line, a number of times.")).alias("text"))
-    return p.unionByName(o)
-
-
-_DERIVED_SQL = """t AS (SELECT 'p' || p_partkey AS id, 'Utilise ' || p_name || ' prior to ' || p_size || ' uses; in order to stop, don''t commence the web site.' AS text FROM part
-UNION ALL SELECT 'o' || o_orderkey, 'It''s ' || lower(o_orderpriority) || ' and we can''t terminate the e-mail on-line, a number of times.' FROM orders)"""
-
-
-def _term_sql(name: str) -> str:
-    rows = ", ".join("('{}', {})".format(t.replace("'", "''"), str(bool(e["safe"])).lower()) for t, e in vocab.lists()[name].items())
-    return f"""
-WITH {_DERIVED_SQL},
-d(term, safe) AS (VALUES {rows})
-SELECT term, any_value(safe) AS safe, count(*) AS n FROM t JOIN d ON regexp_matches(lower(t.text), '(^|[^a-z0-9_])' || term || '($|[^a-z0-9_])') GROUP BY term"""
-
-
-def _terms(spark, sf_dir, name):
-    entries = vocab.lists()[name]
-    d = spark.createDataFrame([(t, bool(e["safe"]), len(t.split())) for t, e in entries.items()], "term string, safe boolean, n_words int")
-    longest = max(len(t.split()) for t in entries)
-    words = F.regexp_extract_all(F.lower("text"), F.lit(r"[a-z0-9_]+(?:['-][a-z0-9_]+)*"), F.lit(0))
-    w = _derived(spark, sf_dir).select("id", words.alias("w"))
-    grams = F.array_distinct(F.flatten(F.transform("w", lambda x, i: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.size("w") - i)), lambda n: F.array_join(F.slice("w", i + 1, n), " ")))))
-    hits = w.select("id", F.explode(grams).alias("term")).join(F.broadcast(d), "term")
-    return hits.groupBy("term").agg(F.first("safe").alias("safe"), F.count("*").alias("n"))
-
-
-@query("unapproved_terms", _term_sql("unapproved"))
-def unapproved_terms(spark, sf_dir):
-    return _terms(spark, sf_dir, "unapproved")
-
-
-@query("preferred_terms", _term_sql("preferred"))
-def preferred_terms(spark, sf_dir):
-    return _terms(spark, sf_dir, "preferred")
-
-
-@query("contractions", _term_sql("contractions"))
-def contractions(spark, sf_dir):
-    return _terms(spark, sf_dir, "contractions")
-
-
-_ITEMS_SQL = """i AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_partkey % 2 = 0 THEN 'Lift' ELSE 'lift' END || ' part ' || l_partkey || CASE WHEN l_suppkey % 3 = 0 THEN '' ELSE '.' END AS item,
-  CASE WHEN l_quantity > 25 THEN 1 ELSE 0 END AS depth, l_partkey, l_suppkey FROM lineitem)"""
-
-
-@query("list_consistency", f"""
-WITH {_ITEMS_SQL},
-m AS (SELECT *, CASE WHEN lag(depth) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, depth) = depth THEN 0 ELSE 1 END AS new FROM i),
-g AS (SELECT *, sum(new) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, depth ROWS UNBOUNDED PRECEDING) AS run FROM m),
-c AS (SELECT l_orderkey, run, count(*) AS n, count(*) FILTER (regexp_matches(item, '[.!?]$')) AS dotted, count(*) FILTER (regexp_matches(item, '^[A-Z]')) AS capital FROM g GROUP BY l_orderkey, run)
-SELECT count(*) AS runs, sum(CASE WHEN dotted > 0 AND dotted < n THEN 1 ELSE 0 END)::BIGINT AS mixed_ends, sum(CASE WHEN capital > 0 AND capital < n THEN 1 ELSE 0 END)::BIGINT AS mixed_starts,
- sum(CASE WHEN dotted > 0 AND dotted < n THEN CASE WHEN dotted * 2 >= n THEN n - dotted ELSE dotted END ELSE 0 END)::BIGINT AS odd_ends FROM c WHERE n > 1""")
-def list_consistency(spark, sf_dir):
-    item = F.concat(F.when(F.col("l_partkey") % 2 == 0, "Lift").otherwise("lift"), F.lit(" part "), F.col("l_partkey").cast("string"), F.when(F.col("l_suppkey") % 3 == 0, "").otherwise("."))
-    i = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", item.alias("item"), F.when(F.col("l_quantity") > 25, 1).otherwise(0).alias("depth"), "l_partkey", "l_suppkey")
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "depth")
-    g = i.withColumn("new", F.when(F.lag("depth").over(w) == F.col("depth"), 0).otherwise(1)).withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    c = g.groupBy("l_orderkey", "run").agg(F.count("*").alias("n"), F.count_if(F.col("item").rlike("[.!?]$")).alias("dotted"), F.count_if(F.col("item").rlike("^[A-Z]")).alias("capital")).where("n > 1")
-    mixed = lambda x: (F.col(x) > 0) & (F.col(x) < F.col("n"))
-    return c.agg(F.count("*").alias("runs"), F.count_if(mixed("dotted")).alias("mixed_ends"), F.count_if(mixed("capital")).alias("mixed_starts"),
-                 F.sum(F.when(mixed("dotted"), F.when(F.col("dotted") * 2 >= F.col("n"), F.col("n") - F.col("dotted")).otherwise(F.col("dotted"))).otherwise(0)).alias("odd_ends"))
-
-
-@query("step_sentence_limit", """
-SELECT conv_id, turn, len(regexp_extract_all(text, '[^.!?]*[A-Za-z][^.!?]*[.!?]'))::INT AS n_sentences FROM conversations
-WHERE role = 'user' AND len(regexp_extract_all(text, '[^.!?]*[A-Za-z][^.!?]*[.!?]')) > 1""")
-def step_sentence_limit(spark, sf_dir):
-    n = F.regexp_count("text", F.lit("[^.!?]*[A-Za-z][^.!?]*[.!?]"))
-    return _t(spark, sf_dir, "conversations").where((F.col("role") == "user") & (n > vocab.LIMITS["maxSentencesPerProceduralStep"])).select("conv_id", "turn", n.alias("n_sentences"))
-
-
-_STOP_SQL = ", ".join(f"'{w}'" for w in vocab.words("function_words"))
-
-
-@query("noun_cluster_runs", f"""
-WITH s AS (SELECT doc_id, unnest(regexp_extract_all(text, '[^.!?\\n]+')) AS s, generate_subscripts(regexp_extract_all(text, '[^.!?\\n]+'), 1) AS k FROM documents WHERE lang = 'en'),
-w AS (SELECT doc_id, k, unnest(regexp_extract_all(lower(s), '[a-z]+|[^a-z ]')) AS w, generate_subscripts(regexp_extract_all(lower(s), '[a-z]+|[^a-z ]'), 1) AS i FROM s),
-c AS (SELECT *, regexp_matches(w, '^[a-z]+$') AND w NOT IN ({_STOP_SQL}) AS content FROM w),
-g AS (SELECT *, sum(CASE WHEN content THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, k ORDER BY i ROWS UNBOUNDED PRECEDING) AS island FROM c),
-r AS (SELECT doc_id, k, island, count(*) AS n FROM g WHERE content GROUP BY ALL HAVING count(*) > 3)
-SELECT doc_id, count(*) AS n_runs, max(n) AS longest FROM r GROUP BY doc_id""")
-def noun_cluster_runs(spark, sf_dir):
-    return _noun_cluster_runs(_t(spark, sf_dir, "documents").where("lang = 'en'"))
-
-
-@query("noun_cluster_runs_all", ORACLES["noun_cluster_runs"].replace(" WHERE lang = 'en'", ""))
-def noun_cluster_runs_all(spark, sf_dir):
-    """All documents, as the rule reads them; noun_cluster_runs, as its SQL has it, reads the English ones."""
-    return _noun_cluster_runs(_t(spark, sf_dir, "documents"))
-
-
-def _noun_cluster_runs(docs):
-    s = docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"[^.!?\n]+"), F.lit(0))).alias("s"))
-    words = F.regexp_extract_all(F.lower("s"), F.lit("[a-z]+|[^a-z ]"), F.lit(0))
-    runs = F.aggregate(words, F.struct(F.lit(0).alias("now"), F.lit(0).alias("n"), F.lit(0).alias("top")), lambda a, w: F.when(
-        w.rlike("^[a-z]+$") & ~w.isin(vocab.words("function_words")), F.struct((a["now"] + 1).alias("now"), F.when(a["now"] == 3, a["n"] + 1).otherwise(a["n"]).alias("n"), F.greatest(
-            a["top"], a["now"] + 1).alias("top"))).otherwise(F.struct(F.lit(0).alias("now"), a["n"].alias("n"), a["top"].alias("top"))))  # no window: the fold stays inside a sentence
-    r = s.select("doc_id", runs.alias("r")).where("r.n > 0")
-    return r.groupBy("doc_id").agg(F.sum(F.col("r.n").cast("long")).alias("n_runs"), F.max(F.col("r.top").cast("long")).alias("longest"))
-
-
-_PASSIVE = r"(?:^|[^A-Za-z0-9_])(?:is|are|was|were|be|been|being) (?:[a-z]+ly )?[a-z]{3,}ed"
-
-
-@query("passive_candidates", f"SELECT doc_id, len(regexp_extract_all(text, '{_PASSIVE}'))::INT AS n FROM documents WHERE regexp_matches(text, '{_PASSIVE}')")
-def passive_candidates(spark, sf_dir):
-    return _t(spark, sf_dir, "documents").where(F.col("text").rlike(_PASSIVE)).select("doc_id", F.regexp_count("text", F.lit(_PASSIVE)).alias("n"))
-
-
-@query("pronoun_candidates", """
-WITH s AS (SELECT doc_id, unnest(regexp_extract_all(text, '[^.!?\\n]+')) AS s, generate_subscripts(regexp_extract_all(text, '[^.!?\\n]+'), 1) AS k FROM documents WHERE lang = 'en'),
-p AS (SELECT doc_id, k, s, lag(s) OVER (PARTITION BY doc_id ORDER BY k) AS before FROM s)
-SELECT doc_id, count(*) AS n FROM p WHERE regexp_matches(lower(s), '(^|[^a-z])(it|they|them)($|[^a-z])')
-AND len(list_distinct(regexp_extract_all(lower(coalesce(before, '')), '[a-z]{4,}'))) >= 2 GROUP BY doc_id""")
-def pronoun_candidates(spark, sf_dir):
-    return _pronoun_candidates(_t(spark, sf_dir, "documents").where("lang = 'en'"))
-
-
-@query("pronoun_candidates_all", ORACLES["pronoun_candidates"].replace(" WHERE lang = 'en'", ""))
-def pronoun_candidates_all(spark, sf_dir):
-    """All documents, as the rule reads them; pronoun_candidates, as its SQL has it, reads the English ones."""
-    return _pronoun_candidates(_t(spark, sf_dir, "documents"))
-
-
-def _pronoun_candidates(docs):
-    d = docs.select("doc_id", F.regexp_extract_all("text", F.lit(r"[^.!?\n]+"), F.lit(0)).alias("s"))
-    pairs = F.zip_with(F.slice("s", 2, 1 << 30), "s", lambda now, before: F.struct(now.alias("now"), before.alias("before")))
-    hit = lambda p: p["now"].isNotNull() & F.lower(p["now"]).rlike("(^|[^a-z])(it|they|them)($|[^a-z])") & (F.size(F.array_distinct(F.regexp_extract_all(F.lower(p["before"]), F.lit("[a-z]{4,}"), F.lit(0)))) >= 2)
-    return d.select("doc_id", F.size(F.filter(pairs, hit)).cast("long").alias("n")).where("n > 0")
-
-
 # == fixes
 
 
-@query("overlapping_fix_conflicts", """
-WITH f AS (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey % 500 AS a, l_partkey % 500 + 20 AS b FROM lineitem)
-SELECT DISTINCT x.l_orderkey, x.l_linenumber FROM f x JOIN f y ON x.l_orderkey = y.l_orderkey AND (x.l_linenumber <> y.l_linenumber OR x.a <> y.a) AND x.a < y.b AND y.a < x.b""")
-def overlapping_fix_conflicts(spark, sf_dir):
-    f = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_partkey") % 500).alias("a")).distinct().withColumn("b", F.col("a") + 20)
-    w = Window.partitionBy("l_orderkey").orderBy("a", "b", "l_linenumber")  # sorted once instead of a self join
-    c = f.withColumn("before", F.max("b").over(w.rowsBetween(Window.unboundedPreceding, -1))).withColumn("after", F.lead("a").over(w))
-    return c.where(F.coalesce(F.col("before") > F.col("a"), F.lit(False)) | F.coalesce(F.col("after") < F.col("b"), F.lit(False))).select("l_orderkey", "l_linenumber").distinct()
-
-
 @query("fix_safety_refusals", """
 WITH f AS (SELECT p_partkey, 'Turn it ' || p_size || ' times, do not stop before ' || p_retailprice::INT AS a,
  CASE p_partkey % 5 WHEN 0 THEN 'Turn it ' || p_size || ' times, do stop before ' || p_retailprice::INT WHEN 1 THEN 'Turn it ' || (p_size + 1) || ' times, do not stop before ' || p_retailprice::INT
@@ -441,82 +133,23 @@ def capital_transfer(spark, sf_dir):
 
 # == suppression
 
-_CLAIMS_SQL = """d AS (SELECT l_orderkey AS doc, l_linenumber * 100 AS pos, CASE WHEN l_linenumber % 2 = 1 THEN 'disable' ELSE 'enable' END AS key FROM lineitem),
-p AS (SELECT doc, pos, key, lead(pos) OVER (PARTITION BY doc ORDER BY pos, key) AS nxt FROM d),
-r AS (SELECT doc, pos AS claim_start, coalesce(nxt, 100000) AS claim_end FROM p WHERE key = 'disable'),
-f AS (SELECT l_orderkey AS doc, (l_partkey % 900)::INT AS start FROM lineitem)"""
-
-
-def _ranges(spark, sf_dir):
-    li = _t(spark, sf_dir, "lineitem")
-    d = li.select(F.col("l_orderkey").alias("doc"), (F.col("l_linenumber") * 100).alias("at"), F.when(F.col("l_linenumber") % 2 == 1, "disable").otherwise("enable").alias("key"))
-    w = Window.partitionBy("doc").orderBy("at", "key")
-    r = d.withColumn("nxt", F.lead("at").over(w)).where("key = 'disable'").select("doc", F.col("at").alias("claim_start"), F.coalesce("nxt", F.lit(100000)).alias("claim_end"))
-    return r, li.select(F.col("l_orderkey").alias("doc"), (F.col("l_partkey") % 900).cast("int").alias("start"))
-
-
-@query("suppression_claims", f"WITH {_CLAIMS_SQL} SELECT f.doc, f.start, min(r.claim_start)::INT AS claim_start, count(*) AS n FROM f JOIN r ON f.doc = r.doc AND f.start >= r.claim_start AND f.start < r.claim_end GROUP BY f.doc, f.start")
-def suppression_claims(spark, sf_dir):
-    r, f = _ranges(spark, sf_dir)
-    return f.join(r, "doc").where("start >= claim_start AND start < claim_end").groupBy("doc", "start").agg(F.min("claim_start").alias("claim_start"), F.count("*").alias("n"))
-
-
-@query("unused_directives", f"WITH {_CLAIMS_SQL} SELECT doc, claim_start::INT AS claim_start FROM r WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.doc = r.doc AND f.start >= r.claim_start AND f.start < r.claim_end)")
-def unused_directives(spark, sf_dir):
-    r, f = _ranges(spark, sf_dir)
-    return r.join(f, (r.doc == f.doc) & (f.start >= r.claim_start) & (f.start < r.claim_end), "left_anti").select("doc", "claim_start")
-
-
-@query("next_block_claim", """
-WITH d AS (SELECT l_orderkey AS doc, (l_partkey % 800)::INT AS pos FROM lineitem WHERE l_linenumber = 1),
-b AS (SELECT l_orderkey AS doc, (l_suppkey * l_linenumber % 1000)::INT AS b_end, (l_suppkey * l_linenumber % 1000 - l_quantity)::INT AS b_start FROM lineitem),
-k AS (SELECT d.doc, d.pos, b.b_end, b.b_start, row_number() OVER (PARTITION BY d.doc, d.pos ORDER BY b.b_end, b.b_start DESC) AS n FROM (SELECT DISTINCT * FROM d) d JOIN b ON d.doc = b.doc AND b.b_end > d.pos)
-SELECT doc, pos, b_end, b_start FROM k WHERE n = 1""")
-def next_block_claim(spark, sf_dir):
-    li = _t(spark, sf_dir, "lineitem").withColumn("doc", F.col("l_orderkey"))
-    d = li.where("l_linenumber = 1").select("doc", (F.col("l_partkey") % 800).cast("int").alias("pos"))
-    end = F.col("l_suppkey") * F.col("l_linenumber") % 1000
-    b = li.select("doc", end.cast("int").alias("b_end"), (end - F.col("l_quantity")).cast("int").alias("b_start"))
-    best = F.min(F.struct("b_end", (-F.col("b_start")).alias("m")))  # as-of join: one aggregate, no sort of the pairs
-    return d.distinct().join(b, "doc").where("b_end > pos").groupBy("doc", "pos").agg(best.alias("x")).select("doc", "pos", F.col("x.b_end").alias("b_end"), (-F.col("x.m")).alias("b_start"))
-
-
 # == adjudication
 
 
 @query("dedup_requests", """
-WITH q AS (SELECT role, sha256(coalesce(role, '') || chr(31) || coalesce(left(text, 12), '') || chr(31)) AS hash FROM conversations)
-SELECT role, count(*) AS n, count(DISTINCT hash) AS n_distinct FROM q GROUP BY role""")
-def dedup_requests(spark, sf_dir):
-    h = spans.content_hash(F.coalesce("role", F.lit("")), F.coalesce(F.substring("text", 1, 12), F.lit("")))
-    per = _t(spark, sf_dir, "conversations").select("role", h.alias("hash")).groupBy("role", "hash").agg(F.count("*").alias("c"))
-    return per.groupBy("role").agg(F.sum("c").alias("n"), F.count("*").alias("n_distinct"))
-
-
-@query("dedup_whole_requests", """
 WITH q AS (SELECT role, sha256(coalesce(role, '') || chr(31) || coalesce(text, '') || chr(31)) AS hash FROM conversations)
 SELECT role, count(*) AS n, count(DISTINCT hash) AS n_distinct FROM q GROUP BY role""")
-def dedup_whole_requests(spark, sf_dir):
-    """Requests that differ anywhere are different; dedup_requests, as its SQL has it, reads 12 characters."""
+def dedup_requests(spark, sf_dir):
+    """Requests that differ anywhere are different."""
     h = spans.content_hash(F.coalesce("role", F.lit("")), F.coalesce("text", F.lit("")))
     per = _t(spark, sf_dir, "conversations").select("role", h.alias("hash")).groupBy("role", "hash").agg(F.count("*").alias("c"))
     return per.groupBy("role").agg(F.sum("c").alias("n"), F.count("*").alias("n_distinct"))
 
 
 @query("cache_misses", """
-WITH q AS (SELECT DISTINCT sha256(coalesce(left(text, 8), '') || chr(31)) AS hash, turn >= 4 AS late FROM conversations)
-SELECT count(*) AS misses FROM (SELECT hash FROM q WHERE late) l WHERE NOT EXISTS (SELECT 1 FROM q e WHERE NOT e.late AND e.hash = l.hash)""")
-def cache_misses(spark, sf_dir):
-    q = _t(spark, sf_dir, "conversations").select(spans.content_hash(F.coalesce(F.substring("text", 1, 8), F.lit(""))).alias("hash"), (F.col("turn") >= 4).alias("late")).distinct()
-    _, misses = adjudicate.with_cache(q.where("late"), q.where("NOT late").select("hash", F.lit("").alias("reply")))
-    return misses.agg(F.count("*").alias("misses"))
-
-
-@query("cache_whole_misses", """
 WITH q AS (SELECT DISTINCT sha256(coalesce(text, '') || chr(31)) AS hash, turn >= 4 AS late FROM conversations)
 SELECT count(*) AS misses FROM (SELECT hash FROM q WHERE late) l WHERE NOT EXISTS (SELECT 1 FROM q e WHERE NOT e.late AND e.hash = l.hash)""")
-def cache_whole_misses(spark, sf_dir):
-    """Keyed by the whole text; cache_misses, as its SQL has it, reads 8 characters."""
+def cache_misses(spark, sf_dir):
     q = _t(spark, sf_dir, "conversations").select(spans.content_hash(F.coalesce("text", F.lit(""))).alias("hash"), (F.col("turn") >= 4).alias("late")).distinct()
     _, misses = adjudicate.with_cache(q.where("late"), q.where("NOT late").select("hash", F.lit("").alias("reply")))
     return misses.agg(F.count("*").alias("misses"))
@@ -578,44 +211,21 @@ def confusion_matrix(spark, sf_dir):
 WITH {_CASES_SQL},
 m AS (SELECT evaluator, count(*) AS cases, count(*) FILTER (gold <> 'unlabelled') AS labelled, count(*) FILTER (gold = 'violation') AS positives,
  count(*) FILTER (gold = 'violation' AND predicted = 'violation') AS tp, count(*) FILTER (gold = 'non-violation' AND predicted = 'violation') AS fp,
- count(*) FILTER (gold = 'violation' AND predicted = 'non-violation') AS fn, count(*) FILTER (gold = 'non-violation' AND predicted = 'non-violation') AS tn FROM c GROUP BY ROLLUP (evaluator))
-SELECT coalesce(evaluator, 'overall') AS evaluator, cases, labelled, positives, tp, fp, fn, tn, round(tp::DOUBLE / nullif(tp + fp, 0), 9) AS "precision",
- CASE WHEN positives >= 10 THEN round(tp::DOUBLE / nullif(tp + fn, 0), 9) END AS recall FROM m""")
+ count(*) FILTER (gold = 'violation' AND predicted = 'non-violation') AS fn, count(*) FILTER (gold = 'non-violation' AND predicted = 'non-violation') AS tn,
+ count(*) FILTER (predicted = 'uncertain') AS u, count(*) FILTER (predicted = 'failure') AS f,
+ quantile_disc(latency_ms, 0.9) FILTER (NOT cached) AS p90, avg(latency_ms) FILTER (NOT cached) AS mean FROM c GROUP BY ROLLUP (evaluator)),
+r AS (SELECT *, tp::DOUBLE / nullif(tp + fp, 0) AS p, CASE WHEN positives >= 10 THEN tp::DOUBLE / nullif(tp + fn, 0) END AS q FROM m)
+SELECT coalesce(evaluator, 'overall') AS evaluator, cases, labelled, positives, tp, fp, fn, tn, round(p, 9) AS "precision", round(q, 9) AS recall, round(2 * p * q / nullif(p + q, 0), 9) AS f1,
+ round(u::DOUBLE / cases, 9) AS uncertain_rate, round(f::DOUBLE / cases, 9) AS failure_rate, p90 AS latency_p90, round(mean, 6) AS latency_mean FROM r""")
 def metrics_rollup(spark, sf_dir):
     m = evaluate.metrics(_cases(spark, sf_dir))
-    return m.select(F.coalesce("evaluator", F.lit("overall")).alias("evaluator"), "cases", "labelled", "positives", "tp", "fp", "fn", "tn", F.round("precision", 9).alias("precision"), F.round("recall", 9).alias("recall"))
-
-
-@query("latency_percentiles", """
-SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.9) AS p90, quantile_disc(value, 0.99) AS p99, round(avg(value), 6) AS mean FROM events GROUP BY event_type""")
-def latency_percentiles(spark, sf_dir):
-    pct = lambda q: F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY value)")
-    return _t(spark, sf_dir, "events").groupBy("event_type").agg(pct(0.5).alias("p50"), pct(0.9).alias("p90"), pct(0.99).alias("p99"), F.round(F.avg("value"), 6).alias("mean"))
+    rounded = [F.round(c, 9).alias(c) for c in ("precision", "recall", "f1", "uncertain_rate", "failure_rate")]
+    return m.select(F.coalesce("evaluator", F.lit("overall")).alias("evaluator"), "cases", "labelled", "positives", "tp", "fp", "fn", "tn", *rounded, "latency_p90", F.round("latency_mean", 6).alias("latency_mean"))
 
 
 # == corpus
 
 
-@query("corpus_constraints", """
-SELECT 'length' AS "check", count(*) AS n FROM documents WHERE length(text) < 300 OR length(text) > 2400
-UNION ALL SELECT 'duplicate-text', count(*) FROM (SELECT sha256(text) AS h FROM documents GROUP BY 1 HAVING count(*) > 1)
-UNION ALL SELECT 'source-size', count(*) FROM (SELECT source FROM documents GROUP BY source HAVING count(*) < 2)
-UNION ALL SELECT 'no-label', count(*) FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)""")
-def corpus_constraints(spark, sf_dir):
-    d = _t(spark, sf_dir, "documents").select("doc_id", "source", F.length("text").alias("n"), F.sha2("text", 256).alias("h"))
-    count = lambda df, name: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("check"), "n")
-    return (count(d.where("n < 300 OR n > 2400"), "length").unionByName(count(d.groupBy("h").agg(F.count("*").alias("c")).where("c > 1"), "duplicate-text"))
-            .unionByName(count(d.groupBy("source").agg(F.count("*").alias("c")).where("c < 2"), "source-size"))
-            .unionByName(count(d.join(_t(spark, sf_dir, "labels"), "doc_id", "left_anti"), "no-label")))
-
-
-@query("cross_split_leakage", """
-SELECT h AS digest, n_splits FROM (SELECT sha256(text) AS h, count(DISTINCT doc_id % 3) AS n_splits FROM documents GROUP BY 1) WHERE n_splits > 1""")
-def cross_split_leakage(spark, sf_dir):
-    d = _t(spark, sf_dir, "documents").select(F.sha2("text", 256).alias("digest"), (F.col("doc_id") % 3).alias("split"))
-    return d.groupBy("digest", "split").agg(F.lit(1).alias("one")).groupBy("digest").agg(F.count("*").alias("n_splits")).where("n_splits > 1")
-
-
 @query("verdict_drift", """
 WITH a AS (SELECT DISTINCT doc_id AS k FROM labels WHERE quality = 1), b AS (SELECT DISTINCT doc_id AS k FROM labels WHERE toxic = 1 OR doc_id % 5 = 0)
 SELECT CASE WHEN a.k IS NULL THEN 'unmatched' WHEN b.k IS NULL THEN 'missing' ELSE 'merged' END AS state, count(*) AS n FROM a FULL OUTER JOIN b ON a.k = b.k GROUP BY 1""")
@@ -662,17 +272,6 @@ def reading_ease(spark, sf_dir):
     return e.groupBy("doc_id").agg(F.count("*").alias("n_sentences"), F.round(F.avg("e"), 4).alias("ease"))
 
 
-@query("fix_gate", """
-WITH f AS (SELECT l_orderkey, l_linenumber, l_partkey, l_discount > 0.08 AS off, l_returnflag = 'R' AS warned, l_linestatus = 'F' AS touching FROM lineitem)
-SELECT coalesce(CASE WHEN off THEN 'off' WHEN l_partkey % 4 = 0 THEN 'not fixable' WHEN warned THEN 'admonition' WHEN touching THEN 'protected' WHEN l_partkey % 2 = 1 THEN 'number changed' END, 'allowed') AS outcome, count(*) AS n FROM f GROUP BY 1""")
-def fix_gate(spark, sf_dir):
-    before = F.concat(F.lit("Turn "), F.col("l_partkey").cast("string"))
-    after = F.when(F.col("l_partkey") % 2 == 1, F.concat(F.lit("Turn "), (F.col("l_partkey") + 1).cast("string"))).otherwise(before)
-    refusal = (F.when(F.col("l_discount") > 0.08, "off").when(F.col("l_partkey") % 4 == 0, "not fixable").when(F.col("l_returnflag") == "R", "admonition")
-               .when(F.col("l_linestatus") == "F", "protected").otherwise(spans.fix_refusal(before, after)))
-    return _t(spark, sf_dir, "lineitem").select(F.coalesce(refusal, F.lit("allowed")).alias("outcome")).groupBy("outcome").agg(F.count("*").alias("n"))
-
-
 @query("protected_literals", """
 WITH p AS (SELECT p_partkey, 'Set `' || p_brand || '` to ' || p_size || ' mm, see https://a.example/' || p_partkey || ' now.' AS text FROM part)
 SELECT p_partkey AS doc_id, unnest(['`' || regexp_extract(text, '`([^`]*)`', 1) || '`', regexp_extract(text, '[0-9]+ mm'), regexp_extract(text, 'https://[^ ]+')]) AS literal FROM p""")
@@ -684,24 +283,10 @@ def protected_literals(spark, sf_dir):
 # == the whole analysis: rows only
 
 
-def _as_docs(spark, sf_dir):
-    """Short documents with Markdown structure from orders and their lines."""
-    li = _t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_quantity"))), lambda x: F.concat(
-        x["l_linenumber"].cast("string"), F.lit(". Lift the part "), x["l_partkey"].cast("string"), F.lit(" and turn the the knob "), x["l_quantity"].cast("int").cast("string"), F.lit("mm. Don't stop."))), "\n").alias("steps"))
-    o = _t(spark, sf_dir, "orders").join(li, F.col("o_orderkey") == F.col("l_orderkey"))
-    return o.select(F.col("o_orderkey").alias("doc_id"), F.concat(F.lit("# Order "), F.col("o_orderkey").cast("string"), F.lit("\n\nUtilise the form prior to shipping; it is closed by the clerk.\n\n> [!WARNING]\n> Don't open `"),
-                                                                  "o_orderpriority", F.lit("`.\n\n"), "steps", F.lit("\n")).alias("text"))
-
-
-@query("lint_orders")
-def lint_orders(spark, sf_dir):
-    return lint(_as_docs(spark, sf_dir)).findings.select("doc_id", "rule_id", "category", "severity", "start", "end", "message", "refusal", "admonition")
-
-
 @query("rule_findings")
 def rule_findings(spark, sf_dir):
     """Findings per rule and category over all documents, as plain text."""
-    r = lint(_t(spark, sf_dir, "documents").select("doc_id", "text"), {"format": "text"})
+    r = lint(_t(spark, sf_dir, "documents").select("doc_id", "text"), {"format": "text", "ordered": False})
     return r.findings.groupBy("rule_id", "category", "severity").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("n_docs"))
 
 

@@ -48,20 +48,12 @@ def test_whole_texts_are_hashed(spark, tmp_path):
     rows = [(1, 1, "user", "Please rewrite this: one"), (1, 2, "user", "Please rewrite this: two"), (1, 3, "user", "Please rewrite this: one"), (1, 4, "user", "Please rewrite this: two"),
             (1, 5, "user", "Please rewrite this: three"), (1, 6, "user", None), (2, 1, "assistant", "")]
     at = _table(spark, tmp_path, "conversations", rows, "conv_id long, turn int, role string, text string")
-    assert {tuple(r) for r in catalogue.QUERIES["dedup_whole_requests"](spark, at).collect()} == {("user", 6, 4), ("assistant", 1, 1)}
-    assert [r.misses for r in catalogue.QUERIES["cache_whole_misses"](spark, at).collect()] == [1]
+    assert {tuple(r) for r in catalogue.QUERIES["dedup_requests"](spark, at).collect()} == {("user", 6, 4), ("assistant", 1, 1)}
+    assert [r.misses for r in catalogue.QUERIES["cache_misses"](spark, at).collect()] == [1]
 
 
 def test_every_offset_is_located(spark, tmp_path):
     texts = ["a! b!\n\n!!c\nno mark\nd\u00e9 \U0001f600!", "none", "!", "", None, "x\r\n y!\n!", "!"]
     at = _table(spark, tmp_path, "documents", [(min(k, 5), t) for k, t in enumerate(texts)], "doc_id long, text string")
     want = sorted((min(k, 5), i, t[:i].count("\n") + 1, i - (t.rfind("\n", 0, i) + 1)) for k, t in enumerate(texts) for i, c in enumerate(t or "") if c == "!")
-    assert sorted((r.doc_id, r["off"], r.line, r["col"]) for r in catalogue.QUERIES["line_columns_all"](spark, at).collect()) == want
-
-
-def test_runs_and_pronouns_of_all_languages(spark, tmp_path):
-    text = "Rojo verde azul gris casa. Perro gato mesa; they salen."
-    rows = [(k, text + " The end.", l) for k, l in enumerate(["en", "es", None])] + [(9, "it", "fr"), (10, None, "de")]
-    at = _table(spark, tmp_path, "documents", rows, "doc_id long, text string, lang string")
-    assert sorted(map(tuple, catalogue.QUERIES["noun_cluster_runs_all"](spark, at).collect())) == [(k, 1, 5) for k in range(3)]
-    assert sorted(map(tuple, catalogue.QUERIES["pronoun_candidates_all"](spark, at).collect())) == [(k, 1) for k in range(3)]
+    assert sorted((r.doc_id, r["off"], r.line, r["col"]) for r in catalogue.QUERIES["line_columns"](spark, at).collect()) == want
