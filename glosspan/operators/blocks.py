@@ -11,7 +11,7 @@ from .regions import CONTENT, MARKERS, MASK, mask, protected_regions
 
 _REGISTER = {"danger": "danger", "warning": "warning", "caution": "caution", "attention": "caution", "important": "caution",
              "note": "note", "tip": "note", "hint": "note", "info": "note"}
-_COLLAPSE = "(?:" + "|".join(("!" * 3, r"\?" * 3 + r"\+?")) + ")"
+_COLLAPSE = r"(?:!!!|\?\?\?\+?)"  # fixed and folding admonitions
 _OPENERS = (
     re.compile(r"^\s*>?\s*\[!(\w+)\]"), re.compile(rf"^\s*{_COLLAPSE}\s+(\w+)"), re.compile(r"^\s*:{3,}\s*\{?\s*(\w+)\}?"),
     re.compile(r"^\s*\.\.\s+(?:admonition::\s+)?(\w+)(?:::)?"), re.compile(r"^\s*\[(\w+)\]\s*$"), re.compile(r"^\s*\**(\w+)\**\s*[:!]"),
@@ -79,8 +79,9 @@ class Block:
     lines: list = field(default_factory=list)
 
 
-_LIST = re.compile(r"^([ \t]*)" + "([*+-]|" + r"(\d{1,9})" + "[).])" + r"([ \t]+)")
-_RULE = re.compile("^ {0,3}(?:" + "|".join(rf"(?:{c}[ \t]*){{3,}}" for c in ("-", r"\*", "_")) + ")$")
+_LIST = re.compile(r"^([ \t]*)([-+*]|(\d{1,9})[.)])([ \t]+)")
+#: A line of three or more of one mark, spaced or not.
+_RULE = re.compile(r"^ {0,3}(?:-[ \t]*){3,}$|^ {0,3}(?:\*[ \t]*){3,}$|^ {0,3}(?:_[ \t]*){3,}$")
 
 
 def split_cells(line: str) -> list[tuple[int, int]]:

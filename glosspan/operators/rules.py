@@ -238,7 +238,7 @@ def number_unit_format(a: Analysed, config: RuleConfig) -> DataFrame:
     tight = list(config.get(rule, "noSpaceUnits", ("%", "°")))
     r = a.documents.select("doc_id", "text", F.explode("regions").alias("r")).where("r.kind = 'numeric-expression'")
     r = r.select("doc_id", F.col("r.start").alias("start"), F.col("r.end").alias("end"), F.expr("substring(text, r.start + 1, r.end - r.start)").alias("literal"))
-    parts = "^([+±-]?" + r"\d+" + r"(?:[,.]\d+)*" + r")(\s*)([A-Za-zµ°%][^\d\s]*)$"
+    parts = r"^([-+±]?\d+(?:[.,]\d+)*)(\s*)([A-Za-zµ°%Ω][^\d\s]*)$"
     r = r.withColumn("gap", F.regexp_extract("literal", parts, 2)).withColumn("unit", F.regexp_extract("literal", parts, 3))
     exempt = F.col("unit").isin(tight) | F.substring("unit", 1, 1).isin(tight)
     out = None
@@ -329,7 +329,7 @@ _BE = ("being", "been", "were", "gets", "was", "are", "get", "got", "is", "be")
 def passive_voice(a: Analysed, config: RuleConfig) -> DataFrame:
     rule = "passive-voice-candidate"
     forms = "|".join(vocab.words("participles"))
-    rx = spans.bounded(rf"(?i)(?:{'|'.join(_BE)})\s+" + r"(?:[a-z]+ly\s+)?" + rf"(?:[a-z]{{3,}}ed|{forms})(?![A-Za-z0-9_])(?:\s+by(?![A-Za-z0-9_]))?")
+    rx = spans.bounded(rf"(?i)(?:{'|'.join(_BE)})\s+(?:[a-z]+ly\s+)?(?:[a-z]{{3,}}ed|{forms})(?![A-Za-z0-9_])(?:\s+by(?![A-Za-z0-9_]))?")
     rows = _in_sentence(_sentences(a).where(F.col("masked").rlike(rx)), spans.find_spans(F.col("masked"), rx))
     agent = F.col("match").rlike(r"(?i)\sby$")
     tagger = config.get(rule, "tagger", None)
@@ -347,7 +347,8 @@ def noun_clusters(a: Analysed, config: RuleConfig) -> DataFrame:
     """Maximal runs of content words longer than the limit: one fold over the words of a sentence, no window."""
     rule = "noun-cluster-candidate"
     limit = int(config.get(rule, "maxClusterLength", config.limit("maxNounClusterLength")))
-    other = vocab.words("function_words") + vocab.words("opener_verbs") + vocab.words("auxiliaries")
+    nouns = set(vocab.words("noun_verbs"))  # verbs that are as often nouns part no cluster
+    other = vocab.words("function_words") + [v for v in vocab.words("opener_verbs") if v not in nouns] + vocab.words("auxiliaries")
     content = lambda w: w["protected_kind"].isNull() & ~w["lower"].isin(other) & w["lower"].rlike(r"^\p{L}[\p{L}'’-]*$") & ~w["lower"].rlike("ly$|ing$|ed$")
     flat = F.transform("words", lambda w: F.struct((w["start"] - F.col("s_start")).alias("start"), (w["end"] - F.col("s_start")).alias("end"), content(w).alias("content")))
     s = _sentences(a).where(F.size("words") > limit).withColumn("flat", flat).where(F.size(F.filter("flat", lambda w: w["content"])) > limit)
