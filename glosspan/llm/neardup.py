@@ -40,7 +40,7 @@ BITS = 256
 THRESHOLD = 44
 #: Weight of words of up to three letters, most of which any two texts of a language share.
 SHORT = 0.3
-LIST = 256
+LIST = 512
 RECALL = 0.99
 BLOCK = 4096
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -145,8 +145,8 @@ def recursion_plan(texts: int, threshold: int = THRESHOLD, recall: float = RECAL
     """(levels, coordinates of a strip, repetitions): of the recursions whose last lists hold at most ``size`` unlike
     texts on average, the one with the fewest repetitions."""
     best = None
-    for levels in range(1, 6):
-        for strip in range(4, 13):
+    for levels in range(2, 6):
+        for strip in range(3, 13):
             if texts * meeting_chance(BITS // 2, strip) ** levels <= size and levels * strip <= 50:
                 repeats = max(1, math.ceil(math.log(1 - recall) / math.log1p(-meeting_chance(threshold, strip) ** levels)))
                 if best is None or repeats < best[2]:

@@ -151,7 +151,7 @@ def test_recursion_follows_size_and_target():
     assert 1 - (1 - neardup.meeting_chance(neardup.THRESHOLD, strip) ** levels) ** repeats >= neardup.RECALL
 
 
-@pytest.mark.parametrize("size", [0.01, 32])
+@pytest.mark.parametrize("size", [1e-4, 32])
 def test_deeper_recursion_keeps_the_recall(spark, sf, size):
     docs = table(spark, sf, "documents")
     got = {r.h1: r.n_links for r in neardup.classify(docs, size=size).collect()}
@@ -159,7 +159,7 @@ def test_deeper_recursion_keeps_the_recall(spark, sf, size):
     fp = rows[list(neardup._PARTS)].values.astype(np.int64).view(np.uint64)
     near = np.bitwise_count(fp[:, None] ^ fp[None]).sum(2) <= neardup.THRESHOLD
     np.fill_diagonal(near, False)
-    assert (neardup.recursion_plan(len(rows), size=size)[0] > 1) == (size < 1) and sum(got[h] for h in rows.h1) >= 0.97 * near.sum()
+    assert (neardup.recursion_plan(len(rows), size=size)[0] > 2) == (size < 1) and sum(got[h] for h in rows.h1) >= 0.97 * near.sum()
 
 
 def test_hot_lists_in_blocks_lose_nothing(spark, sf):
