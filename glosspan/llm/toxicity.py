@@ -93,6 +93,11 @@ def word_slices(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return again.dictionary, index, np.asarray(split.offsets)
 
 
+def real_words(words: pa.Array) -> np.ndarray:
+    """False for the empty word that marks alone, or a text without words, leave."""
+    return np.asarray(pc.utf8_length(words)) > 0
+
+
 def _top_two(scores: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each text's highest and next distinct score; 0 where there is none."""
     n = len(offsets) - 1
@@ -117,7 +122,7 @@ class Model:
         if not len(words):
             return np.full(len(texts), self.bias)
         feature, starts = word_features(words)
-        s = np.add.reduceat(self.weights[feature].astype(np.float64), starts)
+        s = np.add.reduceat(self.weights[feature].astype(np.float64), starts) * real_words(words)
         first, second = _top_two(s[index], offsets)
         return self.bias + first + SECOND * second
 
@@ -200,6 +205,7 @@ def fit(sample: list[tuple[str, int]], prior: float, groups=IDENTITY_GROUPS, pen
     owner, index = both // len(words), both % len(words)
     offsets = np.searchsorted(owner, np.arange(len(texts) + 1))
     feature, starts = word_features(words)
+    real = real_words(words)
     per_word = np.diff(np.append(starts, len(feature)))
     word_of = np.repeat(np.arange(len(words)), per_word)
     doc_words = owner < n
@@ -217,7 +223,7 @@ def fit(sample: list[tuple[str, int]], prior: float, groups=IDENTITY_GROUPS, pen
     target_weight = np.where(y == 1, 0.5 / share, 0.5 / (1 - share)) / n
     speed = np.zeros_like(weights)
     for _ in range(epochs):
-        s = np.add.reduceat(weights[feature].astype(np.float64), starts)
+        s = np.add.reduceat(weights[feature].astype(np.float64), starts) * real
         own = s[index]
         first, second = _top_two(own, offsets)
         z = bias + first + SECOND * second

@@ -396,6 +396,67 @@ def test_network_scores_do_not_depend_on_the_batch():
     assert np.allclose(net.scores(raw), np.concatenate([net.scores([r]) for r in raw]), atol=1e-5)
 
 
+def _naive_logit(net, raw):
+    """The network window by window, chunk by chunk, in double precision."""
+    h, w, st = quality.HALF, quality.WIDTH, quality.STRIDE
+    halves = [raw[i:i + h] for i in range(0, len(raw), h)] or [b""]
+    pooled = []
+    for part in halves:
+        padded = part + b"\0" * (h - len(part))
+        n = min(max(-(-(len(part) - w) // st) + 1, 1), quality.WINDOWS)
+        a = [np.maximum(net.embed[list(padded[k * st:k * st + w])].astype(float).reshape(-1) @ net.filters + net.shift, 0) for k in range(n)]
+        pooled.append((np.mean(a, axis=0), np.max(a, axis=0)))
+    chunks = list(zip(pooled, pooled[1:])) or [(pooled[0], pooled[0])]
+    u = [np.tanh(np.concatenate([(x[0] + y[0]) / 2, np.maximum(x[1], y[1])]) @ net.mix + net.mix_shift) for x, y in chunks]
+    return float(np.max(u, axis=0) @ net.out + net.bias)
+
+
+def test_network_equals_a_naive_convolution():
+    net = quality.Network.fresh(3)
+    raw = [b"", b"ab", words(1, 20).encode(), words(2, 200).encode(), ("é" * 300).encode(), b"x" * 256, b"y" * 257]
+    assert np.allclose(net.logits(raw), [_naive_logit(net, r) for r in raw], atol=1e-4)
+
+
+def test_gradients_equal_differences():
+    net, raw, y = quality.Network.fresh(5), [words(k, 8 + 40 * k).encode() for k in range(4)], np.array([0, 1, 1, 0], np.float32)
+    grads = quality._gradients(net, raw, y, np.full(4, 0.25, np.float32))
+
+    def loss():
+        z = np.array([_naive_logit(net, r) for r in raw])
+        return float(np.mean(np.logaddexp(0, z) - y * z))
+
+    r = np.random.default_rng(1)
+    for name in ("out", "mix", "mix_shift", "shift", "filters", "embed"):
+        value = getattr(net, name).astype(np.float64)
+        setattr(net, name, value)
+        strong = np.argsort(-np.abs(grads[name]).reshape(-1))[:40]
+        for k in r.choice(strong, 3, replace=False):
+            at, old = np.unravel_index(k, value.shape), value.flat[k]
+            value[at] = old + 1e-5
+            up = loss()
+            value[at] = old - 1e-5
+            down = loss()
+            value[at] = old
+            assert abs((up - down) / 2e-5 - grads[name][at]) < 2e-3 + 0.05 * abs(grads[name][at]), name
+
+
+def test_toxicity_equals_scoring_word_by_word():
+    import pyarrow as pa
+
+    r = np.random.default_rng(2)
+    model = toxicity.Model(-0.7, r.normal(0, 0.2, 1 << toxicity.BITS).astype(np.float32))
+    texts = ["", "  ", "Karu, mile! KARU ren", "«sol» dri-pe nova", words(4, 60), "one"]
+
+    def score(word):
+        feature, _ = toxicity.word_features(pa.array([word]))
+        return float(model.weights[feature].astype(np.float64).sum())
+
+    for text, z in zip(texts, model.logits(pa.array(texts))):
+        scores = sorted({score(w.strip(toxicity._MARKS).lower()) for w in text.split()}, reverse=True)
+        first, second = max(scores[0], 0) if scores else 0, max(scores[1], 0) if len(scores) > 1 else 0
+        assert abs(z - (model.bias + first + toxicity.SECOND * second)) < 1e-6
+
+
 # == 6 chat
 
 
