@@ -8,9 +8,12 @@ force.  Levels and strips are such that a list of unlike texts holds about ``LIS
 texts, and there are as many repetitions as bring two fingerprints at exactly ``THRESHOLD`` together with the chance
 ``RECALL``; nearer ones meet more surely.
 
+Lists are compared a tile of rows at a time, first on half of the bits: two fingerprints that differ in more than
+``THRESHOLD`` of these, as nearly all unlike ones do, are done with, and the few pairs left are measured on all bits.
 A pair is counted by the first repetition that brings both together, which each list can tell from the two
 fingerprints alone, so no pair is ever shipped: a list sends one row per linked text with its count and the root of
-its local component.  A list above ``BLOCK`` rows (of texts too alike for any strip to part) is not held: its rows are
+its local component.  A near pair asks one earlier repetition after the other until one held both, and pairs are held
+``PAIRS`` at a time, so a class of many near copies costs a little for each of its pairs in each list.  A list above ``BLOCK`` rows (of texts too alike for any strip to part) is not held: its rows are
 dealt to pairs of blocks that other tasks compare, exactly.  Components are joined by alternating large-star and
 small-star steps.
 
@@ -43,6 +46,9 @@ SHORT = 0.3
 LIST = 512
 RECALL = 0.99
 BLOCK = 4096
+#: Rows compared at a time, and near pairs held at a time.
+TILE = 128
+PAIRS = 1 << 20
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _SALTS = np.array([0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0x2545F4914F6CDD1D], np.uint64)
 _PARTS = ["f0", "f1", "f2", "f3"]
@@ -154,23 +160,34 @@ def recursion_plan(texts: int, threshold: int = THRESHOLD, recall: float = RECAL
     return best or (5, 10, math.ceil(math.log(1 - recall) / math.log1p(-meeting_chance(threshold, 10) ** 5)))
 
 
-def list_keys(fp: np.ndarray, params) -> np.ndarray:
-    """The list of each fingerprint in each repetition: (rows, repetitions)."""
+@lru_cache(maxsize=8)
+def _strip_weights(repeats: int, levels: int, strip: int, seed: int) -> np.ndarray:
+    """The matrix that makes of a row's bits the values of all its strips: (BITS, repeats * levels)."""
+    coords, _ = _recursion(repeats, levels, strip, seed)
+    out = np.zeros((BITS, repeats * levels), np.float32)  # values stay below 2**24, so they are exact
+    out[coords.reshape(repeats * levels, strip), np.arange(repeats * levels)[:, None]] = 1 << np.arange(strip)
+    return out
+
+
+def list_keys(fp: np.ndarray, params, first: int | None = None) -> np.ndarray:
+    """The list of each fingerprint in each repetition, or the ``first`` ones: (rows, repetitions)."""
     repeats, levels, strip, seed, _ = params
-    coords, centres = _recursion(repeats, levels, strip, seed)
-    bits = np.unpackbits(fp, axis=1)
-    weights = 1 << np.arange(strip)
-    out = np.empty((len(fp), repeats), np.int64)
-    for r in range(repeats):
-        key = np.full(len(fp), r, np.int64)
-        for level in range(levels):
-            key = (key << strip) | centres[r, level][bits[:, coords[r, level]] @ weights]
-        out[:, r] = key
+    _, centres = _recursion(repeats, levels, strip, seed)
+    first = repeats if first is None else first
+    weights = np.ascontiguousarray(_strip_weights(repeats, levels, strip, seed)[:, :first * levels])
+    out = np.empty((len(fp), first), np.int64, order="F")
+    for lo in range(0, len(fp), 4096):
+        values = (np.unpackbits(fp[lo:lo + 4096], axis=1).astype(np.float32) @ weights).T.astype(np.int64)
+        for r in range(first):
+            key = np.full(values.shape[1], r, np.int64)
+            for level in range(levels):
+                key = (key << strip) | centres[r, level][values[r * levels + level]]
+            out[lo:lo + 4096, r] = key
     return out
 
 
-def distances(words: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(words[i] ^ words[j]).sum(1, dtype=np.int32)
+def _word_columns(fp: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(fp.view(np.uint64).reshape(len(fp), -1).T)
 
 
 def _components(n: int, i: np.ndarray, j: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -185,47 +202,92 @@ def _components(n: int, i: np.ndarray, j: np.ndarray, ids: np.ndarray) -> np.nda
             return label
 
 
-def _links(ids, fp, i, j, rep, params) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of candidate rows i, j of the lists of repetition ``rep``: (ids, counts, roots) of the pairs they own."""
-    threshold = params[4]
-    words = fp.view(np.uint64).reshape(len(fp), -1)
-    near = distances(words, i, j) <= threshold
-    i, j, rep = i[near], j[near], rep[near]
-    if len(i):
-        rows, inverse = np.unique(np.concatenate([i, j]), return_inverse=True)
-        keys = list_keys(np.ascontiguousarray(fp[rows]), params)
-        a, b = inverse[:len(i)], inverse[len(i):]
-        own = np.empty(len(i), bool)
-        for lo in range(0, len(i), 1 << 16):
-            s = slice(lo, lo + (1 << 16))
-            own[s] = (keys[a[s]] == keys[b[s]]).argmax(1) == rep[s]
+def _near_pairs(words: np.ndarray, spans, threshold: int, group: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows i < j within ``threshold`` and of one ``group``, about ``PAIRS`` at a time.
+
+    ``words`` is (words, rows); each of ``spans`` is (first, last, start, stop): rows first..last against start..stop.
+    """
+    def near(left, right):
+        i, j = np.concatenate(left), np.concatenate(right)
+        kept = i < j if group is None else (i < j) & (group[i] == group[j])
+        i, j = i[kept], j[kept]
+        kept = sum(np.bitwise_count(word[i] ^ word[j]).astype(np.int16) for word in words) <= threshold
+        return i[kept], j[kept]
+
+    left, right, held = [], [], 0
+    for first, last, start, stop in spans:
+        differ = np.bitwise_count(words[0, first:last, None] ^ words[0, None, start:stop])
+        differ += np.bitwise_count(words[1, first:last, None] ^ words[1, None, start:stop])
+        i, j = np.divmod(np.flatnonzero(differ <= threshold), max(stop - start, 1))
+        left.append(i + first)
+        right.append(j + start)
+        held += len(i)
+        if held >= PAIRS:
+            yield near(left, right)
+            left, right, held = [], [], 0
+    if held:
+        yield near(left, right)
+
+
+def _owned(i: np.ndarray, j: np.ndarray, rep: np.ndarray, fp: np.ndarray, params) -> np.ndarray:
+    """Which pairs of rows, met in repetition ``rep``, no earlier repetition brought together."""
+    own = np.ones(len(i), bool)
+    before = int(rep.max(initial=0))
+    if not before:
+        return own
+    linked = np.zeros(len(fp), bool)
+    linked[i] = linked[j] = True
+    place = np.cumsum(linked) - 1
+    keys = list_keys(np.ascontiguousarray(fp[linked]), params, before)
+    i, j, open_ = place[i], place[j], np.arange(len(i))
+    least = int(rep.min())
+    for r in range(before):
+        if r >= least:
+            later = rep[open_] > r
+            i, j, open_ = i[later], j[later], open_[later]
+        met = keys[:, r][i] == keys[:, r][j]
+        own[open_[met]] = False
+        i, j, open_ = i[~met], j[~met], open_[~met]
+        if not len(open_):
+            break
+    return own
+
+
+def _links(pairs, ids, fp, rep: np.ndarray, params) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of chunks of near rows i, j, met in i's repetition ``rep``: (ids, counts, roots) of the pairs they own.
+
+    The counts of an id's rows add up, and the rows join what is linked, as one list or several chunks tell it.
+    """
+    found = []
+    total = np.zeros(len(ids), np.int64)
+    for i, j in pairs:
+        own = _owned(i, j, rep[i], fp, params)
         i, j = i[own], j[own]
-    if not len(i):
-        return ids[:0], ids[:0], ids[:0]
-    counts = np.bincount(i, minlength=len(ids)) + np.bincount(j, minlength=len(ids))
-    linked = np.flatnonzero(counts)
-    local = np.full(len(ids), -1)
-    local[linked] = np.arange(len(linked))
-    roots = _components(len(linked), local[i], local[j], ids[linked])
-    return ids[linked], counts[linked], roots
+        if not len(i):
+            continue
+        counts = np.bincount(i, minlength=len(ids)) + np.bincount(j, minlength=len(ids))
+        total += counts
+        linked = np.flatnonzero(counts)
+        local = np.full(len(ids), -1)
+        local[linked] = np.arange(len(linked))
+        found.append((linked, _components(len(linked), local[i], local[j], ids[linked])))
+    if not found:
+        return ids[:0], total[:0], ids[:0]
+    rows = np.concatenate([f[0] for f in found])
+    roots = np.concatenate([f[1] for f in found])
+    counts = np.zeros(len(rows), np.int64)
+    once, at = np.unique(rows, return_index=True)
+    counts[at] = total[once]
+    told = (counts > 0) | (roots != ids[rows])
+    return ids[rows[told]], counts[told], roots[told]
 
 
 def _compare(keys: np.ndarray, ids: np.ndarray, fp: np.ndarray, params) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Brute force inside every list of rows sorted by key."""
-    left, right = [], []
-    alive = np.arange(len(keys) - 1)
-    d = 1
-    words = fp.view(np.uint64).reshape(len(fp), -1)
-    while len(alive):
-        alive = alive[alive + d < len(keys)]
-        alive = alive[keys[alive] == keys[alive + d]]
-        near = distances(words, alive, alive + d) <= params[4]
-        left.append(alive[near])
-        right.append(alive[near] + d)
-        d += 1
-    i = np.concatenate(left) if left else np.zeros(0, np.int64)
-    j = np.concatenate(right) if right else np.zeros(0, np.int64)
-    return _links(ids, fp, i, j, keys[i] >> (params[1] * params[2]), params)
+    ends = np.searchsorted(keys, keys, "right")
+    spans = ((lo, min(lo + TILE, len(keys)), lo, int(ends[min(lo + TILE, len(keys)) - 1])) for lo in range(0, len(keys), TILE))
+    pairs = _near_pairs(_word_columns(fp), spans, params[4], keys)
+    return _links(pairs, ids, fp, keys >> (params[1] * params[2]), params)
 
 
 _FOUND = "id long, links long, root long, key long, block int, f0 long, f1 long, f2 long, f3 long"
@@ -302,28 +364,14 @@ def _block_pairs(deferred: DataFrame, params) -> DataFrame:
 
     def compare(key, t):
         t = t.combine_chunks()
-        ids, fp = np.asarray(t.column("id")), _fp_matrix(t)
-        block = np.asarray(t.column("block"))
         a, b, rep = key[1].as_py(), key[2].as_py(), key[0].as_py() >> shift
-        left, right = np.flatnonzero(block == a), np.flatnonzero(block == b)
-        words = fp.view(np.uint64).reshape(len(fp), -1)
-        li, lj = [], []
-        for x in left:
-            others = right if a != b else right[right > x]
-            near = others[np.bitwise_count(words[x] ^ words[others]).sum(1, dtype=np.int32) <= params[4]]
-            li.append(np.full(len(near), x))
-            lj.append(near)
-        i, j = np.concatenate(li), np.concatenate(lj)
-        counts, order, out = np.zeros(len(ids), np.int64), np.argsort(ids), []
-        for lo in range(0, len(i), 1 << 20):
-            s = slice(lo, lo + (1 << 20))
-            got, n, roots = _links(ids, fp, i[s], j[s], np.full(len(i[s]), rep), params)
-            rows = order[np.searchsorted(ids[order], got)]
-            counts[rows] += n
-            out.append(pa.table([pa.array(got), pa.array(np.zeros(len(got), np.int64)), pa.array(roots)], names=["id", "links", "root"]))
-        linked = np.flatnonzero(counts)
-        out.append(pa.table([pa.array(ids[linked]), pa.array(counts[linked]), pa.array(ids[linked])], names=["id", "links", "root"]))
-        return pa.concat_tables(out)
+        block = np.asarray(t.column("block"))
+        order = np.argsort(block, kind="stable")
+        ids, fp = np.asarray(t.column("id"))[order], np.ascontiguousarray(_fp_matrix(t)[order])
+        left = int((block == a).sum())
+        spans = ((lo, min(lo + TILE, left), lo if a == b else left, len(ids)) for lo in range(0, left, TILE))
+        got = _links(_near_pairs(_word_columns(fp), spans, params[4]), ids, fp, np.full(len(ids), rep), params)
+        return pa.table([pa.array(got[0]), pa.array(got[1], pa.int64()), pa.array(got[2])], names=["id", "links", "root"])
 
     return dealt.groupBy("key", "a", "b").applyInArrow(compare, "id long, links long, root long")
 
@@ -338,7 +386,7 @@ def find_links(items: DataFrame, threshold: int = THRESHOLD, recall: float = REC
     def keys(batch: pa.RecordBatch):
         for at in range(0, batch.num_rows, 8192):
             part = batch.slice(at, 8192)
-            own = np.asfortranarray(list_keys(_fp_matrix(part), params))
+            own = list_keys(_fp_matrix(part), params)
             for r in range(repeats if part.num_rows else 0):
                 yield pa.table([pa.array(own[:, r]), *(part.column(c) for c in ("id", *_PARTS))], names=["key", "id", *_PARTS])
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -168,6 +169,29 @@ def test_hot_lists_in_blocks_lose_nothing(spark, sf):
     assert {r.doc_id: (r.class_id, r.n_links) for r in neardup.classify(docs, block=3).collect()} == a
 
 
+def test_a_list_of_many_near_copies_costs_little():
+    g = np.random.default_rng(5)
+    bits = np.repeat(g.integers(0, 2, (1, 256), dtype=np.uint8), 8000, 0) ^ (g.random((8000, 256)) < 0.03)
+    params, rep = (40, 2, 9, 11, neardup.THRESHOLD), 20
+    fp = np.packbits(bits, axis=1)
+    keys = neardup.list_keys(fp, params)
+    lists, sizes = np.unique(keys[:, rep], return_counts=True)
+    one = np.flatnonzero(keys[:, rep] == lists[sizes.argmax()])
+    fp, keys, ids, n = np.ascontiguousarray(fp[one]), keys[one], np.arange(len(one)) * 7, len(one)
+    words = fp.view(np.uint64)
+    want = np.zeros(n, np.int64)
+    for x in range(n):  # the pairs that no earlier repetition brought together
+        near = np.bitwise_count(words[x] ^ words).sum(1) <= neardup.THRESHOLD
+        want[x] = (near & (keys[:, :rep] != keys[x, :rep]).all(1)).sum()
+    tracemalloc.start()
+    found, counts, roots = neardup._compare(keys[:, rep], ids, fp, params)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (np.bincount(found // 7, weights=counts, minlength=n) == want).all() and want.sum() > 0 and n > 3000
+    assert np.isin(roots, ids).all() and (roots <= found).all()
+    assert peak < 150 << 20, peak  # millions of near pairs are never held at once
+
+
 def test_neardup_on_odd_rows(spark, odd_docs, no_docs):
     got = neardup.classify(odd_docs).collect()
     assert len(got) == 14
