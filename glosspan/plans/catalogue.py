@@ -10,6 +10,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import spans, vocab
+from ..functions.shared import spread_rows
 from ..operators import adjudicate, evaluate, gate
 from ..operators.analyse import analyse_documents
 from ..operators.rules import RuleConfig
@@ -121,7 +122,8 @@ def fix_safety_refusals(spark, sf_dir):
     after = (F.when(k == 0, line("Turn it ", size, " times, do stop before ")).when(k == 1, line("Turn it ", (F.col("p_size") + 1).cast("string"), " times, do not stop before "))
              .when(k == 2, line("Turn it ", size, " times, do not stop after ")).when(k == 3, line("You must turn it ", size, " times, do not stop before "))
              .otherwise(line("Turn it ", size, " times, don't stop prior to ")))
-    return _t(spark, sf_dir, "part").select(F.coalesce(spans.fix_refusal(before, after), F.lit("none")).alias("refusal")).groupBy("refusal").agg(F.count("*").alias("n"))
+    parts = spread_rows(_t(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice"), "p_partkey")
+    return parts.select(F.coalesce(spans.fix_refusal(before, after), F.lit("none")).alias("refusal")).groupBy("refusal").agg(F.count("*").alias("n"))
 
 
 @query("capital_transfer", """
@@ -277,7 +279,7 @@ WITH p AS (SELECT p_partkey, 'Set `' || p_brand || '` to ' || p_size || ' mm, se
 SELECT p_partkey AS doc_id, unnest(['`' || regexp_extract(text, '`([^`]*)`', 1) || '`', regexp_extract(text, '[0-9]+ mm'), regexp_extract(text, 'https://[^ ]+')]) AS literal FROM p""")
 def protected_literals(spark, sf_dir):
     text = F.concat(F.lit("Set `"), "p_brand", F.lit("` to "), F.col("p_size").cast("string"), F.lit(" mm, see https://a.example/"), F.col("p_partkey").cast("string"), F.lit(" now."))
-    return evaluate.protected_literals(analyse_documents(_t(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), text.alias("text"))))
+    return evaluate.protected_literals(analyse_documents(_t(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), text.alias("text")), parts=("regions",)))
 
 
 # == the whole analysis: rows only

@@ -51,3 +51,7 @@ def test_checks_of_one_reading_are_all_reported(spark):
     got = sorted((r.doc_id, r.meta["check"], r.meta.get("count")) for r in f.collect())
     assert got == [("d", "commas", "4"), ("d", "decimal-comma", None), ("d", "exclamation", None), ("d", "parenthesis", None), ("d", "semicolon", None), ("d", "spacing", None),
                    ("l", "capital", None), ("l", "step", None), ("l", "terminal", None), ("l", "terminal", None)], got
+
+
+def test_fixes_of_one_file_are_compared_in_many_tasks(spark, sf):
+    assert "REPARTITION_BY_NUM" in plan(catalogue.QUERIES["fix_safety_refusals"](spark, sf))
