@@ -31,6 +31,20 @@ def spread_rows(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism), *keys)
 
 
+def pieces(*tables: DataFrame, mb: int = 4) -> int:
+    """Tasks of a shuffle in which none has more than about ``mb`` of the tables as they lie on disk, so that what a task sorts does not
+    grow with the input."""
+    size = sum(int(str(t._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) for t in tables)
+    least = int(tables[0].sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, size // (mb * 2**20)) if size < 2**50 else least  # more is Spark's guess for rows it knows nothing of
+
+
+def by_key(df: DataFrame) -> DataFrame:
+    """The side of a join that grows with the corpus, never broadcast: its size on disk says nothing, as findings and directives
+    compress a hundredfold, and the driver would hold all of them."""
+    return df.hint("merge")
+
+
 class Workspace:
     """Tables of one run; ``clear`` deletes them and frees what was cached."""
 

@@ -2,22 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.shared import by_key, pieces
+
 LEAST_POSITIVES = 10
 
 
 def gold_labels(candidates: DataFrame, records: DataFrame) -> DataFrame:
-    """Candidates with ``gold``: all overlapping records of the same rule must agree, else unlabelled.
+    """Candidates with ``labels``, what the overlapping records of the same rule say, and ``gold``: they must agree, else unlabelled.
+
+    A document's records meet its candidates as one array: each side is shuffled once, and no pair is made a row.
 
     ``records`` has doc_id, rule_id, r_start, r_end, verdict (violation, non-violation, accepted, disputed, ...).
     """
-    label = F.when(F.col("verdict").isin("violation", "accepted"), "violation").when(F.col("verdict").isin("non-violation", "disputed"), "non-violation")
-    hit = candidates.select("doc_id", "rule_id", "id", "start", "end").join(records, ["doc_id", "rule_id"]).where("start < r_end AND r_start < end").withColumn("label", label)
-    agreed = hit.groupBy("doc_id", "id").agg(F.count_distinct(F.coalesce("label", F.lit("?"))).alias("n"), F.min("label").alias("label"), F.count_if(F.col("label").isNull()).alias("open"))
-    gold = agreed.select("doc_id", "id", F.when((F.col("n") == 1) & (F.col("open") == 0), F.col("label")).otherwise("unlabelled").alias("gold"))
-    return candidates.join(gold, ["doc_id", "id"], "left").withColumn("gold", F.coalesce("gold", F.lit("unlabelled")))
+    label = F.when(F.col("verdict").isin("violation", "accepted"), "violation").when(F.col("verdict").isin("non-violation", "disputed"), "non-violation").otherwise("?")
+    n = pieces(records, candidates)
+    own = records.where("doc_id IS NOT NULL").select("doc_id", F.struct("rule_id", "r_start", "r_end", label.alias("label")).alias("r")).repartition(n, "doc_id")
+    met = candidates.repartition(n, "doc_id").join(by_key(own.groupBy("doc_id").agg(F.collect_list("r").alias("_r"))), "doc_id", "left")
+    hits = F.filter("_r", lambda r: (r["rule_id"] == F.col("rule_id")) & (F.col("start") < r["r_end"]) & (r["r_start"] < F.col("end")))
+    labels = F.coalesce(F.array_distinct(F.transform(hits, lambda r: r["label"])), F.array().cast("array<string>"))
+    same = Window.partitionBy("doc_id", "id")
+    met = met.withColumn("labels", labels).drop("_r").withColumn("labels", F.array_distinct(F.flatten(F.collect_list("labels").over(same))))
+    sure = (F.size("labels") == 1) & (F.get("labels", F.lit(0)) != "?")
+    return met.withColumn("gold", F.when(sure, F.get("labels", F.lit(0))).otherwise("unlabelled"))
 
 
 def prediction(status: Column, confidence: Column, failure: Column, threshold: float = 0.7) -> Column:

@@ -55,3 +55,23 @@ def test_checks_of_one_reading_are_all_reported(spark):
 
 def test_fixes_of_one_file_are_compared_in_many_tasks(spark, sf):
     assert "REPARTITION_BY_NUM" in plan(catalogue.QUERIES["fix_safety_refusals"](spark, sf))
+
+
+def test_gold_labels_need_no_pairs(spark, sf):
+    from glosspan.operators import evaluate
+
+    c = spark.createDataFrame([("d", "r", "a", 0, 9), ("d", "r", "b", 20, 30), ("d", "s", "c", 0, 9), ("e", "r", "a", 0, 9), ("e", "r", "a", 50, 60), ("f", "r", "a", 0, 9)],
+                              "doc_id string, rule_id string, id string, start int, end int")
+    r = spark.createDataFrame([("d", "r", 5, 25, "accepted"), ("d", "r", 22, 24, "undecidable"), ("d", "s", 9, 12, "violation"), ("e", "r", 1, 2, "violation"), ("e", "r", 55, 56, "disputed"),
+                               (None, "r", 0, 9, "violation")], "doc_id string, rule_id string, r_start int, r_end int, verdict string")
+    got = {(x.doc_id, x.id, x.start): x.gold for x in evaluate.gold_labels(c, r).collect()}
+    assert got == {("d", "a", 0): "violation", ("d", "b", 20): "unlabelled", ("d", "c", 0): "unlabelled", ("e", "a", 0): "unlabelled", ("e", "a", 50): "unlabelled", ("f", "a", 0): "unlabelled"}
+    p = plan(catalogue.QUERIES["gold_labels"](spark, sf))
+    assert p.count("Join") == 1 and "Broadcast" not in p
+
+
+def test_pieces_follow_the_input(spark, sf):
+    from glosspan.functions.shared import pieces
+
+    t = spark.read.parquet(f"{sf}/lineitem.parquet")
+    assert pieces(t) == 4 and pieces(*[t] * 400) > 10
