@@ -75,3 +75,17 @@ def test_pieces_follow_the_input(spark, sf):
 
     t = spark.read.parquet(f"{sf}/lineitem.parquet")
     assert pieces(t) == 4 and pieces(*[t] * 400) > 10
+
+
+def test_nothing_of_the_corpus_is_broadcast(spark):
+    from glosspan.operators import gate, suppress
+
+    docs = spark.createDataFrame([("d", "<!-- glosspan-disable -- why -->\nDon't go.\n")], "doc_id string, text string")
+    a = analyse_documents(docs)
+    f, _ = rules.run_rules(a, rules.RuleConfig(), ("no-repeated-words",))
+    gated = gate.gate_fixes(f, a)
+    directives = suppress.scan_directives(a)
+    claimed, _ = suppress.claims(a, directives)
+    kept, records, notes = suppress.apply_suppressions(gated, claimed, directives)
+    out, _ = gate.resolve_overlaps(kept)
+    assert not any("Broadcast" in plan(x) for x in (directives, claimed, out, records, notes))
